@@ -113,3 +113,95 @@ LEFT JOIN (
 def q_log_header(spark, sf):
     h = activity.log_header(tables.commits_from_orders(spark, sf))
     return h.select("repo", "total_commits", _d("newest_date"), _d("oldest_date"), "top_authors")
+
+
+# --------------------------------------------------------------------------
+# Churn (A5, W1, W2, P4, P6-P8) over lineitem x part x orders as numstat
+# --------------------------------------------------------------------------
+
+from logweave.operators import churn as _churn  # noqa: E402
+from logweave.operators import filters as _filters  # noqa: E402
+
+CHURN_SQL = """
+churn AS (
+  SELECT repo, path, commit_count, lines_added, lines_deleted,
+         lines_added + lines_deleted AS churn_score, lines_added - lines_deleted AS net_change,
+         f.commit_seq AS first_commit_seq, f.line_no AS first_line_no
+  FROM (SELECT repo, path, CAST(count(*) AS BIGINT) AS commit_count,
+               CAST(sum(added) AS BIGINT) AS lines_added, CAST(sum(deleted) AS BIGINT) AS lines_deleted,
+               min({'commit_seq': commit_seq, 'line_no': line_no}) AS f
+        FROM {src} WHERE added IS NOT NULL AND deleted IS NOT NULL GROUP BY repo, path)
+  WHERE commit_count >= 2)"""
+
+HOT_SQL = """
+SELECT repo, rank, path,
+       CASE WHEN len(segs) + (CASE WHEN starts_with(path, '/') THEN 1 ELSE 0 END) > 4
+            THEN (CASE WHEN starts_with(path, '/') THEN '/' ELSE segs[1] || '/' END)
+                 || '…/' || segs[len(segs) - 1] || '/' || segs[len(segs)]
+            ELSE path END AS display_path,
+       commit_count, lines_added, lines_deleted, churn_score, net_change,
+       round(commit_count / peak, 6) AS heat_ratio,
+       CAST(greatest(1, round_even(commit_count / peak * 18, 0)) AS INTEGER) AS bar_cells,
+       CASE WHEN commit_count / peak > 0.7 THEN 'hot'
+            WHEN commit_count / peak > 0.4 THEN 'warm' ELSE 'cool' END AS heat_level
+FROM (SELECT *, max(commit_count) OVER (PARTITION BY repo) AS peak,
+             list_filter(string_split(path, '/'), lambda s: s <> '' AND s <> '.') AS segs
+      FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY commit_count DESC,
+                   churn_score DESC, first_commit_seq, first_line_no) AS rank FROM churn)
+      WHERE rank <= 20)"""
+
+
+@register("file_churn", O.with_numstat("SELECT * FROM churn",
+                                       extra_ctes=CHURN_SQL.replace("{src}", "numstat")))
+def q_file_churn(spark, sf):
+    return _churn.file_churn(tables.numstat_from_lineitem(spark, sf), min_commits=2)
+
+
+@register("hot_files", O.with_numstat(HOT_SQL, extra_ctes=CHURN_SQL.replace("{src}", "numstat")))
+def q_hot_files(spark, sf):
+    c = _churn.file_churn(tables.numstat_from_lineitem(spark, sf), min_commits=2)
+    return _churn.hot_files(c, top_n=20).withColumn("heat_ratio", F.round("heat_ratio", 6))
+
+
+# --------------------------------------------------------------------------
+# Filters (F1-F4) and churn of the filtered commits
+# --------------------------------------------------------------------------
+
+FILTER_ARGS = dict(since="1996-01-01", until="1998-12-31 23:59:59", author=r"^1.*7 <")
+FILTER_SQL = """
+filtered AS (
+  SELECT * FROM commits
+  WHERE ref = 'HEAD' AND ts >= TIMESTAMP '1996-01-01 00:00:00'
+    AND ts <= TIMESTAMP '1998-12-31 23:59:59'
+    AND regexp_matches(author || ' <' || email || '>', '^1.*7 <'))"""
+
+
+@register("filtered_log", O.with_commits("orders", """
+SELECT repo, seq, sha, author, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, subject
+FROM filtered""", FILTER_SQL))
+def q_filtered_log(spark, sf):
+    c = _filters.filter_log(tables.commits_from_orders(spark, sf), branch="HEAD", **FILTER_ARGS)
+    return c.select("repo", "seq", "sha", "author",
+                    F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("date"), "subject")
+
+
+@register("newest_n", O.with_commits("orders", """
+SELECT repo, seq, sha, log_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo, ref ORDER BY seq) AS log_rank
+  FROM commits WHERE ts >= TIMESTAMP '1996-01-01 00:00:00')
+WHERE log_rank <= 200"""))
+def q_newest_n(spark, sf):
+    c = _filters.filter_log(tables.commits_from_orders(spark, sf), since="1996-01-01")
+    return _filters.newest_n(c, 200).select("repo", "seq", "sha", "log_rank")
+
+
+@register("churn_filtered", O.with_numstat(
+    "SELECT * FROM churn", commits_source="orders",
+    extra_ctes=FILTER_SQL.replace("AND regexp_matches(author || ' <' || email || '>', '^1.*7 <')", "")
+    + ",\nsel AS (SELECT * FROM numstat n WHERE EXISTS (SELECT 1 FROM filtered f WHERE f.repo = n.repo "
+      "AND f.ref = n.ref AND f.seq = n.commit_seq))," + CHURN_SQL.replace("{src}", "sel")))
+def q_churn_filtered(spark, sf):
+    commits = _filters.filter_log(tables.commits_from_orders(spark, sf), branch="HEAD",
+                                  since=FILTER_ARGS["since"], until=FILTER_ARGS["until"])
+    ns = _filters.churn_for_commits(tables.numstat_from_lineitem(spark, sf), commits)
+    return _churn.file_churn(ns, min_commits=2)

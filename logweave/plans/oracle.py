@@ -22,7 +22,7 @@ STOP_LIST = "[" + ", ".join(f"'{w}'" for w in ALL_STOP_WORDS) + "]"
 def tokens_sql(text: str) -> str:
     camel = f"regexp_replace({text}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
     return (f"list_filter(regexp_extract_all(lower({camel}), '[a-z][a-z0-9]*'), "
-            f"t -> length(t) > 1 AND NOT list_contains({STOP_LIST}, t))")
+            f"lambda t: length(t) > 1 AND NOT list_contains({STOP_LIST}, t))")
 
 
 SUBJECT = _strip("split_part(text, chr(10), 1)")
