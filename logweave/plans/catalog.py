@@ -205,3 +205,111 @@ def q_churn_filtered(spark, sf):
                                   since=FILTER_ARGS["since"], until=FILTER_ARGS["until"])
     ns = _filters.churn_for_commits(tables.numstat_from_lineitem(spark, sf), commits)
     return _churn.file_churn(ns, min_commits=2)
+
+
+# --------------------------------------------------------------------------
+# Text, vectors, clusters (P9, A9, X1-X3, C1-C4) over documents (whole texts)
+# --------------------------------------------------------------------------
+
+from logweave.operators import cluster as _cl  # noqa: E402
+from logweave.operators import vectors as _vec  # noqa: E402
+from logweave.plans import analyse as _an  # noqa: E402
+
+THRESHOLD = 0.20      # the reference CLI default
+MIN_SIZE = 2
+KEYWORDS_K = 8        # keywords per theme used by the reference CLI
+
+
+def _docs(spark, sf):
+    return _an.documents_of(tables.commits_from_documents(spark, sf))
+
+
+def _themes(spark, sf, **kw):
+    args = dict(threshold=THRESHOLD, min_size=MIN_SIZE, k=KEYWORDS_K)
+    args.update(kw)
+    return _an.theme_tables(tables.commits_from_documents(spark, sf), **args)
+
+
+def _text_sql(body: str, extra: str = "") -> str:
+    ctes = O.text_ctes("documents", THRESHOLD)
+    if extra:
+        ctes += ",\n" + extra
+    return f"WITH RECURSIVE {ctes}\n{body}"
+
+
+@register("tokens", _text_sql("SELECT repo, seq, CAST(pos AS INTEGER) AS pos, term FROM toks"))
+def q_tokens(spark, sf):
+    return _vec.token_rows(_docs(spark, sf))
+
+
+@register("vocab_stats", _text_sql("""
+SELECT repo, term, df, CAST(row_number() OVER (PARTITION BY repo ORDER BY f.seq, f.pos) - 1 AS INTEGER) AS term_id,
+       f.seq AS first_seq
+FROM (SELECT repo, term, CAST(count(DISTINCT seq) AS BIGINT) AS df,
+             min({'seq': seq, 'pos': pos}) AS f FROM toks GROUP BY ALL)"""))
+def q_vocab_stats(spark, sf):
+    return _vec.vocab_stats(_vec.token_rows(_docs(spark, sf)))
+
+
+@register("tfidf", _text_sql(
+    "SELECT repo, seq, term, CAST(cnt AS BIGINT) AS cnt, CAST(df AS BIGINT) AS df, "
+    "round(weight, 6) AS weight FROM postings"))
+def q_tfidf(spark, sf):
+    return _vec.tfidf(_docs(spark, sf)).withColumn("weight", F.round("weight", 6))
+
+
+@register("similarity_pairs", _text_sql(
+    "SELECT repo, seq_a, seq_b, round(sim, 6) AS sim FROM edges"))
+def q_similarity_pairs(spark, sf):
+    edges = _vec.similarity_join(_vec.tfidf(_docs(spark, sf)), THRESHOLD, "prefix")
+    return edges.withColumn("sim", F.round("sim", 6))
+
+
+@register("cosine_pairs", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, CASE WHEN list_dot_product(e, e) = 0 THEN e
+                          ELSE list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) END AS e FROM v)
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_dot_product(a.e, b.e), 6) AS sim
+FROM u a JOIN u b ON b.vec_id = a.vec_id + 1""")
+def q_cosine_pairs(spark, sf):
+    """X2 on array columns: each embedding against the next id."""
+    emb = tables.read_table(spark, sf, "embeddings").select(
+        "vec_id", _vec.array_normalize("embedding").alias("e"))
+    a = emb.select(F.col("vec_id").alias("vec_a"), F.col("e").alias("ea"))
+    b = emb.select(F.col("vec_id").alias("vec_b"), F.col("e").alias("eb"))
+    return (a.join(b, F.col("vec_b") == F.col("vec_a") + 1)
+            .select("vec_a", "vec_b", F.round(_vec.array_dot("ea", "eb"), 6).alias("sim")))
+
+
+@register("leader_themes", _text_sql(
+    "SELECT repo, seq, seed_seq, CAST(cluster_id AS INTEGER) AS cluster_id FROM ranked",
+    O.leader_ctes(MIN_SIZE)))
+def q_leader_themes(spark, sf):
+    return _themes(spark, sf).ranked.select("repo", "seq", "seed_seq", "cluster_id")
+
+
+@register("theme_sizes", _text_sql(
+    "SELECT repo, CAST(cluster_id AS INTEGER) AS cluster_id, seed_seq, CAST(size AS BIGINT) AS size FROM clusters",
+    O.leader_ctes(MIN_SIZE)))
+def q_theme_sizes(spark, sf):
+    t = _themes(spark, sf)
+    return _cl.cluster_sizes(t.assignment, MIN_SIZE).select("repo", "cluster_id", "seed_seq", "size")
+
+
+@register("theme_keywords", _text_sql(
+    "SELECT repo, CAST(cluster_id AS INTEGER) AS cluster_id, CAST(rank AS INTEGER) AS rank, term, "
+    "round(weight, 6) AS weight FROM kw",
+    O.leader_ctes(MIN_SIZE) + ",\n" + O.keyword_ctes(KEYWORDS_K)))
+def q_theme_keywords(spark, sf):
+    return _themes(spark, sf).keywords.withColumn("weight", F.round("weight", 6))
+
+
+@register("greedy_themes")
+def q_greedy_themes(spark, sf):
+    """C1, the reference's exact moving-centroid rule, over the reference's
+    own analysis window (newest 200 commits of each repo).  No SQL oracle:
+    checked against a plain-Python model in tests/."""
+    commits = tables.commits_from_documents(spark, sf)
+    t = _an.analyse(commits, max_commits=200, threshold=THRESHOLD, min_size=MIN_SIZE,
+                    k=KEYWORDS_K, algorithm="greedy")
+    return t.ranked.select("repo", "seq", "seed_seq", "cluster_id")

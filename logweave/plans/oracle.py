@@ -83,3 +83,63 @@ def with_numstat(body: str, commits_source: str | None = None, extra_ctes: str =
     if extra_ctes:
         ctes += ",\n" + extra_ctes
     return f"WITH {ctes}\n{body}"
+
+
+def text_ctes(source: str = "documents", threshold: float = 0.2) -> str:
+    """CTEs docs, toks, postings, edges (X1, X3) for a commit source."""
+    msg = _strip("subject || chr(10) || chr(10) || coalesce(body, '')")
+    return f"""commits AS ({COMMITS[source]}),
+docs AS (SELECT repo, seq, {msg} AS message FROM commits),
+tokl AS (SELECT repo, seq, {tokens_sql('message')} AS l FROM docs),
+toks AS (SELECT repo, seq, unnest(l) AS term, unnest(range(len(l))) AS pos FROM tokl),
+cnt AS (SELECT repo, seq, term, count(*) AS cnt FROM toks GROUP BY ALL),
+nd AS (SELECT repo, count(*) AS n_docs FROM docs GROUP BY repo),
+dfc AS (SELECT repo, term, count(*) AS df FROM cnt GROUP BY ALL),
+rawp AS (SELECT c.repo, c.seq, c.term, c.cnt, d.df,
+                c.cnt * (ln((1.0 + n.n_docs) / (1.0 + d.df)) + 1.0) AS raw
+         FROM cnt c JOIN dfc d ON c.repo = d.repo AND c.term = d.term JOIN nd n ON c.repo = n.repo),
+postings AS (SELECT repo, seq, term, cnt, df,
+                    raw / sqrt(sum(raw * raw) OVER (PARTITION BY repo, seq)) AS weight FROM rawp),
+sims AS (SELECT a.repo, a.seq AS seq_a, b.seq AS seq_b, sum(a.weight * b.weight) AS sim
+         FROM postings a JOIN postings b ON a.repo = b.repo AND a.term = b.term AND a.seq < b.seq
+         GROUP BY ALL),
+edges AS (SELECT * FROM sims WHERE sim > {threshold})"""
+
+
+def leader_ctes(min_size: int = 2) -> str:
+    """CTEs seeds, assign, clusters, ranked (C2, C3) as a sequential walk over
+    each repo's rows in log order carrying the list of seeds so far."""
+    return f"""ranked_rows AS (SELECT repo, seq, row_number() OVER (PARTITION BY repo ORDER BY seq) AS rn FROM docs),
+nb AS (SELECT repo, seq_b AS seq, list(seq_a) AS earlier FROM edges GROUP BY ALL),
+walk AS (
+  SELECT repo, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS seeds FROM (SELECT DISTINCT repo FROM docs)
+  UNION ALL
+  SELECT w.repo, w.rn + 1,
+         CASE WHEN len(list_intersect(coalesce(n.earlier, CAST([] AS BIGINT[])), w.seeds)) > 0 THEN w.seeds
+              ELSE list_append(w.seeds, r.seq) END
+  FROM walk w JOIN ranked_rows r ON r.repo = w.repo AND r.rn = w.rn + 1
+  LEFT JOIN nb n ON n.repo = r.repo AND n.seq = r.seq),
+last_walk AS (SELECT repo, max(rn) AS rn FROM ranked_rows GROUP BY repo),
+seeds AS (SELECT w.repo, unnest(w.seeds) AS seed FROM walk w JOIN last_walk l ON w.repo = l.repo AND w.rn = l.rn),
+best AS (SELECT repo, seq, seed_seq FROM (
+           SELECT e.repo, e.seq_b AS seq, e.seq_a AS seed_seq,
+                  row_number() OVER (PARTITION BY e.repo, e.seq_b ORDER BY round(e.sim, 9) DESC, e.seq_a) AS k
+           FROM edges e JOIN seeds s ON s.repo = e.repo AND s.seed = e.seq_a) WHERE k = 1),
+assign AS (SELECT d.repo, d.seq, coalesce(s.seed, b.seed_seq) AS seed_seq
+           FROM docs d LEFT JOIN seeds s ON s.repo = d.repo AND s.seed = d.seq
+                       LEFT JOIN best b ON b.repo = d.repo AND b.seq = d.seq),
+clusters AS (SELECT repo, seed_seq, size,
+                    row_number() OVER (PARTITION BY repo ORDER BY size DESC, seed_seq) AS cluster_id
+             FROM (SELECT repo, seed_seq, count(*) AS size FROM assign GROUP BY ALL) WHERE size >= {min_size}),
+ranked AS (SELECT a.repo, a.seq, a.seed_seq, c.cluster_id, c.size
+           FROM assign a LEFT JOIN clusters c ON a.repo = c.repo AND a.seed_seq = c.seed_seq)"""
+
+
+def keyword_ctes(k: int = 8) -> str:
+    return f"""kw AS (SELECT repo, cluster_id, rank, term, weight FROM (
+         SELECT *, row_number() OVER (PARTITION BY repo, cluster_id ORDER BY round(weight, 9) DESC, term) AS rank
+         FROM (SELECT p.repo, r.cluster_id, p.term, sum(p.weight) / any_value(r.size) AS weight
+               FROM postings p JOIN ranked r ON p.repo = r.repo AND p.seq = r.seq
+               WHERE r.cluster_id IS NOT NULL GROUP BY ALL) WHERE weight > 0)
+       WHERE rank <= {k}),
+kwl AS (SELECT repo, cluster_id, list(term ORDER BY rank) AS keywords FROM kw GROUP BY ALL)"""
