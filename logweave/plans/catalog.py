@@ -313,3 +313,214 @@ def q_greedy_themes(spark, sf):
     t = _an.analyse(commits, max_commits=200, threshold=THRESHOLD, min_size=MIN_SIZE,
                     k=KEYWORDS_K, algorithm="greedy")
     return t.ranked.select("repo", "seq", "seed_seq", "cluster_id")
+
+
+# --------------------------------------------------------------------------
+# Labels (L1-L5), roll-ups (A7, A8, W5), joins (J1, J2), sinks
+# --------------------------------------------------------------------------
+
+from logweave.operators import labels as _lab  # noqa: E402
+from logweave.operators import report as _rep  # noqa: E402
+from logweave.sinks import reports as _sink  # noqa: E402
+
+GENERATED_AT = "2026-01-01T00:00:00+00:00"
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+LABEL_CTES = O.leader_ctes(MIN_SIZE) + ",\n" + O.keyword_ctes(KEYWORDS_K) + """,
+lab0 AS (SELECT c.repo, c.cluster_id, k.keywords, array_to_string(k.keywords[1:3], ' / ') AS s
+         FROM clusters c LEFT JOIN kwl k ON c.repo = k.repo AND c.cluster_id = k.cluster_id),
+labels AS (SELECT repo, cluster_id,
+                  CASE WHEN coalesce(len(keywords), 0) > 0 THEN array_to_string(list_transform(
+                         string_split(s, ''), lambda ch, i: CASE WHEN i = 1 OR NOT regexp_matches(
+                         substring(s, i - 1, 1), '[A-Za-z]') THEN upper(ch) ELSE lower(ch) END), '')
+                       ELSE 'Uncategorised' END AS title,
+                  '' AS summary, 'None' AS action_items FROM lab0),
+mem AS (SELECT r.repo, r.seq, r.cluster_id, r.size, c.sha, c.author, c.subject, CAST(c.ts AS DATE) AS date
+        FROM ranked r JOIN commits c ON r.repo = c.repo AND r.seq = c.seq WHERE r.cluster_id IS NOT NULL)"""
+
+
+class _Ctx:
+    """Shared theme tables for the label/report queries of one call."""
+
+    def __init__(self, spark, sf):
+        self.commits = tables.commits_from_documents(spark, sf)
+        self.t = _themes(spark, sf)
+        self.kwl = _cl.keyword_lists(self.t.keywords)
+        self.clusters = _cl.cluster_sizes(self.t.assignment, MIN_SIZE)
+        self.labels = _lab.keyword_labels(self.clusters, self.kwl)
+
+
+@register("keyword_labels", _text_sql(
+    "SELECT repo, CAST(cluster_id AS INTEGER) AS cluster_id, title, summary, action_items FROM labels",
+    LABEL_CTES))
+def q_keyword_labels(spark, sf):
+    return _Ctx(spark, sf).labels
+
+
+@register("theme_rollup", _text_sql("""
+SELECT b.repo, CAST(b.cluster_id AS INTEGER) AS cluster_id, l.title, l.summary, l.action_items,
+       b.commit_count, strftime(b.earliest, '%Y-%m-%d') AS earliest, strftime(b.latest, '%Y-%m-%d') AS latest,
+       b.n_authors,
+       array_to_string(b.al[1:3], ', ') || CASE WHEN b.n_authors > 3 THEN ' +' || CAST(b.n_authors - 3 AS VARCHAR)
+                                               ELSE '' END AS authors
+FROM (SELECT repo, cluster_id, CAST(count(*) AS BIGINT) AS commit_count, min(date) AS earliest,
+             max(date) AS latest, CAST(count(DISTINCT author) AS BIGINT) AS n_authors,
+             list_sort(list_distinct(list(author))) AS al
+      FROM mem GROUP BY ALL) b
+LEFT JOIN labels l ON b.repo = l.repo AND b.cluster_id = l.cluster_id""", LABEL_CTES))
+def q_theme_rollup(spark, sf):
+    c = _Ctx(spark, sf)
+    r = _rep.theme_rollup(c.t.ranked, c.commits, c.labels)
+    return r.select("repo", "cluster_id", "title", "summary", "action_items", "commit_count",
+                    _d("earliest"), _d("latest"), "n_authors", "authors")
+
+
+@register("theme_preview", _text_sql("""
+SELECT repo, CAST(cluster_id AS INTEGER) AS cluster_id, CAST(line AS INTEGER) AS line, seq,
+       substring(sha, 1, 8) AS sha, strftime(date, '%Y-%m-%d') AS date, author, subject,
+       CAST(size AS BIGINT) AS size, CAST(greatest(size - 20, 0) AS BIGINT) AS more
+FROM (SELECT *, row_number() OVER (PARTITION BY repo, cluster_id ORDER BY seq) AS line FROM mem)
+WHERE line <= 20""", LABEL_CTES))
+def q_theme_preview(spark, sf):
+    c = _Ctx(spark, sf)
+    p = _lab.theme_preview(c.t.ranked, c.commits, 20)
+    return p.select("repo", "cluster_id", "line", "seq", F.substring("sha", 1, 8).alias("sha"),
+                    _d("date"), "author", "subject", "size",
+                    F.greatest(F.col("size") - 20, F.lit(0)).alias("more"))
+
+
+@register("commit_themes", _text_sql("""
+SELECT c.repo, c.seq, substring(c.sha, 1, 8) AS sha, strftime(CAST(c.ts AS DATE), '%Y-%m-%d') AS date,
+       c.author, coalesce(l.title, 'Unclustered') AS theme, c.subject
+FROM commits c LEFT JOIN ranked r ON c.repo = r.repo AND c.seq = r.seq
+LEFT JOIN labels l ON r.repo = l.repo AND r.cluster_id = l.cluster_id""", LABEL_CTES))
+def q_commit_themes(spark, sf):
+    c = _Ctx(spark, sf)
+    return _sink.report_csv_frame(c.commits, c.t.ranked, c.labels)
+
+
+@register("unclustered", _text_sql("""
+SELECT c.repo, c.seq, c.sha FROM commits c
+WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.repo = c.repo AND r.seq = c.seq AND r.cluster_id IS NOT NULL)""",
+    LABEL_CTES))
+def q_unclustered(spark, sf):
+    c = _Ctx(spark, sf)
+    return _rep.unclustered(c.commits, c.t.ranked).select("repo", "seq", "sha")
+
+
+@register("run_summary", _text_sql("""
+SELECT t.repo, t.total_commits, coalesce(v.vocab_size, 0) AS vocab_size, coalesce(k.themes, 0) AS themes,
+       coalesce(k.clustered, 0) AS clustered, t.total_commits - coalesce(k.clustered, 0) AS unclustered
+FROM (SELECT repo, CAST(count(*) AS BIGINT) AS total_commits FROM commits GROUP BY repo) t
+LEFT JOIN (SELECT repo, CAST(count(DISTINCT term) AS BIGINT) AS vocab_size FROM postings GROUP BY repo) v ON t.repo = v.repo
+LEFT JOIN (SELECT repo, CAST(count(DISTINCT cluster_id) AS BIGINT) AS themes,
+                  CAST(count(cluster_id) AS BIGINT) AS clustered FROM ranked GROUP BY repo) k ON t.repo = k.repo""",
+    LABEL_CTES))
+def q_run_summary(spark, sf):
+    c = _Ctx(spark, sf)
+    return _rep.run_summary(c.commits, c.t.postings, c.t.ranked)
+
+
+@register("cluster_prompts", _text_sql(f"""
+SELECT p.repo, CAST(p.cluster_id AS INTEGER) AS cluster_id,
+  'Commit theme analysis.' || chr(10) || chr(10) || 'Keywords: ' ||
+  CASE WHEN coalesce(len(k.keywords), 0) > 0 THEN array_to_string(k.keywords, ', ') ELSE '(none detected)' END ||
+  chr(10) || chr(10) || 'Commits (' || CAST(p.size AS VARCHAR) || ' total' ||
+  CASE WHEN p.size > 30 THEN ', showing 30' ELSE '' END || '):' || chr(10) || p.lines || chr(10) ||
+  CASE WHEN p.size > 30 THEN '(+ ' || CAST(p.size - 30 AS VARCHAR) || ' more)' || chr(10) ELSE '' END ||
+  chr(10) || {_sql_str(_lab.PROMPT_INSTRUCTIONS)} AS prompt
+FROM (SELECT repo, cluster_id, any_value(size) AS size,
+             string_agg(CAST(line AS VARCHAR) || '. [' || strftime(date, '%Y-%m-%d') || '] ' || subject,
+                        chr(10) ORDER BY line) AS lines
+      FROM (SELECT *, row_number() OVER (PARTITION BY repo, cluster_id ORDER BY seq) AS line FROM mem)
+      WHERE line <= 30 GROUP BY ALL) p
+LEFT JOIN kwl k ON p.repo = k.repo AND p.cluster_id = k.cluster_id""", LABEL_CTES))
+def q_cluster_prompts(spark, sf):
+    c = _Ctx(spark, sf)
+    return _lab.cluster_prompts(c.t.ranked, c.commits, c.kwl)
+
+
+@register("overview_prompt", _text_sql(f"""
+SELECT repo, CAST(0 AS BIGINT) AS line_no, 'Recent activity summary.' || chr(10) || chr(10) || 'Themes:' AS text FROM rep
+UNION ALL
+SELECT l.repo, CAST(l.cluster_id AS BIGINT), '- ' || l.title FROM labels l WHERE l.repo IN (SELECT repo FROM rep)
+UNION ALL
+SELECT repo, CAST(1099511627775 AS BIGINT), chr(10) || 'Newest commits:' FROM rep
+UNION ALL
+SELECT repo, CAST(1099511627776 + k AS BIGINT), '[' || strftime(CAST(ts AS DATE), '%Y-%m-%d') || '] ' || subject
+FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) AS k FROM commits
+      WHERE repo IN (SELECT repo FROM rep)) WHERE k <= 20
+UNION ALL
+SELECT repo, CAST(2199023255552 AS BIGINT), chr(10) || {_sql_str(_lab.OVERVIEW_INSTRUCTIONS)} FROM rep""",
+    LABEL_CTES + ",\nrep AS (SELECT repo FROM labels GROUP BY repo HAVING count(*) >= 2)"))
+def q_overview_prompt(spark, sf):
+    c = _Ctx(spark, sf)
+    return _lab.overview_prompt_lines(c.labels, c.commits)
+
+
+_PARSE_PAT = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+@register("parse_label", f"""
+WITH a AS (SELECT conv_id, turn, list_filter(list_transform(
+             regexp_split_to_array(coalesce(text, ''), '{_PARSE_PAT}'),
+             lambda s: trim(s, '{O.WS}')), lambda s: s <> '') AS l
+           FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, coalesce(l[1], 'Miscellaneous') AS title, coalesce(l[2], '') AS summary,
+       coalesce(l[3], 'None') AS action_items FROM a""")
+def q_parse_label(spark, sf):
+    """L4 over the assistant turns of ``conversations`` (model replies)."""
+    c = tables.read_table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    p = _lab.parse_label("text")
+    return c.select("conv_id", "turn", p["title"].alias("title"), p["summary"].alias("summary"),
+                    p["action_items"].alias("action_items"))
+
+
+def echo_labeller(prompts):
+    """Deterministic local stand-in for a model: title from the keywords
+    line, summary from the commit-count line, no action."""
+    out = []
+    for p in prompts:
+        lines = p.split("\n")
+        kw = next((x[len("Keywords: "):] for x in lines if x.startswith("Keywords: ")), "")
+        cnt = next((x for x in lines if x.startswith("Commits (")), "")
+        out.append(f"{kw.title()}\n{cnt.rstrip(':')}\nNone")
+    return out
+
+
+@register("label_themes")
+def q_label_themes(spark, sf):
+    """L5 with a local deterministic labeller (no service is called)."""
+    c = _Ctx(spark, sf)
+    prompts = _lab.cluster_prompts(c.t.ranked, c.commits, c.kwl)
+    return _lab.label_themes(prompts, echo_labeller, c.labels, max_concurrent=3)
+
+
+@register("report_markdown")
+def q_report_markdown(spark, sf):
+    """E2 line rows (rows-only check; the parts are checked by theme_rollup,
+    theme_preview and unclustered)."""
+    c = _Ctx(spark, sf)
+    return _sink.report_markdown_lines(c.commits, c.t.ranked, c.labels, GENERATED_AT)
+
+
+@register("report_json")
+def q_report_json(spark, sf):
+    """E1 records as JSON text (rows-only check)."""
+    c = _Ctx(spark, sf)
+    rec = _sink.report_json_frame(c.commits, c.t.ranked, c.labels, GENERATED_AT)
+    return rec.select("repo", "theme", "part", F.to_json(F.struct(*rec.columns)).alias("json"))
+
+
+@register("churn_csv", O.with_numstat("""
+SELECT repo, CAST(rank AS INTEGER) AS rank, path, commit_count, lines_added, lines_deleted, churn_score
+FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY commit_count DESC, churn_score DESC,
+                                   first_commit_seq, first_line_no) AS rank FROM churn)
+WHERE rank <= 20""", extra_ctes=CHURN_SQL.replace("{src}", "numstat")))
+def q_churn_csv(spark, sf):
+    c = _churn.file_churn(tables.numstat_from_lineitem(spark, sf), min_commits=2)
+    return _sink.churn_csv_frame(_churn.hot_files(c, top_n=20))
