@@ -86,8 +86,7 @@ def tokenize(text="message") -> Column:
     """
     split_camel = F.regexp_replace(_c(text), CAMEL_BOUNDARY, "$1 $2")
     toks = F.regexp_extract_all(F.lower(split_camel), F.lit(TOKEN_PATTERN), 0)
-    stop = F.array(*[F.lit(w) for w in ALL_STOP_WORDS])
-    return F.filter(toks, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(toks, lambda t: (F.length(t) > 1) & ~t.isin(*ALL_STOP_WORDS))
 
 
 def title_case(text) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import keyword_title, py_strip
+from logweave.operators.keyed import join_per_repo
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference:
@@ -102,11 +103,11 @@ def overview_prompt_lines(labels: DataFrame, commits: DataFrame,
     repos = n_labels.filter(F.col("n") >= 2).select("repo")
     head = repos.select("repo", F.lit(0).cast("long").alias("line_no"),
                         F.lit("Recent activity summary.\n\nThemes:").alias("text"))
-    titles = (labels.join(repos, "repo", "left_semi")
+    titles = (join_per_repo(labels, repos, "left_semi", salt_cols=("cluster_id",))
               .select("repo", F.col("cluster_id").cast("long").alias("line_no"),
                       F.concat(F.lit("- "), F.col("title")).alias("text")))
     w = Window.partitionBy("repo").orderBy("seq")
-    newest = (commits.join(repos, "repo", "left_semi")
+    newest = (join_per_repo(commits, repos, "left_semi")
               .withColumn("k", F.row_number().over(w)).filter(F.col("k") <= int(recent)))
     big = F.lit(1 << 40)
     mid = repos.select("repo", (big - 1).alias("line_no"), F.lit("\nNewest commits:").alias("text"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import tokenize
+from logweave.operators.keyed import join_per_repo
 
 PREFIX_SLACK = 1e-9
 
@@ -51,8 +52,8 @@ def tfidf(docs: DataFrame, text_col: str = "message") -> DataFrame:
     n_docs = docs.groupBy("repo").agg(F.count(F.lit(1)).alias("n_docs"))
     df = counts.groupBy("repo", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    raw = (counts.join(df, ["repo", "term"]).join(n_docs, "repo")
-           .withColumn("raw", F.col("cnt") * idf))
+    raw = join_per_repo(counts.join(df, ["repo", "term"]), n_docs,
+                        salt_cols=("seq", "term")).withColumn("raw", F.col("cnt") * idf)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("repo", "seq")))
     return raw.select("repo", "seq", "term", "cnt", "df",
                       (F.col("raw") / norm).alias("weight"))
@@ -134,23 +135,69 @@ def pair_dots(postings: DataFrame, pairs: DataFrame) -> DataFrame:
             .select("repo", "seq_a", "seq_b", F.coalesce("sim", F.lit(0.0)).alias("sim")))
 
 
+def _split_postings(postings: DataFrame, budget: float) -> DataFrame:
+    """Mark each posting as prefix or suffix and attach the document's
+    suffix norm.  Terms are ordered rare -> common (``df, term``); the suffix
+    is the longest common-term tail whose L2 norm is <= budget."""
+    w = (Window.partitionBy("repo", "seq")
+         .orderBy(F.desc("df"), F.desc("term"))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    tail = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w))
+    marked = (postings.select("repo", "seq", "term", "df", "weight")
+              .withColumn("tail", tail)
+              .withColumn("in_prefix", F.col("tail") > F.lit(budget - PREFIX_SLACK)))
+    s_norm = F.max(F.when(~F.col("in_prefix"), F.col("tail"))).over(Window.partitionBy("repo", "seq"))
+    return marked.withColumn("s_norm", F.coalesce(s_norm, F.lit(0.0))).drop("tail")
+
+
 def similarity_join(postings: DataFrame, threshold: float = 0.2,
-                    method: str = "prefix") -> DataFrame:
+                    method: str = "prefix", suffix_budget: float | None = None) -> DataFrame:
     """Every pair in a repo with cosine > threshold (strict), as edges
     ``(repo, seq_a, seq_b, sim)`` with ``seq_a < seq_b``.
 
-    ``method="prefix"`` (default) generates candidates from the L2 prefixes
-    and verifies them exactly (``pair_dots``); ``"plain"`` joins all postings
-    on (repo, term).  Both return the same edges.  Skewed terms are split by
-    AQE's skew-join handling.  A negative threshold disables the prefix filter.
+    ``method="prefix"`` (default) never joins the common-term tails of two
+    documents against each other:
+
+    1. each document's terms are split into a prefix (rare terms) and a
+       suffix (the common-term tail, L2 norm <= ``suffix_budget``, default
+       threshold / 2);
+    2. ``A(a, b)`` = dot over a's *prefix* terms, from joining prefix
+       postings with all postings on (repo, term).  Any pair with cosine >
+       threshold shares its rarest common term in a's prefix, so it has
+       ``A > 0`` and appears here;
+    3. the rest of the dot is at most ``||suffix(a)||`` (Cauchy-Schwarz), so
+       pairs with ``A + ||suffix(a)|| <= threshold`` are dropped exactly;
+    4. for the remaining pairs ``B(a, b)`` = dot over a's suffix terms is
+       looked up, and ``sim = A + B``.
+
+    ``method="plain"`` joins all postings on (repo, term).  Both return the
+    same edges.  Skewed terms are split by AQE's skew-join handling.
     """
     if method not in ("prefix", "plain"):
         raise ValueError("method must be 'prefix' or 'plain'")
-    if method == "plain" or threshold < 0:
-        sims = _plain_join(postings)
-    else:
-        sims = pair_dots(postings, candidate_pairs(postings, threshold))
-    return sims.filter(F.col("sim") > F.lit(float(threshold)))
+    t = float(threshold)
+    if method == "plain" or t <= 0:
+        return _plain_join(postings).filter(F.col("sim") > F.lit(t))
+    budget = t / 2.0 if suffix_budget is None else min(float(suffix_budget), t)
+    marked = _split_postings(postings, budget)
+    pre = marked.filter("in_prefix").select(
+        "repo", "term", F.col("seq").alias("seq_a"), F.col("weight").alias("wa"),
+        F.col("s_norm").alias("sa"))
+    full = postings.select("repo", "term", F.col("seq").alias("seq_b"), F.col("weight").alias("wb"))
+    part = (pre.join(full, ["repo", "term"]).filter(F.col("seq_a") < F.col("seq_b"))
+            .groupBy("repo", "seq_a", "seq_b")
+            .agg(F.sum(F.col("wa") * F.col("wb")).alias("a_dot"), F.max("sa").alias("sa")))
+    kept = part.filter(F.col("a_dot") + F.col("sa") > F.lit(t - PREFIX_SLACK))
+    suf = marked.filter(~F.col("in_prefix")).select(
+        "repo", "term", F.col("seq").alias("seq_a"), F.col("weight").alias("wa"))
+    rest = (kept.select("repo", "seq_a", "seq_b").join(suf, ["repo", "seq_a"])
+            .join(full, ["repo", "seq_b", "term"])
+            .groupBy("repo", "seq_a", "seq_b")
+            .agg(F.sum(F.col("wa") * F.col("wb")).alias("b_dot")))
+    sims = (kept.join(rest, ["repo", "seq_a", "seq_b"], "left")
+            .select("repo", "seq_a", "seq_b",
+                    (F.col("a_dot") + F.coalesce("b_dot", F.lit(0.0))).alias("sim")))
+    return sims.filter(F.col("sim") > F.lit(t))
 
 
 def pairwise_similarity(postings: DataFrame, docs: DataFrame) -> DataFrame:
