@@ -28,3 +28,16 @@ def join_per_repo(big: DataFrame, per_repo: DataFrame, how: str = "inner",
     salted_small = per_repo.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     key = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts)).cast("int")
     return big.withColumn("_salt", key).join(salted_small, ["repo", "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition ``df`` by ``keys`` only when it has fewer partitions
+    than the cluster's default parallelism (e.g. a source file with a single
+    row group), so CPU-heavy per-row work (regex tokenizing of whole texts)
+    uses every core.  Large inputs already have many splits and are left
+    alone, so no extra shuffle is added at scale."""
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *[F.col(k) for k in keys])

@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import tokenize
-from logweave.operators.keyed import join_per_repo
+from logweave.operators.keyed import join_per_repo, spread
 
 PREFIX_SLACK = 1e-9
 
 
 def token_rows(docs: DataFrame, text_col: str = "message") -> DataFrame:
     """P9 exploded: ``(repo, seq, pos, term)``; pos is the token's index."""
-    return docs.select("repo", "seq",
-                       F.posexplode(tokenize(text_col)).alias("pos", "term"))
+    return spread(docs.select("repo", "seq", text_col), "repo", "seq").select(
+        "repo", "seq", F.posexplode(tokenize(text_col)).alias("pos", "term"))
 
 
 def vocab_stats(tokens: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def similarity_join(postings: DataFrame, threshold: float = 0.2,
 
     1. each document's terms are split into a prefix (rare terms) and a
        suffix (the common-term tail, L2 norm <= ``suffix_budget``, default
-       threshold / 2);
+       threshold / 4);
     2. ``A(a, b)`` = dot over a's *prefix* terms, from joining prefix
        postings with all postings on (repo, term).  Any pair with cosine >
        threshold shares its rarest common term in a's prefix, so it has
@@ -178,7 +178,7 @@ def similarity_join(postings: DataFrame, threshold: float = 0.2,
     t = float(threshold)
     if method == "plain" or t <= 0:
         return _plain_join(postings).filter(F.col("sim") > F.lit(t))
-    budget = t / 2.0 if suffix_budget is None else min(float(suffix_budget), t)
+    budget = t / 4.0 if suffix_budget is None else min(float(suffix_budget), t)
     marked = _split_postings(postings, budget)
     pre = marked.filter("in_prefix").select(
         "repo", "term", F.col("seq").alias("seq_a"), F.col("weight").alias("wa"),
