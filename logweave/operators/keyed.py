@@ -41,3 +41,36 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *[F.col(k) for k in keys])
+
+
+MAX_WINDOW_ROWS = 1_000_000
+
+
+def rank_within(df: DataFrame, key: str, order: list, name: str,
+                max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+    """Add a 1-based ``name`` = position of each row inside its ``key`` group
+    under ``order`` (``order`` must make positions unique).
+
+    If the largest group (one aggregate, checked first) has at most
+    ``max_window_rows`` rows, a ``row_number`` window is used.  Otherwise a
+    group may be too big for one task, so the rank is distributed: a global
+    range sort splits every group over many partitions, the sorted rows are
+    checkpointed with their partition id and running id, per (key,
+    partition) counts give each partition's offset inside its group, and
+    rank = offset + position inside the partition.
+    """
+    from pyspark.sql import Window
+
+    biggest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= max_window_rows:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    s = (df.orderBy(F.col(key), *order)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id())
+         .checkpoint())
+    counts = s.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return (s.join(offs.select(key, "_pid", "_off", "_first"), [key, "_pid"])
+            .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("int"))
+            .drop("_pid", "_mid", "_off", "_first"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import tokenize
-from logweave.operators.keyed import join_per_repo, spread
+from logweave.operators.keyed import MAX_WINDOW_ROWS, join_per_repo, rank_within, spread
 
 PREFIX_SLACK = 1e-9
 
@@ -26,16 +26,16 @@ def token_rows(docs: DataFrame, text_col: str = "message") -> DataFrame:
         "repo", "seq", F.posexplode(tokenize(text_col)).alias("pos", "term"))
 
 
-def vocab_stats(tokens: DataFrame) -> DataFrame:
+def vocab_stats(tokens: DataFrame, max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """``(repo, term, df, term_id)``; ``term_id`` is first-seen order
     (by ``seq`` then token position), 0-based per repo."""
     agg = (tokens.groupBy("repo", "term")
            .agg(F.countDistinct("seq").alias("df"),
                 F.min(F.struct("seq", "pos")).alias("first")))
-    w = Window.partitionBy("repo").orderBy(F.col("first.seq"), F.col("first.pos"))
-    return agg.select("repo", "term", "df",
-                      (F.row_number().over(w) - 1).alias("term_id"),
-                      F.col("first.seq").alias("first_seq"))
+    ranked = rank_within(agg, "repo", [F.col("first.seq"), F.col("first.pos")], "_rk",
+                         max_window_rows)
+    return ranked.select("repo", "term", "df", (F.col("_rk") - 1).alias("term_id"),
+                         F.col("first.seq").alias("first_seq"))
 
 
 def tfidf(docs: DataFrame, text_col: str = "message") -> DataFrame:

@@ -205,3 +205,24 @@ def test_threshold_checked():
         cl._check_args(1.5, 2)
     with pytest.raises(ValueError):
         cl._check_args(0.2, 0)
+
+
+def test_distributed_rank_equals_window(spark):
+    from logweave.operators.keyed import rank_within
+    rng = random.Random(29)
+    rows = [("hot" if i % 3 else f"r{i % 7}", i, rng.randint(1, 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "repo string, seq long, size long")
+    order = [F.desc("size"), F.asc("seq")]
+    a = {(r.repo, r.seq): r.k for r in rank_within(df, "repo", order, "k").collect()}
+    b = {(r.repo, r.seq): r.k for r in rank_within(df, "repo", order, "k", max_window_rows=0).collect()}
+    assert a == b
+
+
+def test_cluster_ids_same_on_both_paths(spark):
+    rng = random.Random(31)
+    msgs = random_messages(rng, 80)
+    d = docs_df(spark, msgs)
+    asg = cl.leader_themes(d, vec.similarity_join(vec.tfidf(d), 0.2)).cache()
+    a = sorted(tuple(r) for r in cl.cluster_sizes(asg, 2).collect())
+    b = sorted(tuple(r) for r in cl.cluster_sizes(asg, 2, max_window_rows=0).collect())
+    assert a == b
