@@ -19,6 +19,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
 import pandas as pd
@@ -29,6 +30,7 @@ from logweave.operators.keyed import MAX_WINDOW_ROWS, rank_within
 from logweave.operators.vectors import pack
 from logweave.session import checkpoint_dir
 
+LOG = logging.getLogger(__name__)
 MAX_GROUP_ROWS = 20_000
 TIE_DIGITS = 9
 
@@ -125,7 +127,7 @@ def leader_themes(docs: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -
                       F.when(F.col("x").isNull(), F.lit("S")).alias("status"))
               ).checkpoint()
     pending = e.select("repo", "seq_a", "seq_b")
-    for _ in range(max_rounds):
+    for rnd in range(max_rounds):
         undecided = status.filter(F.col("status").isNull()).select("repo", F.col("seq").alias("seq_b"))
         pending = pending.join(undecided, ["repo", "seq_b"], "left_semi")
         src = status.select("repo", F.col("seq").alias("seq_a"), F.col("status").alias("sa"))
@@ -142,6 +144,7 @@ def leader_themes(docs: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -
                   ).checkpoint()
         pending = pending.checkpoint()
         if status.filter(F.col("status").isNull()).limit(1).count() == 0:
+            LOG.info("leader_themes converged after %d rounds", rnd + 1)
             break
     else:
         raise RuntimeError(f"leader_themes did not converge in {max_rounds} rounds")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import tokenize
 from logweave.operators.keyed import MAX_WINDOW_ROWS, join_per_repo, rank_within, spread
+from logweave.session import checkpoint_dir
 
 PREFIX_SLACK = 1e-9
 
@@ -179,11 +180,14 @@ def similarity_join(postings: DataFrame, threshold: float = 0.2,
     if method == "plain" or t <= 0:
         return _plain_join(postings).filter(F.col("sim") > F.lit(t))
     budget = t / 4.0 if suffix_budget is None else min(float(suffix_budget), t)
-    marked = _split_postings(postings, budget)
+    # marked postings are read three times below: materialise them once in
+    # the shared checkpoint folder (cuts lineage, no recomputed TF-IDF)
+    checkpoint_dir(postings.sparkSession)
+    marked = _split_postings(postings, budget).checkpoint()
     pre = marked.filter("in_prefix").select(
         "repo", "term", F.col("seq").alias("seq_a"), F.col("weight").alias("wa"),
         F.col("s_norm").alias("sa"))
-    full = postings.select("repo", "term", F.col("seq").alias("seq_b"), F.col("weight").alias("wb"))
+    full = marked.select("repo", "term", F.col("seq").alias("seq_b"), F.col("weight").alias("wb"))
     part = (pre.join(full, ["repo", "term"]).filter(F.col("seq_a") < F.col("seq_b"))
             .groupBy("repo", "seq_a", "seq_b")
             .agg(F.sum(F.col("wa") * F.col("wb")).alias("a_dot"), F.max("sa").alias("sa")))

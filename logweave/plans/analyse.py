@@ -20,6 +20,7 @@ from logweave.operators import churn as churn_ops
 from logweave.operators import cluster as cl
 from logweave.operators import filters as flt
 from logweave.operators import vectors as vec
+from logweave.session import checkpoint_dir
 
 
 @dataclass
@@ -52,6 +53,11 @@ def theme_tables(commits: DataFrame, threshold: float = 0.20, min_size: int = 2,
     postings = vec.tfidf(docs)
     if persist:
         postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        # postings feed both the similarity join and the keywords: write them
+        # once to the shared checkpoint folder (also cuts the lineage)
+        checkpoint_dir(commits.sparkSession)
+        postings = postings.checkpoint()
     if algorithm == "leader":
         edges = vec.similarity_join(postings, threshold, method)
         assignment = cl.leader_themes(docs, edges)
