@@ -524,3 +524,20 @@ WHERE rank <= 20""", extra_ctes=CHURN_SQL.replace("{src}", "numstat")))
 def q_churn_csv(spark, sf):
     c = _churn.file_churn(tables.numstat_from_lineitem(spark, sf), min_commits=2)
     return _sink.churn_csv_frame(_churn.hot_files(c, top_n=20))
+
+
+@register("theme_terminal", _text_sql("""
+SELECT repo, CAST(cluster_id AS INTEGER) AS cluster_id, CAST(line AS INTEGER) AS line,
+       substring(sha, 1, 8) AS sha, strftime(date, '%Y-%m-%d') AS date,
+       substring(author, 1, 16) AS author_short, subject, CAST(greatest(size - 8, 0) AS BIGINT) AS more
+FROM (SELECT *, row_number() OVER (PARTITION BY repo, cluster_id ORDER BY seq) AS line FROM mem)
+WHERE line <= 8""", LABEL_CTES))
+def q_theme_terminal(spark, sf):
+    """The terminal theme block's rows: first 8 commits of each theme with the
+    author cut to 16 characters and the ``+N more`` count (W5, P3, P12)."""
+    from logweave.functions.text import author_short, short_sha
+    c = _Ctx(spark, sf)
+    p = _lab.theme_preview(c.t.ranked, c.commits, 8)
+    return p.select("repo", "cluster_id", "line", short_sha().alias("sha"), _d("date"),
+                    author_short().alias("author_short"), "subject",
+                    F.greatest(F.col("size") - 8, F.lit(0)).alias("more"))
