@@ -205,3 +205,78 @@ def keyword_lists(keywords: DataFrame) -> DataFrame:
     return (keywords.groupBy("repo", "cluster_id")
             .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("kw"))
             .select("repo", "cluster_id", F.col("kw.term").alias("keywords")))
+
+
+# ---------------------------------------------------------------------------
+# C2 without all-pairs inside groups of exact copies
+# ---------------------------------------------------------------------------
+
+def later_copies(postings: DataFrame) -> DataFrame:
+    """``(repo, seq, rep)`` for every document that is an exact copy (same
+    token multiset, hence the same TF-IDF vector) of an earlier one; ``rep``
+    is the first ``seq`` of its copy group.
+
+    Each document's term bag is hashed where it lies (postings are already
+    grouped by document); only documents whose hash is shared are compared
+    on the full bag, so hash collisions cannot merge different documents and
+    only real copies travel through the exact grouping.  Hot groups go
+    through partial aggregation and skew-split joins, never one task.
+    """
+    bag = F.sort_array(F.collect_list(F.struct("term", "cnt")))
+    sig = postings.groupBy("repo", "seq").agg(F.xxhash64(bag).alias("h"))
+    shared = (sig.groupBy("repo", "h").agg(F.count(F.lit(1)).alias("n"))
+              .filter(F.col("n") > 1).select("repo", "h"))
+    cand = sig.join(shared, ["repo", "h"], "left_semi")
+    bags = (postings.join(cand.select("repo", "seq"), ["repo", "seq"], "left_semi")
+            .groupBy("repo", "seq").agg(bag.alias("bag")))
+    first = bags.groupBy("repo", "bag").agg(F.min("seq").alias("rep"))
+    return (bags.join(first, ["repo", "bag"]).filter(F.col("seq") != F.col("rep"))
+            .select("repo", "seq", "rep"))
+
+
+def leader_themes_collapsed(docs: DataFrame, postings: DataFrame, threshold: float = 0.20,
+                            method: str = "prefix") -> DataFrame:
+    """C2 with exact copies collapsed; same result as
+    ``leader_themes(docs, similarity_join(postings, threshold))``.
+
+    A later copy of a document always has an earlier similar row (the first
+    copy, or the seed that copy joined), so it is never a seed, and members
+    never influence who becomes a seed.  Seeds are therefore found on one
+    representative per copy group, with edges only among representatives.
+    Each later copy then joins its best seed among the representative's
+    similar seeds that come before it: a step function over seed order,
+    matched with an equi-join on (repo, rep) plus a range condition.  A
+    group of m copies costs O(m) rows instead of m^2 / 2 edges.
+    """
+    from logweave.operators.vectors import similarity_join
+
+    t = float(threshold)
+    _check_args(t, 1)
+    if t >= 1.0 - 1e-9:  # identical vectors are not "similar" at t = 1
+        return leader_themes(docs, similarity_join(postings, t, method))
+    checkpoint_dir(docs.sparkSession)
+    later = later_copies(postings).checkpoint()
+    rep_postings = postings.join(later.select("repo", "seq"), ["repo", "seq"], "left_anti")
+    edges = similarity_join(rep_postings, t, method).checkpoint()
+    nodes = docs.select("repo", "seq").join(later.select("repo", "seq"), ["repo", "seq"], "left_anti")
+    assign = leader_themes(nodes, edges).checkpoint()
+
+    seeds = assign.filter(F.col("seq") == F.col("seed_seq")).select("repo", F.col("seq").alias("s"))
+    both = (edges.select("repo", F.col("seq_a").alias("rep"), F.col("seq_b").alias("s"), "sim")
+            .unionByName(edges.select("repo", F.col("seq_b").alias("rep"), F.col("seq_a").alias("s"), "sim")))
+    has_copies = later.select("repo", "rep").distinct()
+    near = both.join(has_copies, ["repo", "rep"], "left_semi").join(seeds, ["repo", "s"], "left_semi")
+    itself = (seeds.withColumnRenamed("s", "rep").join(has_copies, ["repo", "rep"], "left_semi")
+              .select("repo", "rep", F.col("rep").alias("s"), F.lit(1.0).alias("sim")))
+    cand = near.unionByName(itself).withColumn(
+        "key", F.struct(F.round("sim", TIE_DIGITS).alias("k"), (-F.col("s")).alias("neg")))
+    by_seed = Window.partitionBy("repo", "rep").orderBy("s")
+    steps = (cand.withColumn("best", F.max("key").over(
+                by_seed.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+             .withColumn("next_s", F.lead("s").over(by_seed))
+             .select("repo", "rep", "s", "next_s", F.col("best.neg").alias("neg")))
+    copies = (later.join(steps, ["repo", "rep"])
+              .filter((F.col("s") < F.col("seq"))
+                      & (F.col("next_s").isNull() | (F.col("next_s") > F.col("seq"))))
+              .select("repo", "seq", (-F.col("neg")).alias("seed_seq")))
+    return assign.unionByName(copies)

@@ -59,8 +59,9 @@ def theme_tables(commits: DataFrame, threshold: float = 0.20, min_size: int = 2,
         checkpoint_dir(commits.sparkSession)
         postings = postings.checkpoint()
     if algorithm == "leader":
-        edges = vec.similarity_join(postings, threshold, method)
-        assignment = cl.leader_themes(docs, edges)
+        # exact copies are collapsed first, so a big group of copies never
+        # turns into all-pairs edges
+        assignment = cl.leader_themes_collapsed(docs, postings, threshold, method)
     elif algorithm == "greedy":
         assignment = cl.greedy_themes(docs, postings, threshold)
     else:

@@ -226,3 +226,18 @@ def test_cluster_ids_same_on_both_paths(spark):
     a = sorted(tuple(r) for r in cl.cluster_sizes(asg, 2).collect())
     b = sorted(tuple(r) for r in cl.cluster_sizes(asg, 2, max_window_rows=0).collect())
     assert a == b
+
+
+def test_collapsed_leader_equals_plain(spark):
+    rng = random.Random(41)
+    base = random_messages(rng, 30)
+    msgs = [rng.choice(base) for _ in range(120)] + ["", "", "auth"]
+    rows = [(f"r{i % 2}", i, m) for i, m in enumerate(msgs)]
+    d = spark.createDataFrame(rows, "repo string, seq long, message string")
+    post = vec.tfidf(d).cache()
+    for t in (0.0, 0.2, 0.6):
+        plain = {(r.repo, r.seq): r.seed_seq
+                 for r in cl.leader_themes(d, vec.similarity_join(post, t)).collect()}
+        coll = {(r.repo, r.seq): r.seed_seq
+                for r in cl.leader_themes_collapsed(d, post, t).collect()}
+        assert coll == plain
