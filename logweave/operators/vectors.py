@@ -48,8 +48,11 @@ def tfidf(docs: DataFrame, text_col: str = "message") -> DataFrame:
     ``cnt / total``; the L2 norm cancels ``total``, so
     ``weight = cnt * idf / ||cnt * idf||``.
     """
+    # ``counts`` feeds the df aggregation and the join; writing it once to
+    # the shared checkpoint folder keeps the regex work to one pass
+    checkpoint_dir(docs.sparkSession)
     counts = (token_rows(docs, text_col).groupBy("repo", "seq", "term")
-              .agg(F.count(F.lit(1)).alias("cnt")))
+              .agg(F.count(F.lit(1)).alias("cnt"))).checkpoint()
     n_docs = docs.groupBy("repo").agg(F.count(F.lit(1)).alias("n_docs"))
     df = counts.groupBy("repo", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
