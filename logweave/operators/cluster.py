@@ -107,7 +107,8 @@ def greedy_themes(docs: DataFrame, postings: DataFrame, threshold: float = 0.20,
 # Fixed seeds, distributed rounds
 # ---------------------------------------------------------------------------
 
-def leader_themes(docs: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def leader_themes(docs: DataFrame, edges: DataFrame, max_rounds: int = 10_000,
+                  edges_materialized: bool = False) -> DataFrame:
     """``(repo, seq, seed_seq)`` for every document.
 
     ``edges`` are the similarity-join output (``seq_a < seq_b``, sim >
@@ -120,7 +121,9 @@ def leader_themes(docs: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -
     spark = docs.sparkSession
     checkpoint_dir(spark)
     nodes = docs.select("repo", "seq").distinct()
-    e = edges.select("repo", "seq_a", "seq_b", "sim").checkpoint()
+    e = edges.select("repo", "seq_a", "seq_b", "sim")
+    if not edges_materialized:
+        e = e.checkpoint()
     has_earlier = e.select("repo", F.col("seq_b").alias("seq")).distinct().withColumn("x", F.lit(1))
     status = (nodes.join(has_earlier, ["repo", "seq"], "left")
               .select("repo", "seq",
@@ -257,9 +260,9 @@ def leader_themes_collapsed(docs: DataFrame, postings: DataFrame, threshold: flo
     checkpoint_dir(docs.sparkSession)
     later = later_copies(postings).checkpoint()
     rep_postings = postings.join(later.select("repo", "seq"), ["repo", "seq"], "left_anti")
-    edges = similarity_join(rep_postings, t, method).checkpoint()
     nodes = docs.select("repo", "seq").join(later.select("repo", "seq"), ["repo", "seq"], "left_anti")
-    assign = leader_themes(nodes, edges).checkpoint()
+    edges = similarity_join(rep_postings, t, method).checkpoint()
+    assign = leader_themes(nodes, edges, edges_materialized=True)
 
     seeds = assign.filter(F.col("seq") == F.col("seed_seq")).select("repo", F.col("seq").alias("s"))
     both = (edges.select("repo", F.col("seq_a").alias("rep"), F.col("seq_b").alias("s"), "sim")
