@@ -69,7 +69,8 @@ def q_commits_by_date(spark, sf):
 
 
 @register("weekly_timeline", O.with_commits("orders", """
-SELECT repo, strftime(week_start, '%Y-%m-%d') AS week_start, n_commits, week_back,
+SELECT repo, strftime(week_start, '%Y-%m-%d') AS week_start, n_commits,
+       CAST(week_back AS INTEGER) AS week_back,
        CAST(greatest(1, round_even(n_commits / peak * 32, 0)) AS INTEGER) AS bar_cells,
        n_commits = peak AS is_peak
 FROM (SELECT *, max(n_commits) OVER (PARTITION BY repo) AS peak
@@ -84,7 +85,8 @@ def q_weekly_timeline(spark, sf):
 
 
 @register("weekly_timeline_events", O.with_commits("events", """
-SELECT repo, strftime(week_start, '%Y-%m-%d') AS week_start, n_commits, week_back,
+SELECT repo, strftime(week_start, '%Y-%m-%d') AS week_start, n_commits,
+       CAST(week_back AS INTEGER) AS week_back,
        CAST(greatest(1, round_even(n_commits / peak * 32, 0)) AS INTEGER) AS bar_cells,
        n_commits = peak AS is_peak
 FROM (SELECT *, max(n_commits) OVER (PARTITION BY repo) AS peak
@@ -134,7 +136,7 @@ churn AS (
   WHERE commit_count >= 2)"""
 
 HOT_SQL = """
-SELECT repo, rank, path,
+SELECT repo, CAST(rank AS INTEGER) AS rank, path,
        CASE WHEN len(segs) + (CASE WHEN starts_with(path, '/') THEN 1 ELSE 0 END) > 4
             THEN (CASE WHEN starts_with(path, '/') THEN '/' ELSE segs[1] || '/' END)
                  || '…/' || segs[len(segs) - 1] || '/' || segs[len(segs)]
@@ -186,7 +188,7 @@ def q_filtered_log(spark, sf):
 
 
 @register("newest_n", O.with_commits("orders", """
-SELECT repo, seq, sha, log_rank FROM (
+SELECT repo, seq, sha, CAST(log_rank AS INTEGER) AS log_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY repo, ref ORDER BY seq) AS log_rank
   FROM commits WHERE ts >= TIMESTAMP '1996-01-01 00:00:00')
 WHERE log_rank <= 200"""))
