@@ -32,6 +32,9 @@ def build_session(master: str | None = None, app: str = "logweave",
     for k, v in SESSION_DEFAULTS.items():
         b = b.config(k, v)
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    # operators checkpoint reused intermediates; let the cleaner remove them
+    # once they are no longer referenced
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
