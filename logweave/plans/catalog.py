@@ -543,3 +543,43 @@ def q_theme_terminal(spark, sf):
     return p.select("repo", "cluster_id", "line", short_sha().alias("sha"), _d("date"),
                     author_short().alias("author_short"), "subject",
                     F.greatest(F.col("size") - 8, F.lit(0)).alias("more"))
+
+
+# --------------------------------------------------------------------------
+# The same activity operators over other log shapes: many tiny repos
+# (conversations) and text documents
+# --------------------------------------------------------------------------
+
+_HEADER_SQL = """
+SELECT t.repo, t.total_commits, strftime(t.newest_date, '%Y-%m-%d') AS newest_date,
+       strftime(t.oldest_date, '%Y-%m-%d') AS oldest_date, a.top_authors
+FROM (SELECT repo, CAST(count(*) AS BIGINT) AS total_commits,
+             arg_min(CAST(ts AS DATE), seq) AS newest_date,
+             arg_max(CAST(ts AS DATE), seq) AS oldest_date
+      FROM commits GROUP BY repo) t
+LEFT JOIN (
+  SELECT repo, string_agg(author || ' ' || CAST(n AS VARCHAR), '  ' ORDER BY rk) AS top_authors
+  FROM (SELECT repo, author, n, row_number() OVER (PARTITION BY repo ORDER BY n DESC, f) AS rk
+        FROM (SELECT repo, author, count(*) AS n, min(seq) AS f FROM commits GROUP BY ALL))
+  WHERE rk <= 5 GROUP BY repo) a ON t.repo = a.repo"""
+
+
+@register("log_header_conversations", O.with_commits("conversations", _HEADER_SQL))
+def q_log_header_conversations(spark, sf):
+    h = activity.log_header(tables.commits_from_conversations(spark, sf))
+    return h.select("repo", "total_commits", _d("newest_date"), _d("oldest_date"), "top_authors")
+
+
+@register("author_velocity_documents", O.with_commits("documents", """
+SELECT repo, author, n_commits, strftime(first_date, '%Y-%m-%d') AS first_date,
+       strftime(last_date, '%Y-%m-%d') AS last_date, first_seq, span_days,
+       round(n_commits / (span_days / 7.0), 6) AS avg_per_week
+FROM (SELECT *, CAST(greatest(1, date_diff('day', first_date, last_date) + 1) AS INTEGER) AS span_days
+      FROM (SELECT repo, author, CAST(count(*) AS BIGINT) AS n_commits,
+                   min(CAST(ts AS DATE)) AS first_date, max(CAST(ts AS DATE)) AS last_date,
+                   min(seq) AS first_seq
+            FROM commits GROUP BY repo, author))"""))
+def q_author_velocity_documents(spark, sf):
+    v = activity.author_velocity(tables.commits_from_documents(spark, sf))
+    return v.select("repo", "author", "n_commits", _d("first_date"), _d("last_date"),
+                    "first_seq", "span_days", _r("avg_per_week"))
