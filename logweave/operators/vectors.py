@@ -87,30 +87,6 @@ def _plain_join(postings: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")))
 
 
-def prefix_postings(postings: DataFrame, threshold: float) -> DataFrame:
-    """Postings that survive the exact L2 prefix filter.
-
-    Terms of a document are ordered rare -> common (``df, term``); the longest
-    common-term suffix whose L2 norm is <= threshold is dropped.  Two
-    documents with cosine > threshold share a term in both prefixes: the
-    first shared term in the global order is in both, otherwise every shared
-    term lies in a suffix of norm <= t and, by Cauchy-Schwarz, dot <= t.
-    """
-    w = (Window.partitionBy("repo", "seq")
-         .orderBy(F.desc("df"), F.desc("term"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    suffix_norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w))
-    return (postings.withColumn("suffix_norm", suffix_norm)
-            .filter(F.col("suffix_norm") > F.lit(threshold - PREFIX_SLACK))
-            .drop("suffix_norm"))
-
-
-def candidate_pairs(postings: DataFrame, threshold: float) -> DataFrame:
-    """Distinct ``(repo, seq_a, seq_b)`` sharing a term in both prefixes."""
-    pre = prefix_postings(postings, threshold).select("repo", "seq", "term", "weight")
-    return _pair_rows(pre, pre).select("repo", "seq_a", "seq_b").distinct()
-
-
 def pair_dots(postings: DataFrame, pairs: DataFrame) -> DataFrame:
     """X2 for a pair list: exact dot of the two documents' unit vectors.
 

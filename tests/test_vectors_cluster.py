@@ -241,3 +241,16 @@ def test_collapsed_leader_equals_plain(spark):
         coll = {(r.repo, r.seq): r.seed_seq
                 for r in cl.leader_themes_collapsed(d, post, t).collect()}
         assert coll == plain
+
+
+def test_pair_dots_sparse_x2(spark):
+    rng = random.Random(37)
+    msgs = random_messages(rng, 30)
+    d = docs_df(spark, msgs)
+    post = vec.tfidf(d)
+    pairs = spark.createDataFrame([("r", i, j) for i in range(30) for j in range(i + 1, 30) if (i + j) % 4 == 0],
+                                  "repo string, seq_a long, seq_b long")
+    got = {(r.seq_a, r.seq_b): r.sim for r in vec.pair_dots(post, pairs).collect()}
+    mat, _ = model_matrix(msgs)
+    assert len(got) == pairs.count()
+    assert all(abs(v - float(mat[a] @ mat[b])) < 1e-9 for (a, b), v in got.items())
