@@ -15,6 +15,8 @@ def spark():
     s = build_session("local[4]", app="logweave-tests", shuffle_partitions=8,
                       extra={"spark.local.dir": scratch})
     s.sparkContext.setCheckpointDir(os.path.join(scratch, "ckpt"))
+    from logweave.session import ship_package
+    ship_package(s)
     yield s
     s.stop()
 
