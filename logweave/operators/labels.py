@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import keyword_title, py_strip
 from logweave.operators.keyed import join_per_repo
+from logweave.session import materialize
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference:
@@ -164,10 +165,9 @@ def label_themes(prompts: DataFrame, fn: Callable[[Sequence[str]], Sequence[str]
     reference does.  Responses are checkpointed before the check so ``fn``
     is not called twice; a retried task does call it again.
     """
-    out = (prompts.repartition(int(max_concurrent))
-           .mapInPandas(_call_batches(fn),
-                        schema="repo string, cluster_id int, response string, error string")
-           ).checkpoint()
+    out = materialize(prompts.repartition(int(max_concurrent))
+                      .mapInPandas(_call_batches(fn),
+                                   schema="repo string, cluster_id int, response string, error string"))
     if out.filter(F.col("error").isNotNull()).limit(1).count() > 0:
         return fallback.select("repo", "cluster_id", "title", "summary", "action_items")
     p = parse_label("response")

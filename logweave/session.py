@@ -111,3 +111,20 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(key)
+
+
+def materialize(df):
+    """``df.checkpoint()`` that evaluates ``df``'s last stage only once.
+
+    An eager reliable checkpoint runs one job on the plan and a second one
+    that writes the files; the second re-runs the last stage (earlier stages
+    are reused from shuffle files).  That is cheap for plain DataFrame work,
+    but wrong when the last stage calls user code with side effects (a
+    labelling service): persist first, checkpoint, then drop the cached copy.
+    """
+    from pyspark import StorageLevel
+
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

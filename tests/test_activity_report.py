@@ -140,3 +140,21 @@ def test_label_themes_fallback(spark):
 def test_export_format():
     assert S.export_format("out.csv") == "csv" and S.export_format("r.md") == "markdown"
     assert S.export_format("r.txt") == "json" and S.export_format("r.csv", "json") == "json"
+
+
+def test_label_function_called_once_per_prompt(spark, tmp_path):
+    log = str(tmp_path / "calls.txt")
+    prompts = spark.createDataFrame([("r", i, f"p{i}") for i in range(1, 7)],
+                                    "repo string, cluster_id int, prompt string")
+    fallback = prompts.selectExpr("repo", "cluster_id", "'x' AS title", "'' AS summary",
+                                  "'None' AS action_items")
+
+    def fn(ps):
+        with open(log, "a") as f:
+            for p in ps:
+                f.write(p + "\n")
+        return [f"T {p}" for p in ps]
+    out = L.label_themes(prompts, fn, fallback, 3).collect()
+    assert sorted(r.title for r in out) == [f"T p{i}" for i in range(1, 7)]
+    calls = open(log).read().split()
+    assert sorted(calls) == [f"p{i}" for i in range(1, 7)]
