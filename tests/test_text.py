@@ -54,3 +54,13 @@ def test_heat_levels(spark):
     df = spark.createDataFrame([(8, 10), (5, 10), (4, 10), (7, 10)], "c int, m int")
     got = [r.h for r in df.select(D.heat_level("c", "m").alias("h")).collect()]
     assert got == ["hot", "warm", "cool", "warm"]
+
+
+def test_small_scalars(spark):
+    import datetime as dt
+    assert one(spark, T.escape_pipe(F.col("v")), "a|b") == "a\\|b"
+    assert one(spark, T.author_short(F.col("v")), "Bartholomew Longname-Smith") == "Bartholomew Long"
+    assert one(spark, T.short_sha(F.col("v")), "0123456789abcdef") == "01234567"
+    sunday = dt.datetime(2023, 11, 19, 23, 59)
+    assert str(one(spark, D.week_start(F.col("v")), sunday, "timestamp_ntz")) == "2023-11-13"
+    assert one(spark, T.message(F.col("v"), F.lit("")), "  subject only \x1f") == "subject only"
