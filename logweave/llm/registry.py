@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import chat, decontam, langid, licenses, quality, token_counts
+from logweave.llm import chat, decontam, embed_dedup, langid, licenses, ngram_join, quality, token_counts
 from logweave.llm.common import prepare
 
 QUERIES = {
@@ -10,7 +10,9 @@ QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_embedding_dedup": embed_dedup.op5_embedding_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_ranking": quality.op9_quality_ranking,
 }
 
@@ -18,6 +20,7 @@ ORACLE = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op3_decontamination": decontam.OP3_SQL,
     "op4_license_scan": licenses.OP4_SQL,
+    "op5_embedding_dedup": embed_dedup.OP5_SQL,
 }
 
 
