@@ -174,3 +174,16 @@ def first_window_of_row(first_word: np.ndarray, size: int, n_windows: int) -> np
         if hi - lo >= size:
             ok[lo:hi - size + 1] = True
     return ok
+
+
+def groups_of(batches, key: int = 0):
+    """(key, rows as tuples) of batches whose rows are sorted by column ``key``."""
+    held: list = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[key] != held[0][key]:
+                yield held[0][key], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0][key], held

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import chat, decontam, embed_dedup, langid, licenses, ngram_join, quality, token_counts
+from logweave.llm import chat, decontam, embed_dedup, langid, licenses, ngram_join, quality, suffix_dedup, token_counts
 from logweave.llm.common import prepare
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_ranking": quality.op9_quality_ranking,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE = {
