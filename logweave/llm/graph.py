@@ -24,8 +24,9 @@ def to_cells(df: DataFrame, group: str, node: str, n_blocks: Column) -> DataFram
     df = df.withColumn("_nb", n_blocks.cast("int")).withColumn("_b", F.pmod(F.xxhash64(node, F.lit(3)), F.col("_nb")).cast("int"))
     df = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     lo, hi = F.least("_b", "_o"), F.greatest("_b", "_o")
-    cell = F.when(F.col("_nb") == 1, F.col(group)).otherwise(
-        F.concat(F.col(group), F.encode(F.format_string(",%d,%d", lo, hi), "UTF-8")))
+    name = F.col(group) if dict(df.dtypes)[group] == "binary" else F.unhex(F.hex(group))
+    cell = F.when(F.col("_nb") == 1, name).otherwise(
+        F.concat(name, F.encode(F.format_string(",%d,%d", lo, hi), "UTF-8")))
     blk = F.when(lo == hi, -1).otherwise((F.col("_b") == hi).cast("int"))
     return df.withColumn("cell", cell).withColumn("blk", blk).drop("_nb", "_b", "_o")
 

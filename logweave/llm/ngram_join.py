@@ -89,6 +89,7 @@ def _sign(size: int, depth: int):
                 sig = minhash(s, some, TREES * MAX_DEPTH) if has.any() else np.zeros((0, TREES * MAX_DEPTH), np.uint64)
                 tree = sig.reshape(-1, TREES, MAX_DEPTH)[:, :, :depth]
                 label = np.zeros(tree.shape[:2], np.uint64)
+                label += np.arange(TREES, dtype=np.uint64)  # labels of different trees differ
                 for k in range(depth):
                     label = mix64(label * np.uint64(0xD6E8FEB86659FD93) + tree[:, :, k])
                 low = (sig & np.uint64(255)).astype(np.uint8)
@@ -205,8 +206,7 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, block: int = 51
         F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min(F.struct("id", "text_hash")).alias("at")), "sets")
     # buckets of the forest that hold more than one class
-    slim = cls.select("node", F.posexplode("prefix").alias("tree", "label"))
-    slim = slim.select("node", F.encode(F.concat_ws(",", "tree", "label"), "UTF-8").alias("bucket"))
+    slim = cls.select("node", F.explode("prefix").alias("bucket"))
     full = slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = slim.join(full, "bucket").join(cls.select("node", "sketch"), "node")
     n_hash = TREES * MAX_DEPTH
@@ -231,7 +231,7 @@ def _texts(src: DataFrame, want: DataFrame) -> DataFrame:
     """(node, text) of the wanted rows; a null id is found by its text hash."""
     w = want.select("node", F.coalesce(F.xxhash64("id", "text_hash"), F.lit(0)).alias("key"))
     s = src.select(F.xxhash64("id", F.xxhash64("text")).alias("key"), "text")
-    return s.join(w, "key").select("node", "text")
+    return s.join(w.hint("merge"), "key").select("node", "text")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
