@@ -37,7 +37,7 @@ from logweave.llm.common import BLOCK_BYTES, buffers, cut, groups_of, mix64, tab
 
 GRAM = 16
 #: anchors of one chunk, segments of one collection
-CHUNK_ANCHORS, COLLECTION = 1 << 20, 60_000
+CHUNK_ANCHORS, COLLECTION = 1 << 20, 10_000
 _ROW = "key bigint, kind int, chunk bigint, data binary"
 
 
@@ -254,16 +254,43 @@ def merge(spans: np.ndarray) -> np.ndarray:
 _SEG = "g bigint, seg binary, doc bigint, key bigint, pos bigint, len int"
 
 
+def _owned(pos: np.ndarray, h: np.ndarray, end: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows in which no other anchor has a smaller hash.
+
+    ``pos``: ascending, with gaps wider than a window between rows; ``end``: end of the row.
+    """
+    w = window - GRAM + 1
+    first, last = pos - w + 1, np.minimum(pos, end - window)
+    for k in range(1, w):
+        near = np.flatnonzero(pos[k:] - pos[:-k] < w)
+        if not len(near):
+            break
+        a, z = near, near + k
+        over = h[a] < h[z]
+        first[z[over]] = np.maximum(first[z[over]], pos[a[over]] + 1)
+        over = h[z] < h[a]
+        last[a[over]] = np.minimum(last[a[over]], pos[z[over]] - w)
+    return first, last
+
+
 def _segments(window: int, flush_rows: int = 200_000):
-    """Segments of shared anchors.  Of equal segments in one flush only those of the
-    smallest document go on; the others are wholly covered (rows without a segment)."""
+    """Segments of shared anchors: all windows that an anchor owns.  Of equal segments
+    in one flush only those of the smallest document go on; the others are wholly
+    covered (merged spans, as rows without a segment)."""
     def settle(held: dict):
         out: list = [[], [], [], [], [], []]
+        done: dict = {}
         for (g, seg), found in held.items():
             least = min(f[0] for f in found)
             for doc, key, pos in found:
-                row = (g, seg, doc, key, pos, len(seg)) if doc == least else (key, None, doc, key, pos, len(seg))
-                for c, v in zip(out, row):
+                if doc > least:
+                    done.setdefault(key, []).append((pos, pos + len(seg)))
+                    continue
+                for c, v in zip(out, (g, seg, doc, key, pos, len(seg))):
+                    c.append(v)
+        for key, spans in done.items():
+            for a, z in merge(np.array(spans, np.int64)).tolist():
+                for c, v in zip(out, (key, None, 0, key, a, z - a)):
                     c.append(v)
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["g", "seg", "doc", "key", "pos", "len"])
@@ -272,26 +299,34 @@ def _segments(window: int, flush_rows: int = 200_000):
         held: dict = {}
         n = 0
         for batch in batches:
-            for text, doc, key, places in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                raw = text.as_buffer()
-                code = np.frombuffer(places, np.uint32)
-                pos, hot = (code & np.uint32(0x7FFFFFFF)).astype(np.int64), code >> np.uint32(31)
-                b = np.frombuffer(raw, np.uint8)
-                pos, hot = pos[pos + GRAM <= len(b)], hot[pos + GRAM <= len(b)]
-                grams = b[pos[:, None] + np.arange(GRAM)]
-                x = np.ascontiguousarray(grams).view(np.uint64).reshape(-1, 2)
-                g = mix64(x[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ mix64(x[:, 1])).view(np.int64)
-                body = raw.to_pybytes()
-                lo, hi = np.maximum(0, pos + GRAM - window), np.minimum(len(b), pos + window)
-                for gi, a, z, h in zip(g.tolist(), lo.tolist(), hi.tolist(), hot.tolist()):
-                    if not h:
-                        held.setdefault((gi, body[a:z]), []).append((doc, key, a))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                bodies = _unpacked(part.column(0))
+                docs, keys = part.column(1).to_pylist(), part.column(2).to_pylist()
+                code = [np.frombuffer(x, np.uint32) for x in part.column(3).to_pylist()]
+                row = np.repeat(np.arange(len(code)), [len(x) for x in code])
+                code = np.concatenate(code)
+                size = np.array([len(x) for x in bodies])
+                pos = (code & np.uint32(0x7FFFFFFF)).astype(np.int64)
+                ok = pos + GRAM <= size[row]
+                row, pos, hot = row[ok], pos[ok], (code >> np.uint32(31))[ok]
+                start = np.concatenate([[0], np.cumsum(size)])[:-1]
+                b = np.frombuffer(b"".join(bodies), np.uint8)
+                x = b[(start[row] + pos)[:, None] + np.arange(GRAM)].view(np.uint64).reshape(-1, 2)
+                h = mix64(x[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ mix64(x[:, 1]))
+                wide = start + np.arange(len(size)) * 2 * window  # rows apart, so that none is near another
+                first, last = _owned(wide[row] + pos, h, (wide + size)[row], window)
+                first, last = np.maximum(first - wide[row], 0), last - wide[row]
+                on = first <= last
+                for r, g, a, z, many in zip(row[on].tolist(), h[on].view(np.int64).tolist(), first[on].tolist(), (last[on] + window).tolist(), hot[on].tolist()):
+                    if not many:
+                        held.setdefault((g, bodies[r][a:z]), []).append((docs[r], keys[r], a))
                         n += 1
                         continue
                     for k in range(a, z - window + 1):
-                        one = body[k:k + window]
+                        one = bodies[r][k:k + window]
                         name = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
-                        held.setdefault((name, one), []).append((doc, key, k))
+                        held.setdefault((name, one), []).append((docs[r], keys[r], k))
                         n += 1
                 if n >= flush_rows:
                     yield settle(held)
@@ -301,8 +336,25 @@ def _segments(window: int, flush_rows: int = 200_000):
     return run
 
 
+def _packed(batches):
+    """First column (text) as zstd frames, null as null: texts travel compressed."""
+    from zstandard import ZstdCompressor
+
+    z = ZstdCompressor(level=3)
+    for batch in batches:
+        data = [z.compress(x.as_buffer()) if x.is_valid else None for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), *batch.columns[1:]], batch.schema.names)
+
+
+def _unpacked(col) -> list:
+    from zstandard import ZstdDecompressor
+
+    z = ZstdDecompressor()
+    return [z.decompress(x.as_buffer()) if x.is_valid else None for x in col]
+
+
 class Collection:
-    """BWT, common prefixes and suffix names of a growing collection of strings."""
+    """BWT and common prefixes of a growing collection of strings."""
 
     def __init__(self, strings: list[bytes], spool_rows: int):
         m = len(strings)
@@ -321,8 +373,8 @@ class Collection:
         self.m, self.spool_rows, self.folder = m, spool_rows, None
         # the empty suffixes, in the order of the strings
         self.bwt, self.lcp = self.columns[0].copy(), np.zeros(m, np.uint8 if self.longest < 255 else np.uint32)
-        self.name = np.arange(m, dtype=np.int64) * (self.longest + 1)  # string and length of the suffix
-        self.at = np.arange(m)
+        self.at = np.arange(m)  # place of the longest suffix so far of each string
+        self.size = size
 
     def _new(self, n: int, kind) -> np.ndarray:
         """Room for a column's result: in memory, or in a file that is filled in order."""
@@ -353,16 +405,20 @@ class Collection:
         before, after = q > start[x], q + 1 < start[x.astype(np.int64) + 1]
         lcp = np.append(self.lcp, self.lcp[:1])
 
-        def least(lo, hi):  # smallest common prefix in lo .. hi
-            return np.minimum.reduceat(lcp, np.stack([lo, hi + 1], axis=1).ravel())[::2] if len(lo) else lcp[:0]
+        def least(lo, hi):
+            """Smallest common prefix in lo .. hi; from the right, so that reduceat skips what lies between."""
+            by = np.argsort(-lo)
+            out = np.empty(len(lo), lcp.dtype)
+            if len(lo):
+                out[by] = np.minimum.reduceat(lcp, np.stack([lo[by], hi[by] + 1], axis=1).ravel())[::2]
+            return out
 
         own = np.zeros(len(act), lcp.dtype)
         own[before] = 1 + least(order[q[before] - 1] + 1, r[before])
         behind = 1 + least(r[after] + 1, order[q[after] + 1])
         old, n = np.ones(len(self.bwt) + len(act), bool), len(self.bwt) + len(act)
         old[to] = False
-        news = (("bwt", self.columns[j][act]), ("lcp", own), ("name", act * (self.longest + 1) + j))
-        for field, new in news:
+        for field, new in (("bwt", self.columns[j][act]), ("lcp", own)):
             have = getattr(self, field)
             out = self._new(n, have.dtype)
             out[old] = have
@@ -375,14 +431,21 @@ class Collection:
         """(string, length of suffix, class) of the suffixes that hold a window; equal windows share a class."""
         for j in range(1, self.longest + 1):
             self.insert_column(j)
-        name, size = np.divmod(np.asarray(self.name), self.longest + 1)
         cls = np.cumsum(np.asarray(self.lcp) < window)
-        on = size >= window
-        out = name[on], size[on], cls[on]
-        self.bwt = self.lcp = self.name = None
+        # from each empty suffix, step by step to the suffix that is one symbol longer
+        order = np.argsort(self.bwt, kind="stable")
+        longer = np.empty(len(order), np.int64)
+        longer[order] = np.arange(len(order)) + self.m - int((self.bwt == 0).sum())
+        at, out = np.arange(self.m), []
+        for j in range(1, self.longest + 1):
+            on = np.flatnonzero(self.size >= j)
+            at[on] = longer[at[on]]
+            if j >= window:
+                out.append((on, np.full(len(on), j), cls[at[on]]))
+        self.bwt = self.lcp = None
         if self.folder is not None:
             self.folder.cleanup()
-        return out
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def covered(strings: list[bytes], docs: np.ndarray, window: int, spool_rows: int) -> list[np.ndarray]:
@@ -390,8 +453,9 @@ def covered(strings: list[bytes], docs: np.ndarray, window: int, spool_rows: int
     name, size, cls = Collection(strings, spool_rows).equal_windows(window)
     if not len(name):
         return [np.zeros((0, 2), np.int64)] * len(strings)
-    edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-    least = np.repeat(np.minimum.reduceat(docs[name], edge), np.diff(np.append(edge, len(name))))
+    smallest = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, cls, docs[name])
+    least = smallest[cls]
     on = least < docs[name]
     name, begin = name[on], np.array([len(s) for s in strings])[name[on]] - size[on]
     by = np.lexsort((begin, name))
@@ -446,8 +510,8 @@ def _finish(window: int, with_text: bool):
         for batch in batches:
             c = batch.column
             n_bytes, n_removed, n_spans, sha, kept = [], [], [], [], []
-            for text, copy, spans in zip(c(1), c(2).to_pylist(), c(3).to_pylist()):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            for text, copy, spans in zip(_unpacked(c(1)), c(2).to_pylist(), c(3).to_pylist()):
+                raw = text or b""
                 n_bytes.append(len(raw))
                 if copy and len(raw) >= window:
                     s = np.array([[0, len(raw)]], np.int64)
@@ -460,7 +524,7 @@ def _finish(window: int, with_text: bool):
                 n_removed.append(len(raw) - len(left))
                 n_spans.append(len(s))
                 sha.append(hashlib.sha256(left).hexdigest() if left else empty)
-                kept.append(left.decode("utf-8", "ignore") if with_text and text.is_valid else None)
+                kept.append(left.decode("utf-8", "ignore") if with_text and text is not None else None)
             yield pa.RecordBatch.from_arrays(
                 [c(0), *batch.columns[4:], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
                  pa.array(sha, pa.string()), pa.array(kept, pa.string())],
@@ -491,6 +555,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, hot_docs: int = 1 << 17
     places = cut(places.join(ids.filter(~F.col("copy")), F.col("key") == F.col("_key"), "left_semi"), "places")
 
     segs = (usable.select("_text", F.col("_id").cast("bigint").alias("doc"), "_key")
+            .mapInArrow(_packed, "_text binary, doc bigint, _key bigint")
             .join(places.hint("merge"), F.col("_key") == F.col("key")).select("_text", "doc", "key", "places")
             .mapInArrow(_segments(window), _SEG))
     segs = segs.repartition(parts, "g").sortWithinPartitions("g")
@@ -498,8 +563,11 @@ def repeated_passages(docs: DataFrame, window: int = 50, hot_docs: int = 1 << 17
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     info = ids.join(spans, F.col("_key") == F.col("key"), "left").filter("copy OR spans IS NOT NULL").select("_key", "copy", "spans")
     info = cut(info, "spans")
-    out = src.join(info.hint("merge"), "_key", "left").select("_id", "_text", "copy", "spans", *extra)
-    head = [f"`_id` {dict(src.dtypes)['_id']}", *(f"`{c}` {dict(src.dtypes)[c]}" for c in extra)]
+    kinds = dict(src.dtypes)
+    cols = ["_text", "_id", "_key", *extra]
+    out = src.select(*cols).mapInArrow(_packed, ", ".join(f"`{c}` {'binary' if c == '_text' else kinds[c]}" for c in cols))
+    out = out.join(info.hint("merge"), "_key", "left").select("_id", "_text", "copy", "spans", *extra)
+    head = [f"`{c}` {kinds[c]}" for c in ("_id", *extra)]
     out = out.mapInArrow(_finish(window, with_text), ", ".join(
         [*head, "n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string", "kept binary"]))
     return out.withColumnRenamed("_id", id_col)
