@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import chat, decontam, embed_dedup, langid, licenses, ngram_join, quality, suffix_dedup, token_counts
+from logweave.llm import chat, decontam, embed_dedup, langid, licenses, ngram_join, pieces, quality, suffix_dedup, token_counts
 from logweave.llm.common import prepare
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_embedding_dedup": embed_dedup.op5_embedding_dedup,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_ranking": quality.op9_quality_ranking,
