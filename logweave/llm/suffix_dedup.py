@@ -251,7 +251,21 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([s[at, 0], end[np.append(at[1:], len(s)) - 1]], axis=1)
 
 
-_SEG = "g bigint, seg binary, doc bigint, key bigint, pos bigint, len int"
+def merged(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of the spans of each key."""
+    if not len(key):
+        return key, begin, end
+    by = np.lexsort((begin, key))
+    key, begin, end = key[by], begin[by], end[by]
+    start = np.concatenate([[True], key[1:] != key[:-1]])
+    lift = np.cumsum(start) * (int(end.max()) + 2)  # keys apart, so that one pass joins all of them
+    spans = merge(np.stack([begin + lift, end + lift], axis=1))
+    at = np.searchsorted(begin + lift, spans[:, 0])
+    return key[at], spans[:, 0] - lift[at], spans[:, 1] - lift[at]
+
+
+#: at: place of the anchor in the segment; rows without a segment are spans of ``at`` bytes
+_SEG = "g bigint, seg binary, doc bigint, key bigint, pos bigint, at int"
 
 
 def _owned(pos: np.ndarray, h: np.ndarray, end: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,27 +291,29 @@ def _segments(window: int, flush_rows: int = 200_000):
     """Segments of shared anchors: all windows that an anchor owns.  Of equal segments
     in one flush only those of the smallest document go on; the others are wholly
     covered (merged spans, as rows without a segment)."""
-    def settle(held: dict):
-        out: list = [[], [], [], [], [], []]
-        done: dict = {}
-        for (g, seg), found in held.items():
-            least = min(f[0] for f in found)
-            for doc, key, pos in found:
-                if doc > least:
-                    done.setdefault(key, []).append((pos, pos + len(seg)))
-                    continue
-                for c, v in zip(out, (g, seg, doc, key, pos, len(seg))):
-                    c.append(v)
-        for key, spans in done.items():
-            for a, z in merge(np.array(spans, np.int64)).tolist():
-                for c, v in zip(out, (key, None, 0, key, a, z - a)):
-                    c.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["g", "seg", "doc", "key", "pos", "len"])
+    def settle(names: dict, cols: list):
+        sid, doc, key, pos, at = (np.array(c, np.int64) for c in cols)
+        segs = list(names)
+        size = np.array([len(x[1]) for x in segs], np.int64)
+        least = np.full(len(segs), np.iinfo(np.int64).max)
+        np.minimum.at(least, sid, doc)
+        go = doc == least[sid]
+        key_, begin, end = merged(key[~go], pos[~go], pos[~go] + size[sid[~go]])
+        live, n = sid[go].tolist(), len(key_)
+        none = np.zeros(n, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([segs[k][0] for k in live] + key_.tolist(), pa.int64()), pa.array([segs[k][1] for k in live] + [None] * n, pa.binary()),
+             *(pa.array(np.concatenate(x)) for x in ((doc[go], none), (key[go], key_), (pos[go], begin))),
+             pa.array(np.concatenate([at[go], end - begin]).astype(np.int32))], ["g", "seg", "doc", "key", "pos", "at"])
 
     def run(batches):
-        held: dict = {}
-        n = 0
+        names: dict = {}
+        cols: list = [[], [], [], [], []]
+
+        def add(name, doc, key, pos, at):
+            for c, v in zip(cols, (names.setdefault(name, len(names)), doc, key, pos, at)):
+                c.append(v)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -318,21 +334,22 @@ def _segments(window: int, flush_rows: int = 200_000):
                 first, last = _owned(wide[row] + pos, h, (wide + size)[row], window)
                 first, last = np.maximum(first - wide[row], 0), last - wide[row]
                 on = first <= last
-                for r, g, a, z, many in zip(row[on].tolist(), h[on].view(np.int64).tolist(), first[on].tolist(), (last[on] + window).tolist(), hot[on].tolist()):
+                for r, g, a, z, p, many in zip(row[on].tolist(), h[on].view(np.int64).tolist(), first[on].tolist(),
+                                               (last[on] + window).tolist(), pos[on].tolist(), hot[on].tolist()):
                     if not many:
-                        held.setdefault((g, bodies[r][a:z]), []).append((docs[r], keys[r], a))
-                        n += 1
+                        add((g, bodies[r][a:z]), docs[r], keys[r], a, p - a)
                         continue
                     for k in range(a, z - window + 1):
                         one = bodies[r][k:k + window]
                         name = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
-                        held.setdefault((name, one), []).append((docs[r], keys[r], k))
-                        n += 1
-                if n >= flush_rows:
-                    yield settle(held)
-                    held, n = {}, 0
-        if held:
-            yield settle(held)
+                        add((name, one), docs[r], keys[r], k, p - k)
+                if len(cols[0]) >= flush_rows:
+                    yield settle(names, cols)
+                    names.clear()
+                    for c in cols:
+                        c.clear()
+        if cols[0]:
+            yield settle(names, cols)
     return run
 
 
@@ -464,42 +481,77 @@ def covered(strings: list[bytes], docs: np.ndarray, window: int, spool_rows: int
     return [merge(np.stack([begin[a:z], begin[a:z] + window], axis=1)) for a, z in zip(cuts[:-1], cuts[1:])]
 
 
+def _may_share(g: np.ndarray, strings: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
+    """Segments of which another one of the group has the same bytes before or behind the
+    anchor, as many as every common window must hold on one side."""
+    side = -(-(window - GRAM) // 2)
+    out = np.zeros(len(strings), bool)
+    for pick in (lambda s, p: s[p - side:p] if p >= side else None, lambda s, p: s[p + GRAM:p + GRAM + side] if len(s) - p - GRAM >= side else None):
+        seen: dict = {}
+        name = np.array([-1 if (x := pick(s, p)) is None else seen.setdefault((k, x), len(seen))
+                         for k, s, p in zip(g.tolist(), strings, at.tolist())], np.int64)
+        many = np.bincount(name[name >= 0], minlength=len(seen)) > 1
+        out[name >= 0] |= many[name[name >= 0]]
+    return out
+
+
 def _collections(window: int, spool_rows: int):
-    def solve(rows: list):
-        """rows: (g, seg, doc, key, pos), groups whole."""
-        least: dict = {}
-        of_group: dict = {}
-        for g, seg, doc, _, _ in rows:
-            least[seg] = min(doc, least.get(seg, doc))
-            of_group.setdefault(g, set()).add(seg)
-        strings = sorted(set().union(*(v for v in of_group.values() if len(v) > 1)))
-        spans = dict(zip(strings, covered(strings, np.array([least[s] for s in strings]), window, spool_rows))) if strings else {}
-        for _, seg, doc, key, pos in rows:
-            if doc > least[seg]:
-                yield key, pos, pos + len(seg)
-            elif seg in spans:
-                for a, z in spans[seg].tolist():
-                    yield key, pos + a, pos + z
-
-    def batch(out: list):
-        c = list(zip(*out)) if out else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["key", "begin", "end"])
+    def solve(g, seg, doc, key, pos, at):
+        """Spans of rows whose groups are whole."""
+        names: dict = {}
+        sid = np.array([names.setdefault(x, len(names)) for x in zip(g.tolist(), seg)], np.int64)
+        strings = [x[1] for x in names]
+        first = np.unique(sid, return_index=True)[1]
+        size = np.array([len(x) for x in strings], np.int64)
+        least = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(least, sid, doc)
+        # a row of a single window stands for itself; its anchor may lie anywhere
+        ask = np.flatnonzero(_may_share(g[first], strings, at[first], window))
+        spans: list = [None] * len(strings)
+        for k, s in zip(ask.tolist(), covered([strings[k] for k in ask], least[ask], window, spool_rows) if len(ask) else ()):
+            spans[k] = s
+        whole = doc > least[sid]
+        out = [(key[whole], pos[whole], pos[whole] + size[sid[whole]])]
+        some = [k for k in np.flatnonzero(~whole).tolist() if spans[sid[k]] is not None and len(spans[sid[k]])]
+        if some:
+            n = [len(spans[sid[k]]) for k in some]
+            s = np.concatenate([spans[sid[k]] for k in some]) + np.repeat(pos[some], n)[:, None]
+            out.append((np.repeat(key[some], n), s[:, 0], s[:, 1]))
+        return batch(*merged(*(np.concatenate(x) for x in zip(*out))))
+
+    def batch(key, begin, end):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, begin, end)], ["key", "begin", "end"])
 
     def run(batches):
         held: list = []
-        distinct: set = set()
-        for g, rows in groups_of(batches):
-            done = [(r[3], r[4], r[4] + r[5]) for r in rows if r[1] is None]
-            if done:
-                yield batch(done)
-            live = [r[:5] for r in rows if r[1] is not None]
-            held += live
-            distinct.update(r[1] for r in live)
-            if len(distinct) >= COLLECTION:
-                yield batch(list(solve(held)))
-                held, distinct = [], set()
+
+        def take():
+            num = [np.concatenate([h[k] for h in held]) for k in range(5)]
+            return solve(num[0], [x for h in held for x in h[5]], *num[1:])
+
+        n = 0
+        for b in batches:
+            g, doc, key, pos, at = (np.array(b.column(k)) for k in (0, 2, 3, 4, 5))
+            seg = b.column(1)
+            bare = np.array(seg.is_null())
+            if bare.any():
+                yield batch(key[bare], pos[bare], pos[bare] + at[bare])
+            live = np.flatnonzero(~bare)
+            if not len(live):
+                continue
+            rows = [x[live] for x in (g, doc, key, pos, at)] + [seg.take(pa.array(live)).to_pylist()]
+            edge = np.flatnonzero(np.diff(rows[0])) + 1
+            if held and held[-1][0][-1] != rows[0][0]:
+                edge = np.concatenate([[0], edge])
+            if n + len(live) >= 3 * COLLECTION and len(edge):  # up to the last whole group
+                held.append([x[:edge[-1]] for x in rows])
+                yield take()
+                held, n = [], 0
+                rows = [x[edge[-1]:] for x in rows]
+            held.append(rows)
+            n += len(rows[5])
         if held:
-            yield batch(list(solve(held)))
+            yield take()
     return run
 
 
