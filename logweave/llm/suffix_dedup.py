@@ -621,7 +621,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, hot_docs: int = 1 << 17
     out = out.join(info.hint("merge"), "_key", "left").select("_id", "_text", "copy", "spans", *extra)
     head = [f"`{c}` {kinds[c]}" for c in ("_id", *extra)]
     out = out.mapInArrow(_finish(window, with_text), ", ".join(
-        [*head, "n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string", "kept binary"]))
+        [*head, "n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string", "kept string"]))
     return out.withColumnRenamed("_id", id_col)
 
 
