@@ -37,6 +37,8 @@ from logweave.llm.common import mix64, table
 MARK = "▁"
 LONG = 400
 MEMO_WORDS = 500_000
+#: characters of one part of a long text, and of the words that one lattice holds
+PART_CHARS = 1 << 20
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 _LOADED: dict = {}
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +59,8 @@ class Pieces:
         self.longest = max(len(name[k]) for k in plain)
         score = np.array([self.sp.get_score(k) for k in range(n)])
         order = np.lexsort((np.arange(n), -score))
-        self.rank = np.empty(n, np.int32)
+        self.none = n  # stands for no piece; its rank is the last
+        self.rank = np.full(n + 1, n + 1, np.int32)
         self.rank[order] = np.unique(-score[order], return_inverse=True)[1]
         self.bytes_of = [x.encode() for x in name]
         self.byte_id = np.zeros(256, np.int32)
@@ -80,9 +83,9 @@ class Pieces:
         self.filter[h >> np.uint64(42)] = True
 
     def lattice(self, points: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Ids of the pieces at (start, length - 1) of all characters, -1 where there is none.
+        """Ids of the pieces at (start, length - 1) of all characters, ``none`` where there is none.
         ``end``: end of the word of each character."""
-        out = np.full((len(points), self.longest), -1, np.int32)
+        out = np.full((len(points), self.longest), self.none, np.int32)
         h, at = np.zeros(len(points), np.uint64), np.arange(len(points))
         for k in range(self.longest):
             at = at[at + k < end[at]]
@@ -102,38 +105,44 @@ class Pieces:
         stop = np.cumsum(size)
         end_of = np.repeat(stop, size)
         ids = self.lattice(points, end_of)
-        none = np.int64(1) << 40
-        cost = np.where(ids >= 0, self.rank[ids], none)
-        start, word = np.arange(len(points)), np.repeat(np.arange(len(words)), size)
+        last_rank = self.rank[self.none]
+        flat, wide = ids.ravel(), self.longest
         live = np.ones(len(points), bool)  # characters that begin a symbol
-        todo_s, todo_w = start, word
-        while len(todo_s):
-            # symbols of the words that still change, in order
-            nxt = np.append(todo_s[1:], 0)
-            last = np.append(todo_w[1:] != todo_w[:-1], True)
-            after = np.append(nxt[1:], 0)
-            after = np.where(np.append(last[1:], True), end_of[todo_s], after)
-            length = after - todo_s
-            ok = ~last & (length <= self.longest)
-            c = np.full(len(todo_s), none)
-            c[ok] = cost[todo_s[ok], length[ok] - 1]
-            first = np.flatnonzero(np.concatenate([[True], todo_w[1:] != todo_w[:-1]]))
-            best = np.minimum.reduceat(c, first)
-            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(todo_s))))
-            hit = np.flatnonzero((c == best[of]) & (c < none))
-            if not len(hit):
+        at, word = np.arange(len(points), dtype=np.int32), np.repeat(np.arange(len(words), dtype=np.int32), size)
+        end_of = end_of.astype(np.int32)
+        while len(at):
+            # symbols of the words that still change, in order; each may join its right neighbour
+            inner = np.flatnonzero(word[1:] == word[:-1])
+            if not len(inner):
                 break
+            after = np.append(at[1:], 0)
+            over = np.append(word[2:] != word[:-2], True)[inner]  # the neighbour is the word's last symbol
+            after = np.where(over, end_of[at[inner]], np.append(after[1:], 0)[inner])
+            length = after - at[inner]
+            fits = length <= wide
+            inner, length = inner[fits], length[fits]
+            c = self.rank[flat[at[inner] * wide + length - 1]]
+            can = c < last_rank
+            inner, c = inner[can], c[can]
+            if not len(inner):
+                break
+            of = word[inner]
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            best = np.repeat(np.minimum.reduceat(c, first), np.diff(np.append(first, len(c))))
+            hit = np.flatnonzero(c == best)
             hit = hit[np.concatenate([[True], of[hit][1:] != of[hit][:-1]])]  # leftmost of each word
-            gone = hit + 1
-            live[todo_s[gone]] = False
-            keep = best[of] < none
+            gone = inner[hit] + 1
+            live[at[gone]] = False
+            keep = np.zeros(len(words), bool)
+            keep[of[first]] = True
+            keep = keep[word]
             keep[gone] = False
-            todo_s, todo_w = todo_s[keep], todo_w[keep]
+            at, word = at[keep], word[keep]
         s = np.flatnonzero(live)
         e = np.append(s[1:], len(points))
         got = ids[s, np.minimum(e - s, self.longest) - 1]
         out, cuts = [], np.searchsorted(s, np.concatenate([[0], stop]))
-        strange = np.flatnonzero(got < 0)
+        strange = np.flatnonzero(got == self.none)
         if not len(strange):
             return [got[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])]
         bad = set(np.searchsorted(cuts, strange, side="right") - 1)
@@ -141,23 +150,49 @@ class Pieces:
             if k not in bad:
                 out.append(got[a:z].tobytes())
                 continue
-            parts = [self.byte_id[list(chr(points[s[x]]).encode("utf-8", "surrogatepass"))] if got[x] < 0 else got[x:x + 1] for x in range(a, z)]
+            parts = [self.byte_id[list(chr(points[s[x]]).encode("utf-8", "surrogatepass"))] if got[x] == self.none else got[x:x + 1] for x in range(a, z)]
             out.append(np.concatenate(parts).astype(np.int32).tobytes())
         return out
 
-    def encode(self, texts: list, memo: dict) -> list[np.ndarray]:
-        split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    def _encode_marked(self, marked: list[str], memo: dict) -> list[bytes]:
+        split = [_WORDS.findall(t) for t in marked]
         new = list(set().union(*split) - memo.keys()) if split else []
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
             new = list(set().union(*split))
-        short = [w for w in new if len(w) <= LONG]
-        if short:
-            memo.update(zip(short, self.merge(short)))
+        part, chars = [], 0
         for w in new:
             if len(w) > LONG:
                 memo[w] = np.array(self.sp.encode(w[1:].replace(MARK, " ")), np.int32).tobytes()
-        return [np.frombuffer(b"".join(map(memo.__getitem__, x)), np.int32) for x in split]
+                continue
+            part.append(w)
+            chars += len(w)
+            if chars >= PART_CHARS:  # the lattice of one part is bounded
+                memo.update(zip(part, self.merge(part)))
+                part, chars = [], 0
+        if part:
+            memo.update(zip(part, self.merge(part)))
+        return [b"".join(map(memo.__getitem__, x)) for x in split]
+
+    def encode(self, texts: list, memo: dict) -> list[np.ndarray]:
+        """Ids of whole texts; long ones go in parts that begin at a blank."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        out: list = [None] * len(marked)
+        short = [k for k, t in enumerate(marked) if len(t) <= PART_CHARS]
+        for k, ids in zip(short, self._encode_marked([marked[k] for k in short], memo)):
+            out[k] = ids
+        for k, t in enumerate(marked):
+            if out[k] is None:
+                ids, at = [], 0
+                while at < len(t):
+                    to = t.find(MARK, at + PART_CHARS)
+                    while to > 0 and t[to - 1] == MARK:  # a run of blanks stays in one part
+                        to = t.find(MARK, to + 1)
+                    to = len(t) if to < 0 else to
+                    ids += self._encode_marked([t[at:to]], memo)
+                    at = to
+                out[k] = b"".join(ids)
+        return [np.frombuffer(x, np.int32) for x in out]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
