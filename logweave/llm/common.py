@@ -20,6 +20,8 @@ def prepare(spark: SparkSession) -> None:
     pin_utc(spark)
     ship_package(spark)
     checkpoint_dir(spark, local_fallback=True)
+    # whole texts travel in Arrow batches; both sides of the pipe hold one batch at a time
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ from logweave.llm.common import mix64, table
 
 MARK = "▁"
 LONG = 400
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 #: characters of one part of a long text, and of the words that one lattice holds
 PART_CHARS = 1 << 20
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -201,10 +201,10 @@ class Pieces:
 
 
 def pieces_of(path: str) -> tuple[Pieces, dict]:
-    """The piece table of ``path`` and the memo of a worker."""
+    """The piece table of ``path``, kept by the worker, and a memo for one task."""
     if path not in _LOADED:
-        _LOADED[path] = (Pieces(path), {})
-    return _LOADED[path]
+        _LOADED[path] = Pieces(path)
+    return _LOADED[path], {}
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", digest: bool = False) -> DataFrame:

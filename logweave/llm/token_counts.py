@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import cut, table
 
-#: distinct words that one Python worker remembers
-MEMO_WORDS = 400_000
+#: distinct words that one task remembers
+MEMO_WORDS = 300_000
 _BLANK = re.compile("[ \t\n\r]+")
 _STABLE = re.compile("(?<=[ \t\n\r0-9])(?=[^ \t\n\r])")
 _LOADED: dict = {}
@@ -44,13 +44,13 @@ def tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _LOADED[path] = (t, {})
+        _LOADED[path] = t
     return _LOADED[path]
 
 
-def count_words(texts: list[str], path: str) -> list[int]:
+def count_words(texts: list[str], path: str, memo: dict) -> list[int]:
     """Token counts of short texts from the counts of their words."""
-    tok, memo = tokenizer(path)
+    tok = tokenizer(path)
     split = [_BLANK.split(x) for x in texts]
     new = list(set().union(*split) - memo.keys()) if split else []
     if len(memo) + len(new) > MEMO_WORDS:
@@ -63,13 +63,14 @@ def count_words(texts: list[str], path: str) -> list[int]:
 
 def _first_pass(path: str, chunk: int):
     def run(batches):
+        memo: dict = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 size = [len(x.encode()) for x in texts]
                 short = [k for k, n in enumerate(size) if n <= chunk]
-                count = dict(zip(short, count_words([texts[k] for k in short], path)))
+                count = dict(zip(short, count_words([texts[k] for k in short], path, memo)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(size, pa.int64()), pa.array([count.get(k) for k in range(len(size))], pa.int64()),
                      pa.array([None if k in count else texts[k] for k in range(len(size))], pa.string())],
@@ -96,7 +97,7 @@ def _encode(path: str, chunk: int, overlap: int):
     place = pa.list_(pa.struct([("p", pa.int64()), ("before", pa.int64())]))
 
     def run(batches):
-        tok, _ = tokenizer(path)
+        tok = tokenizer(path)
         for batch in batches:
             c = batch.to_pydict()
             lefts, rights, totals = [], [], []
