@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -47,6 +49,21 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(fn):
+    """Give freed memory back when a task ends: Spark reuses Python workers, and a
+    worker that keeps the peak of an earlier task takes it from the executor."""
+    @functools.wraps(fn)
+    def run(*args):
+        try:
+            yield from fn(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+    return run
+
+
 def buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string or binary column; null counts as empty."""
     arr = pa.chunked_array(col) if isinstance(col, list) else col

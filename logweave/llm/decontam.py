@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import blocks, buffers, cut, lower_ascii, table, window_hashes, words
+from logweave.llm.common import blocks, buffers, cut, lower_ascii, table, tidy, window_hashes, words
 
 SPANS = "array<struct<begin:bigint,end:bigint>>"
 
@@ -105,6 +105,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes:
     return df.withColumnsRenamed({"_id": id_col, "_text": text_col})
 
 
+@tidy
 def _scan_batches(it, windows: Windows, fixed: int):
     struct = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     for batch in it:

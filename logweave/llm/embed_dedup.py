@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, table
+from logweave.llm.common import cut, table, tidy
 from logweave.llm.features import uniform
 from logweave.llm.graph import classes, linked_rows, on_cells, pairs_of, results, to_cells
 
@@ -130,6 +130,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     sample = np.array(sorted(r["vec"] for r in got if len(r["vec"]) == dim)).reshape(-1, dim)
     shared = spark.sparkContext.broadcast(learn(sample, largest, cosine, recall))
 
+    @tidy
     def index(batches):
         itq = shared.value
         for batch in batches:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import BLOCK_BYTES, buffers, lower_ascii
+from logweave.llm.common import BLOCK_BYTES, buffers, lower_ascii, tidy
 
 SIZES = (2, 3, 4)
 _MULT = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
@@ -86,6 +86,7 @@ def collect_counts(sample: DataFrame, label: str, bits: int, most_rows: int, mor
     ``sample`` has ``doc_id``, ``text`` and the label column.  At most ``most_rows``
     rows reach the driver, each at most 8 bytes per bucket, whatever the text length.
     """
+    @tidy
     def run(batches):
         for batch in batches:
             b, off = buffers(batch.column(1))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut
+from logweave.llm.common import cut, tidy
 
 
 def to_cells(df: DataFrame, group: str, node: str, n_blocks: Column) -> DataFrame:
@@ -40,6 +40,7 @@ def on_cells(df: DataFrame, work: Callable[[dict[str, list]], tuple | None]) ->
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = df.columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]):
         held: dict[str, list] = {c: [] for c in names}
         for batch in batches:

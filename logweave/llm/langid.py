@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import buffers, held_out, lower_ascii, table
+from logweave.llm.common import buffers, held_out, lower_ascii, table, tidy
 from logweave.llm.features import collect_counts, gram_sums, matrix, per_class_sample
 
 
@@ -102,6 +102,7 @@ def predict(docs: DataFrame, model: LangModel | None, id_col="doc_id", text_col=
     """``docs`` plus lang_pred, score (calibrated probability) and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (1 << bits) * languages floats
 
+    @tidy
     def run(batches):
         m = shared.value
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import blocks, buffers, cut, mix64, table, window_hashes, words
+from logweave.llm.common import blocks, buffers, cut, mix64, table, tidy, window_hashes, words
 from logweave.llm.graph import components, linked_rows, on_cells, pairs_of, results, to_cells
 
 TREES, MAX_DEPTH = 24, 8
@@ -77,6 +77,7 @@ def set_digest(s: np.ndarray) -> bytes:
 
 
 def _sign(size: int, depth: int):
+    @tidy
     def run(batches):
         for batch in batches:
             b, off = buffers(batch.column(1))
@@ -176,6 +177,7 @@ def _verify(threshold: float):
 
 def _sets(size: int):
     """Shingle sets of the texts whose digest is the class they were joined to."""
+    @tidy
     def run(batches):
         for batch in batches:
             b, off = buffers(batch.column(1))

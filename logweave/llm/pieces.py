@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import mix64, table
+from logweave.llm.common import mix64, table, tidy
 
 MARK = "▁"
 LONG = 400
@@ -214,6 +214,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", digest: bool = Fals
     src = df.select(F.col(text_col).alias("_text"), *keep)
     made = "n_pieces bigint, ids_sha256 string" if digest else "ids array<int>"
 
+    @tidy
     def run(batches):
         p, memo = pieces_of(path)
         for batch in batches:
@@ -238,6 +239,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", digest: bool = Fals
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``df`` plus ``text``, decoded from the ids (null ids: null)."""
+    @tidy
     def run(batches):
         p, _ = pieces_of(path)
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import buffers, cut, held_out, table, words
+from logweave.llm.common import buffers, cut, held_out, table, tidy, words
 from logweave.llm.features import collect_counts, gram_sums, matrix, per_class_sample
 
 N_SHAPE = 11
@@ -125,6 +125,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """``doc_id``, ``score`` of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (1 << bits) floats
 
+    @tidy
     def run(batches):
         m = shared.value
         for batch in batches:

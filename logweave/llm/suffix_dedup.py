@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import BLOCK_BYTES, buffers, cut, groups_of, mix64, table
+from logweave.llm.common import BLOCK_BYTES, buffers, cut, groups_of, mix64, table, tidy
 
 GRAM = 16
 #: anchors of one chunk, segments of one collection
@@ -159,6 +159,7 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 
 def _find_anchors(window: int, n_buckets: int):
+    @tidy
     def run(batches):
         part, flushed = TaskContext.get().partitionId(), 0
         keys, doc, pos, val, held = [], [], [], [], 0
@@ -191,6 +192,7 @@ def _find_anchors(window: int, n_buckets: int):
 
 def _match_buckets(hot_docs: int, n_buckets: int):
     """Answer every chunk: places whose hash another document has, and hashes of very many documents."""
+    @tidy
     def run(batches):
         for key, rows in groups_of(batches):
             if key < 0:
@@ -222,6 +224,7 @@ def _match_buckets(hot_docs: int, n_buckets: int):
     return run
 
 
+@tidy
 def _places(batches):
     """Per document: places of its shared anchors, the hot ones with the top bit set."""
     for _, rows in groups_of(batches):
@@ -306,6 +309,7 @@ def _segments(window: int, flush_rows: int = 200_000):
              *(pa.array(np.concatenate(x)) for x in ((doc[go], none), (key[go], key_), (pos[go], begin))),
              pa.array(np.concatenate([at[go], end - begin]).astype(np.int32))], ["g", "seg", "doc", "key", "pos", "at"])
 
+    @tidy
     def run(batches):
         names: dict = {}
         cols: list = [[], [], [], [], []]
@@ -353,6 +357,7 @@ def _segments(window: int, flush_rows: int = 200_000):
     return run
 
 
+@tidy
 def _packed(batches):
     """First column (text) as zstd frames, null as null: texts travel compressed."""
     from zstandard import ZstdCompressor
@@ -522,6 +527,7 @@ def _collections(window: int, spool_rows: int):
     def batch(key, begin, end):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, begin, end)], ["key", "begin", "end"])
 
+    @tidy
     def run(batches):
         held: list = []
 
@@ -558,6 +564,7 @@ def _collections(window: int, spool_rows: int):
 def _finish(window: int, with_text: bool):
     empty = hashlib.sha256(b"").hexdigest()
 
+    @tidy
     def run(batches):
         for batch in batches:
             c = batch.column

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, table
+from logweave.llm.common import cut, table, tidy
 
 #: distinct words that one task remembers
 MEMO_WORDS = 300_000
@@ -62,6 +62,7 @@ def count_words(texts: list[str], path: str, memo: dict) -> list[int]:
 
 
 def _first_pass(path: str, chunk: int):
+    @tidy
     def run(batches):
         memo: dict = {}
         for batch in batches:
@@ -80,6 +81,7 @@ def _first_pass(path: str, chunk: int):
 
 def _cut_up(chunk: int, overlap: int):
     """Chunk k covers code points [k * chunk - overlap, (k + 1) * chunk + overlap)."""
+    @tidy
     def run(batches):
         for batch in batches:
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -96,6 +98,7 @@ def _cut_up(chunk: int, overlap: int):
 def _encode(path: str, chunk: int, overlap: int):
     place = pa.list_(pa.struct([("p", pa.int64()), ("before", pa.int64())]))
 
+    @tidy
     def run(batches):
         tok = tokenizer(path)
         for batch in batches:
