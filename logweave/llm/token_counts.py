@@ -139,7 +139,7 @@ def _resynchronised(long: DataFrame, path: str, chunk: int, overlap: int) -> Dat
     w = Window.partitionBy("rid").orderBy("k")
     enc = enc.withColumn("prev", F.lag("right_zone").over(w)).withColumn("next", F.lead("left_zone").over(w))
     common = lambda a, b: F.array_min(F.array_intersect(F.transform(a, lambda z: z["p"]), F.transform(b, lambda z: z["p"])))
-    before = lambda zone, p: F.filter(zone, lambda z: z["p"] == p)[0]["before"]
+    before = lambda zone, p: F.get(F.filter(zone, lambda z: z["p"] == p), F.lit(0))["before"]
     enc = enc.withColumn("p0", common(F.col("prev"), F.col("left_zone"))).withColumn("p1", common(F.col("right_zone"), F.col("next")))
     lo = F.when(F.col("k") == 0, F.lit(0)).otherwise(before(F.col("left_zone"), F.col("p0")))
     hi = F.when(F.col("k") + 1 == F.col("n"), F.col("total")).otherwise(before(F.col("right_zone"), F.col("p1")))
