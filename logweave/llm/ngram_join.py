@@ -253,7 +253,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = out.filter(F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()))
     keep = cut(keep.groupBy(F.xxhash64("doc_id", "text_hash").alias("_key")).agg(F.count(F.lit(1)).alias("n")), "kept")
     left = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text")))
-    left = left.join(keep.select("_key"), "_key", "left_semi")
+    left = left.join(keep.select("_key").hint("merge"), "_key", "left_semi")
     if not keep.filter("n > 1").isEmpty():
         left = left.dropDuplicates(["_key"])
     return left.select(*cols)
