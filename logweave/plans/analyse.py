@@ -74,15 +74,15 @@ def theme_tables(commits: DataFrame, threshold: float = 0.20, min_size: int = 2,
 
 
 def analyse(commits: DataFrame, since=None, until=None, author=None, branch=None,
-            max_commits: int | None = 200, **theme_args) -> Themes:
-    """The reference's ``analyse`` selection (F1-F4, newest 200 by default)
+            max_commits: int | None = None, **theme_args) -> Themes:
+    """The reference's ``analyse`` selection (F1-F4; all commits unless ``max_commits`` is given)
     followed by ``theme_tables``."""
     sel = flt.select_log(commits, since, until, author, branch, max_commits)
     return theme_tables(sel, **theme_args)
 
 
 def hotfiles(numstat: DataFrame, commits: DataFrame | None = None, since=None, until=None,
-             author=None, branch=None, max_commits: int | None = 200,
+             author=None, branch=None, max_commits: int | None = None,
              min_commits: int = 2, top: int = 20) -> DataFrame:
     """The reference's ``hotfiles`` command: churn of the selected commits,
     top-n per repo with heat values."""

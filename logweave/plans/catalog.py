@@ -306,17 +306,6 @@ def q_theme_keywords(spark, sf):
     return _themes(spark, sf).keywords.withColumn("weight", F.round("weight", 6))
 
 
-@register("greedy_themes")
-def q_greedy_themes(spark, sf):
-    """C1, the reference's exact moving-centroid rule, over the reference's
-    own analysis window (newest 200 commits of each repo).  No SQL oracle:
-    checked against a plain-Python model in tests/."""
-    commits = tables.commits_from_documents(spark, sf)
-    t = _an.analyse(commits, max_commits=200, threshold=THRESHOLD, min_size=MIN_SIZE,
-                    k=KEYWORDS_K, algorithm="greedy")
-    return t.ranked.select("repo", "seq", "seed_seq", "cluster_id")
-
-
 # --------------------------------------------------------------------------
 # Labels (L1-L5), roll-ups (A7, A8, W5), joins (J1, J2), sinks
 # --------------------------------------------------------------------------
@@ -471,12 +460,12 @@ _PARSE_PAT = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 WITH a AS (SELECT conv_id, turn, list_filter(list_transform(
              regexp_split_to_array(coalesce(text, ''), '{_PARSE_PAT}'),
              lambda s: trim(s, '{O.WS}')), lambda s: s <> '') AS l
-           FROM conversations WHERE role = 'assistant')
+           FROM conversations)
 SELECT conv_id, turn, coalesce(l[1], 'Miscellaneous') AS title, coalesce(l[2], '') AS summary,
        coalesce(l[3], 'None') AS action_items FROM a""")
 def q_parse_label(spark, sf):
-    """L4 over the assistant turns of ``conversations`` (model replies)."""
-    c = tables.read_table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    """L4 over every turn of ``conversations``."""
+    c = tables.read_table(spark, sf, "conversations")
     p = _lab.parse_label("text")
     return c.select("conv_id", "turn", p["title"].alias("title"), p["summary"].alias("summary"),
                     p["action_items"].alias("action_items"))
