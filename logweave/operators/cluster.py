@@ -19,6 +19,7 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
 import math
 
@@ -31,7 +32,6 @@ from logweave.operators.vectors import pack
 from logweave.session import checkpoint_dir
 
 LOG = logging.getLogger(__name__)
-MAX_GROUP_ROWS = 20_000
 TIE_DIGITS = 9
 
 
@@ -46,11 +46,7 @@ def _check_args(threshold: float, min_size: int) -> None:
 # Exact sequential rule, one repo per group
 # ---------------------------------------------------------------------------
 
-def _greedy_group(pdf: pd.DataFrame, threshold: float, max_rows: int) -> pd.DataFrame:
-    if len(pdf) > max_rows:
-        raise ValueError(
-            f"repo {pdf['repo'].iloc[0]!r} has {len(pdf)} rows for greedy_themes "
-            f"(limit {max_rows}); lower max_commits or use leader_themes")
+def _greedy_group(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     pdf = pdf.sort_values("seq", kind="stable")
     index: dict = {}      # term -> {cluster: running sum of weights}
     sq: list = []         # squared norm of each cluster's running sum
@@ -91,15 +87,15 @@ def _greedy_group(pdf: pd.DataFrame, threshold: float, max_rows: int) -> pd.Data
     return res
 
 
-def greedy_themes(docs: DataFrame, postings: DataFrame, threshold: float = 0.20,
-                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def greedy_themes(docs: DataFrame, postings: DataFrame, threshold: float = 0.20) -> DataFrame:
     """``(repo, seq, seed_seq)`` for every document (seed_seq = first
-    member of its cluster).  Rows without tokens become singletons."""
+    member of its cluster).  Rows without tokens become singletons.  A repo is
+    one task; ``leader_themes`` is the form for whole corpora."""
     _check_args(threshold, 1)
     packed = docs.select("repo", "seq").join(pack(postings), ["repo", "seq"], "left")
-    t, cap = float(threshold), int(max_group_rows)
+    t = float(threshold)
     return packed.groupBy("repo").applyInPandas(
-        lambda pdf: _greedy_group(pdf, t, cap),
+        lambda pdf: _greedy_group(pdf, t),
         schema="repo string, seq long, seed_seq long")
 
 
@@ -107,8 +103,7 @@ def greedy_themes(docs: DataFrame, postings: DataFrame, threshold: float = 0.20,
 # Fixed seeds, distributed rounds
 # ---------------------------------------------------------------------------
 
-def leader_themes(docs: DataFrame, edges: DataFrame, max_rounds: int = 10_000,
-                  edges_materialized: bool = False) -> DataFrame:
+def leader_themes(docs: DataFrame, edges: DataFrame, edges_materialized: bool = False) -> DataFrame:
     """``(repo, seq, seed_seq)`` for every document.
 
     ``edges`` are the similarity-join output (``seq_a < seq_b``, sim >
@@ -130,7 +125,7 @@ def leader_themes(docs: DataFrame, edges: DataFrame, max_rounds: int = 10_000,
                       F.when(F.col("x").isNull(), F.lit("S")).alias("status"))
               ).checkpoint()
     pending = e.select("repo", "seq_a", "seq_b")
-    for rnd in range(max_rounds):
+    for rnd in itertools.count():
         undecided = status.filter(F.col("status").isNull()).select("repo", F.col("seq").alias("seq_b"))
         pending = pending.join(undecided, ["repo", "seq_b"], "left_semi")
         src = status.select("repo", F.col("seq").alias("seq_a"), F.col("status").alias("sa"))
@@ -149,8 +144,6 @@ def leader_themes(docs: DataFrame, edges: DataFrame, max_rounds: int = 10_000,
         if status.filter(F.col("status").isNull()).limit(1).count() == 0:
             LOG.info("leader_themes converged after %d rounds", rnd + 1)
             break
-    else:
-        raise RuntimeError(f"leader_themes did not converge in {max_rounds} rounds")
     seeds = status.filter(F.col("status") == "S").select("repo", F.col("seq").alias("seq_a"))
     best = (e.join(seeds, ["repo", "seq_a"], "left_semi")
             .groupBy("repo", "seq_b")

@@ -49,6 +49,7 @@ def theme_tables(commits: DataFrame, threshold: float = 0.20, min_size: int = 2,
     runs.
     """
     cl._check_args(threshold, min_size)
+    checkpoint_dir(commits.sparkSession)
     docs = documents_of(commits)
     postings = vec.tfidf(docs)
     if persist:
@@ -56,7 +57,6 @@ def theme_tables(commits: DataFrame, threshold: float = 0.20, min_size: int = 2,
     else:
         # postings feed both the similarity join and the keywords: write them
         # once to the shared checkpoint folder (also cuts the lineage)
-        checkpoint_dir(commits.sparkSession)
         postings = postings.checkpoint()
     if algorithm == "leader":
         # exact copies are collapsed first, so a big group of copies never
@@ -66,6 +66,8 @@ def theme_tables(commits: DataFrame, threshold: float = 0.20, min_size: int = 2,
         assignment = cl.greedy_themes(docs, postings, threshold)
     else:
         raise ValueError("algorithm must be 'leader' or 'greedy'")
+    # ranks, sizes, labels and reports all start from the assignment: write it once
+    assignment = assignment.checkpoint()
     ranked = cl.rank_clusters(assignment, min_size)
     if persist:
         ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
@@ -73,19 +75,21 @@ def theme_tables(commits: DataFrame, threshold: float = 0.20, min_size: int = 2,
     return Themes(docs, postings, assignment, ranked, keywords)
 
 
-def analyse(commits: DataFrame, since=None, until=None, author=None, branch=None,
+def analyse(commits: DataFrame, since=None, until=None, author=None, branch: str = "HEAD",
             max_commits: int | None = None, **theme_args) -> Themes:
     """The reference's ``analyse`` selection (F1-F4; all commits unless ``max_commits`` is given)
-    followed by ``theme_tables``."""
+    followed by ``theme_tables``.  One ref is analysed: ``seq`` is a position in
+    the log of one ref, so logs of several refs are never mixed."""
     sel = flt.select_log(commits, since, until, author, branch, max_commits)
     return theme_tables(sel, **theme_args)
 
 
 def hotfiles(numstat: DataFrame, commits: DataFrame | None = None, since=None, until=None,
-             author=None, branch=None, max_commits: int | None = None,
+             author=None, branch: str = "HEAD", max_commits: int | None = None,
              min_commits: int = 2, top: int = 20) -> DataFrame:
-    """The reference's ``hotfiles`` command: churn of the selected commits,
-    top-n per repo with heat values."""
+    """The reference's ``hotfiles`` command: churn of the selected commits of one
+    ref, top-n per repo with heat values."""
+    numstat = numstat.filter(F.col("ref") == F.lit(branch))
     if commits is not None:
         sel = flt.select_log(commits, since, until, author, branch, max_commits)
         numstat = flt.churn_for_commits(numstat, sel)

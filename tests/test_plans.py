@@ -3,6 +3,8 @@ writing every report format."""
 
 import os
 
+from pyspark.sql import functions as F
+
 from logweave.operators import cluster as cl
 from logweave.operators import labels as L
 from logweave.plans import analyse as an
@@ -50,3 +52,14 @@ def test_hotfiles_plan(spark, tmp_path):
     out = spark.read.options(**S.CSV_OPTIONS).csv(str(tmp_path / "h"))
     assert out.columns[:6] == ["rank", "path", "commit_count", "lines_added", "lines_deleted", "churn_score"]
     assert out.count() == len(rows)
+
+
+def test_one_ref_is_analysed(spark):
+    rows = [("r", ref, i, f"{ref}{i}", "a", "a@x", "2024-01-0%d 00:00:00" % (i + 1), "harbour lantern", "")
+            for ref in ("HEAD", "side") for i in range(3)]
+    commits = spark.createDataFrame(rows, "repo string, ref string, seq long, sha string, author string, email string, "
+                                          "ts string, subject string, body string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert sorted(tuple(r) for r in an.analyse(commits).ranked.select("seq", "cluster_id").collect()) == [(0, 1), (1, 1), (2, 1)]
+    numstat = spark.createDataFrame([("r", ref, 0, 0, 1, 1, "f") for ref in ("HEAD", "side")],
+                                    "repo string, ref string, commit_seq long, line_no long, added long, deleted long, path string")
+    assert [r.commit_count for r in an.hotfiles(numstat, commits, min_commits=1).collect()] == [1]
