@@ -140,7 +140,7 @@ def similarity_join(postings: DataFrame, threshold: float = 0.2,
 
     1. each document's terms are split into a prefix (rare terms) and a
        suffix (the common-term tail, L2 norm <= ``suffix_budget``, default
-       threshold / 4);
+       and at most the threshold, so words common to all stay out);
     2. ``A(a, b)`` = dot over a's *prefix* terms, from joining prefix
        postings with all postings on (repo, term).  Any pair with cosine >
        threshold shares its rarest common term in a's prefix, so it has
@@ -158,7 +158,7 @@ def similarity_join(postings: DataFrame, threshold: float = 0.2,
     t = float(threshold)
     if method == "plain" or t <= 0:
         return _plain_join(postings).filter(F.col("sim") > F.lit(t))
-    budget = t / 4.0 if suffix_budget is None else min(float(suffix_budget), t)
+    budget = t if suffix_budget is None else min(float(suffix_budget), t)
     # marked postings are read three times below: materialise them once in
     # the shared checkpoint folder (cuts lineage, no recomputed TF-IDF)
     checkpoint_dir(postings.sparkSession)

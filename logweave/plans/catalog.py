@@ -483,7 +483,17 @@ def echo_labeller(prompts):
     return out
 
 
-@register("label_themes")
+_TITLE_SQL = """array_to_string(list_transform(string_split(s, ''), lambda ch, i: CASE WHEN i = 1 OR NOT
+  regexp_matches(substring(s, i - 1, 1), '[A-Za-z]') THEN upper(ch) ELSE lower(ch) END), '')"""
+
+
+@register("label_themes", _text_sql(f"""
+SELECT repo, CAST(cluster_id AS INTEGER) AS cluster_id, {_TITLE_SQL} AS title,
+       'Commits (' || CAST(size AS VARCHAR) || ' total' || CASE WHEN size > 30 THEN ', showing 30' ELSE '' END || ')' AS summary,
+       'None' AS action_items
+FROM (SELECT c.repo, c.cluster_id, c.size, CASE WHEN coalesce(len(k.keywords), 0) > 0
+             THEN array_to_string(k.keywords, ', ') ELSE '(none detected)' END AS s
+      FROM clusters c LEFT JOIN kwl k ON c.repo = k.repo AND c.cluster_id = k.cluster_id)""", LABEL_CTES))
 def q_label_themes(spark, sf):
     """L5 with a local deterministic labeller (no service is called)."""
     c = _Ctx(spark, sf)
@@ -491,20 +501,71 @@ def q_label_themes(spark, sf):
     return _lab.label_themes(prompts, echo_labeller, c.labels, max_concurrent=3)
 
 
-@register("report_markdown")
+REPORT_CTES = LABEL_CTES + """,
+roll AS (SELECT b.repo, b.cluster_id, l.title, l.summary, l.action_items, b.n, b.earliest, b.latest, len(b.al) AS n_authors,
+                array_to_string(b.al[1:3], ', ') || CASE WHEN len(b.al) > 3 THEN ' +' || CAST(len(b.al) - 3 AS VARCHAR) ELSE '' END AS authors
+         FROM (SELECT repo, cluster_id, count(*) AS n, strftime(min(date), '%Y-%m-%d') AS earliest,
+                      strftime(max(date), '%Y-%m-%d') AS latest, list_sort(list_distinct(list(author))) AS al
+               FROM mem GROUP BY ALL) b
+         LEFT JOIN labels l ON b.repo = l.repo AND b.cluster_id = l.cluster_id),
+heads AS (SELECT t.repo, t.total, coalesce(k.found, 0) AS found
+          FROM (SELECT repo, count(*) AS total FROM commits GROUP BY repo) t
+          LEFT JOIN (SELECT repo, count(*) AS found FROM roll GROUP BY repo) k ON t.repo = k.repo),
+loose AS (SELECT c.repo, count(*) AS n FROM commits c JOIN ranked r ON c.repo = r.repo AND c.seq = r.seq
+          WHERE r.cluster_id IS NULL GROUP BY c.repo)"""
+
+
+@register("report_markdown", _text_sql(f"""
+SELECT repo, CAST(section AS BIGINT) AS section, CAST(base + i AS BIGINT) AS line_no, text FROM (
+  SELECT repo, section, base, unnest(l) AS text, unnest(range(len(l))) AS i FROM (
+    SELECT repo, 0 AS section, 0 AS base,
+           ['# Commit Themes — `' || repo || '`', '', '*Generated {GENERATED_AT}*  ',
+            '*Analysed ' || CAST(total AS VARCHAR) || ' commits across ' || CAST(found AS VARCHAR) || ' themes*',
+            '', '## Themes', ''] AS l FROM heads
+    UNION ALL
+    SELECT repo, cluster_id, 0,
+           ['### ' || CAST(cluster_id AS VARCHAR) || '. ' || title, '',
+            '**' || CAST(n AS VARCHAR) || ' commits** · ' || earliest || ' → ' || latest || ' · ' || authors,
+            '', summary, '', '<details><summary>Commits</summary>', '',
+            '| SHA | Date | Author | Subject |', '|-----|------|--------|---------|'] FROM roll
+    UNION ALL
+    SELECT repo, cluster_id, 1000 + line,
+           ['| `' || substring(sha, 1, 8) || '` | ' || strftime(date, '%Y-%m-%d') || ' | ' || author || ' | '
+            || replace(subject, '|', '\\|') || ' |']
+    FROM (SELECT *, row_number() OVER (PARTITION BY repo, cluster_id ORDER BY seq) AS line FROM mem) WHERE line <= 20
+    UNION ALL
+    SELECT repo, cluster_id, 1000000,
+           list_concat(CASE WHEN n > 20 THEN ['| … | … | … | *+' || CAST(n - 20 AS VARCHAR) || ' more* |'] ELSE [] END,
+                       ['', '</details>', '']) FROM roll
+    UNION ALL
+    SELECT repo, 1073741824, 0,
+           ['## Unclustered Commits', '', '*' || CAST(n AS VARCHAR) || ' commits did not fit any theme.*', ''] FROM loose))""",
+    REPORT_CTES))
 def q_report_markdown(spark, sf):
-    """E2 line rows (rows-only check; the parts are checked by theme_rollup,
-    theme_preview and unclustered)."""
+    """E2 line rows."""
     c = _Ctx(spark, sf)
     return _sink.report_markdown_lines(c.commits, c.t.ranked, c.labels, GENERATED_AT)
 
 
-@register("report_json")
+@register("report_json", _text_sql(f"""
+SELECT repo, 'repo' AS kind, '{GENERATED_AT}' AS generated_at, CAST(total AS BIGINT) AS total_commits,
+       CAST(found AS BIGINT) AS themes_found, '' AS overall_summary, CAST(NULL AS INTEGER) AS theme,
+       CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS action_items,
+       CAST(NULL AS BIGINT) AS commit_count, CAST(NULL AS VARCHAR) AS earliest, CAST(NULL AS VARCHAR) AS latest,
+       CAST(NULL AS BIGINT) AS n_authors, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS BIGINT) AS seq,
+       CAST(NULL AS VARCHAR) AS sha, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS subject FROM heads
+UNION ALL BY NAME
+SELECT repo, 'theme' AS kind, CAST(cluster_id AS INTEGER) AS theme, title, summary, action_items,
+       CAST(n AS BIGINT) AS commit_count, earliest, latest, CAST(n_authors AS BIGINT) AS n_authors FROM roll
+UNION ALL BY NAME
+SELECT DISTINCT repo, 'author' AS kind, CAST(cluster_id AS INTEGER) AS theme, author FROM mem
+UNION ALL BY NAME
+SELECT repo, 'commit' AS kind, CAST(cluster_id AS INTEGER) AS theme, seq, substring(sha, 1, 8) AS sha,
+       strftime(date, '%Y-%m-%d') AS date, author, subject FROM mem""", REPORT_CTES))
 def q_report_json(spark, sf):
-    """E1 records as JSON text (rows-only check)."""
+    """E1 records."""
     c = _Ctx(spark, sf)
-    rec = _sink.report_json_frame(c.commits, c.t.ranked, c.labels, GENERATED_AT)
-    return rec.select("repo", "theme", "part", F.to_json(F.struct(*rec.columns)).alias("json"))
+    return _sink.report_json_frame(c.commits, c.t.ranked, c.labels, GENERATED_AT)
 
 
 @register("churn_csv", O.with_numstat("""

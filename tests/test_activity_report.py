@@ -80,17 +80,21 @@ def _report_inputs(spark):
 def test_report_json_and_csv(spark, tmp_path):
     commits, ranked, labels = _report_inputs(spark)
     rec = S.report_json_frame(commits, ranked, labels, "2026-01-01T00:00:00+00:00").collect()
-    assert {r.theme: r.commit_count for r in rec} == {1: 2, 2: 1}
-    assert all(r.total_commits == 4 and r.themes_found == 2 for r in rec)
-    assert all(len(c.sha) == 8 for r in rec for c in r.commits)
+    assert {r.theme: r.commit_count for r in rec if r.kind == "theme"} == {1: 2, 2: 1}
+    assert [(r.total_commits, r.themes_found) for r in rec if r.kind == "repo"] == [(4, 2)]
+    assert {(r.theme, r.seq) for r in rec if r.kind == "commit"} == {(1, 0), (1, 1), (2, 2)}
+    assert all(len(r.sha) == 8 for r in rec if r.kind == "commit")
+    lone = S.report_json_frame(commits, ranked.withColumn("cluster_id", F.lit(None).cast("int")), labels, "g").collect()
+    assert [(r.kind, r.total_commits, r.themes_found) for r in lone] == [("repo", 4, 0)]  # a repo without themes
     out = str(tmp_path / "json")
     S.write_report_json(S.report_json_frame(commits, ranked, labels, "g"), out)
-    lines = [json.loads(x) for f in os.listdir(out) if f.endswith(".json")
+    lines = [json.loads(x) for f in sorted(os.listdir(out)) if f.endswith(".json")
              for x in open(os.path.join(out, f))]
-    assert {d["title"] for d in lines} == {"Auth Work", "Frontend Work"}
-    assert set(lines[0]) >= {"generated_at", "repo", "total_commits", "themes_found",
-                             "overall_summary", "title", "summary", "action_items",
-                             "commit_count", "date_range", "authors", "commits"}
+    assert {d["title"] for d in lines if d["kind"] == "theme"} == {"Auth Work", "Frontend Work"}
+    assert lines[0]["kind"] == "repo" and set(lines[0]) == {"repo", "kind", "generated_at", "total_commits",
+                                                            "themes_found", "overall_summary"}
+    assert set().union(*lines) >= {"title", "summary", "action_items", "commit_count", "earliest", "latest",
+                                   "n_authors", "author", "sha", "date", "subject"}
     csv = S.report_csv_frame(commits, ranked, labels).orderBy("seq").collect()
     assert csv[3].theme == "Unclustered" and csv[0].theme == "Auth Work"
     path = str(tmp_path / "csv")

@@ -33,6 +33,7 @@ def test_analyse_writes_reports(spark, tmp_path):
     assert md.filter("value LIKE '# Commit Themes%'").count() == commits.select("repo").distinct().count()
     js = spark.read.json(str(tmp_path / "j"))
     assert js.groupBy().sum("commit_count").first()[0] == clustered
+    assert js.filter("kind = 'commit'").count() == clustered
 
 
 def test_greedy_analyse_window(spark):
