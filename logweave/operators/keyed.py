@@ -2,7 +2,7 @@
 
 A join on ``repo`` alone would hash every row of a repo into one task; one
 repo may hold a third of all rows.  Per-repo tables have one row per repo,
-so they are broadcast when a count shows they are small, and otherwise
+so they are broadcast when their measured bytes are few, and otherwise
 joined on ``(repo, salt)`` with the small side replicated once per salt.
 """
 
@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 16 << 20
 SALTS = 64
 
 
 def join_per_repo(big: DataFrame, per_repo: DataFrame, how: str = "inner",
-                  salt_cols: tuple = ("seq",), max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                  salt_cols: tuple = ("seq",), max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
                   salts: int = SALTS) -> DataFrame:
     """``big JOIN per_repo USING (repo)`` for ``how`` in inner, left,
     left_semi, left_anti; ``per_repo`` must have one row per repo."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    n = per_repo.count()
-    if n <= max_broadcast_rows:
+    size = per_repo.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size <= max_broadcast_bytes:
         return big.join(F.broadcast(per_repo), "repo", how)
     salted_small = per_repo.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     key = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts)).cast("int")

@@ -131,7 +131,8 @@ def _split_postings(postings: DataFrame, budget: float) -> DataFrame:
 
 
 def similarity_join(postings: DataFrame, threshold: float = 0.2,
-                    method: str = "prefix", suffix_budget: float | None = None) -> DataFrame:
+                    method: str = "prefix", suffix_budget: float | None = None,
+                    block: int = 2048) -> DataFrame:
     """Every pair in a repo with cosine > threshold (strict), as edges
     ``(repo, seq_a, seq_b, sim)`` with ``seq_a < seq_b``.
 
@@ -150,8 +151,12 @@ def similarity_join(postings: DataFrame, threshold: float = 0.2,
     4. for the remaining pairs ``B(a, b)`` = dot over a's suffix terms is
        looked up, and ``sim = A + B``.
 
+    The postings of a term that stands in more than ``block`` documents are
+    dealt into blocks by document, and each pair of blocks is its own join key,
+    so one key yields at most about ``block`` squared pairs.  Nothing is dropped.
+
     ``method="plain"`` joins all postings on (repo, term).  Both return the
-    same edges.  Skewed terms are split by AQE's skew-join handling.
+    same edges.
     """
     if method not in ("prefix", "plain"):
         raise ValueError("method must be 'prefix' or 'plain'")
@@ -163,11 +168,16 @@ def similarity_join(postings: DataFrame, threshold: float = 0.2,
     # the shared checkpoint folder (cuts lineage, no recomputed TF-IDF)
     checkpoint_dir(postings.sparkSession)
     marked = _split_postings(postings, budget).checkpoint()
+    n_blocks = F.ceil(F.col("df") / F.lit(block))
+    own = F.pmod(F.xxhash64("seq"), n_blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))
     pre = marked.filter("in_prefix").select(
         "repo", "term", F.col("seq").alias("seq_a"), F.col("weight").alias("wa"),
-        F.col("s_norm").alias("sa"))
+        F.col("s_norm").alias("sa"), own.alias("block_a"), other.alias("block_b"))
     full = marked.select("repo", "term", F.col("seq").alias("seq_b"), F.col("weight").alias("wb"))
-    part = (pre.join(full, ["repo", "term"]).filter(F.col("seq_a") < F.col("seq_b"))
+    dealt = marked.select("repo", "term", F.col("seq").alias("seq_b"), F.col("weight").alias("wb"),
+                          own.alias("block_b"), other.alias("block_a"))
+    part = (pre.join(dealt, ["repo", "term", "block_a", "block_b"]).filter(F.col("seq_a") < F.col("seq_b"))
             .groupBy("repo", "seq_a", "seq_b")
             .agg(F.sum(F.col("wa") * F.col("wb")).alias("a_dot"), F.max("sa").alias("sa")))
     kept = part.filter(F.col("a_dot") + F.col("sa") > F.lit(t - PREFIX_SLACK))

@@ -209,6 +209,67 @@ def q_churn_filtered(spark, sf):
     return _churn.file_churn(ns, min_commits=2)
 
 
+@register("branch_newest", O.with_commits("orders", """
+SELECT repo, ref, seq, sha FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) AS log_rank FROM (
+    SELECT * REPLACE (CASE WHEN seq % 2 = 1 THEN 'dev' ELSE 'main' END AS ref) FROM commits)
+  WHERE ref = 'dev' AND ts >= TIMESTAMP '1996-01-01 00:00:00')
+WHERE log_rank <= 50"""))
+def q_branch_newest(spark, sf):
+    """F3 on a log of two refs: the newest 50 of one branch."""
+    c = tables.on_two_refs(tables.commits_from_orders(spark, sf))
+    return _filters.select_log(c, since="1996-01-01", branch="dev", max_count=50).select("repo", "ref", "seq", "sha")
+
+
+@register("branch_churn", O.with_numstat(
+    "SELECT * FROM churn", extra_ctes="sel AS (SELECT * FROM numstat WHERE commit_seq % 2 = 1),"
+    + CHURN_SQL.replace("{src}", "sel")))
+def q_branch_churn(spark, sf):
+    """F3 and J7 on two refs: every line stands on both refs, every commit on one."""
+    commits = _filters.filter_log(tables.on_two_refs(tables.commits_from_orders(spark, sf)), branch="dev")
+    lines = tables.numstat_from_lineitem(spark, sf).withColumn("ref", F.explode(F.array(F.lit("main"), F.lit("dev"))))
+    return _churn.file_churn(_filters.churn_for_commits(lines, commits), min_commits=2)
+
+
+# --------------------------------------------------------------------------
+# Log text readers (S1, S2, F5) over dumps built from orders and lineitem
+# --------------------------------------------------------------------------
+
+from logweave.sources import gitlog as _gitlog  # noqa: E402
+
+
+@register("parsed_log", """
+SELECT CAST(o_orderkey AS VARCHAR) AS repo, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS seq,
+       lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS sha, CAST(o_custkey AS VARCHAR) AS author,
+       'c' || CAST(o_custkey AS VARCHAR) || '@example.com' AS email,
+       CASE WHEN o_orderkey % 6 >= 2 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS ts,
+       CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority END AS subject,
+       CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' || chr(31) || 'b'
+            WHEN 2 THEN 'line one' || chr(10) || 'line two' ELSE 'done' END AS body,
+       o_orderkey % 6 >= 2 AS ts_valid
+FROM orders WHERE o_orderkey % 44 <> 0""")
+def q_parsed_log(spark, sf):
+    """S1 and F5; a bad time (the time of reading) is shown as null."""
+    c = _gitlog.parse_commit_text(tables.log_text_from_orders(spark, sf))
+    return c.select("repo", "seq", "sha", "author", "email",
+                    F.when(F.col("ts_valid"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ts"),
+                    "subject", "body", "ts_valid")
+
+
+@register("parsed_numstat", """
+SELECT CAST(l_orderkey AS VARCHAR) AS repo,
+       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) - 1 AS commit_seq,
+       CAST(CASE WHEN l_linenumber % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS line_no,
+       CASE WHEN l_returnflag <> 'R' AND l_linenumber % 4 <> 0 THEN CAST(l_quantity AS BIGINT) END AS added,
+       CASE WHEN l_returnflag <> 'R' AND l_linenumber % 4 <> 0 THEN CAST(l_linenumber AS BIGINT) END AS deleted,
+       'src/part-' || CAST(l_partkey AS VARCHAR) AS path
+FROM lineitem""")
+def q_parsed_numstat(spark, sf):
+    """Every numstat line with its commit and its place."""
+    n = _gitlog.parse_numstat_text(tables.numstat_text_from_lineitem(spark, sf))
+    return n.select("repo", "commit_seq", "line_no", "added", "deleted", "path")
+
+
 # --------------------------------------------------------------------------
 # Text, vectors, clusters (P9, A9, X1-X3, C1-C4) over documents (whole texts)
 # --------------------------------------------------------------------------

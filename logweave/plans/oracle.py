@@ -7,16 +7,29 @@ the Spark code.
 
 from __future__ import annotations
 
-from logweave.functions.text import ALL_STOP_WORDS, PY_WHITESPACE
-
-WS = PY_WHITESPACE.replace("'", "''")
+# Fixed values, written out here so that a wrong word in the library shows.
+# Characters that Python's str.strip() removes:
+WS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+      "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+      "\u2028\u2029\u202f\u205f\u3000")
+# Stop words (general English, then commit-message noise words):
+STOP = """
+    a an the is are was were be been being have has had do does did
+    will would could should may might shall can need must
+    this that these those i we you he she it they
+    to of in on at by for with from as into and or but not no
+    s t re ve ll d m
+    feat fix chore docs style refactor test perf ci build revert merge
+    update add remove change bump version release minor major patch
+    pr pull request branch commit initial first
+"""
 
 
 def _strip(expr: str) -> str:
     return f"trim({expr}, '{WS}')"
 
 
-STOP_LIST = "[" + ", ".join(f"'{w}'" for w in ALL_STOP_WORDS) + "]"
+STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP.split()) + "]"
 
 
 def tokens_sql(text: str) -> str:

@@ -138,6 +138,46 @@ def numstat_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def on_two_refs(commits: DataFrame) -> DataFrame:
+    """``commits`` with the odd positions on ref ``dev`` and the even ones on ``main``."""
+    return commits.withColumn("ref", F.when(F.col("seq") % 2 == 1, "dev").otherwise("main"))
+
+
+def log_text_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log dump per order (repo=o_orderkey): its record, with bad and huge epochs,
+    empty subjects, separators and line ends in bodies, and a short record before every
+    fifth order's."""
+    o = read_table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    seconds = F.timestamp_diff("SECOND", _ntz(_dt.datetime(1970, 1, 1)), F.col("o_orderdate")).cast("string")
+    epoch = (F.when(key % 6 == 0, "17x").when(key % 6 == 1, "99999999999999999")
+             .when(key % 6 == 2, F.concat(F.lit(" "), seconds, F.lit(" "))).otherwise(seconds))
+    subject = F.when(key % 11 == 0, "").otherwise(F.concat(F.lit(" "), "o_orderpriority"))
+    body = (F.when(key % 4 == 0, "").when(key % 4 == 1, "a\x1fb")
+            .when(key % 4 == 2, "  line one\nline two  ").otherwise("done"))
+    record = F.concat_ws("\x1f", _sha(key), F.col("o_custkey").cast("string"),
+                         F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@example.com")),
+                         epoch, subject, body)
+    short = F.when(key % 5 == 0, "short\x1frecord\x1e").otherwise("")
+    return o.select(key.cast("string").alias("repo"), F.concat(short, record, F.lit("\x1e\n")).alias("value"))
+
+
+def numstat_text_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One numstat dump per order (repo=l_orderkey), one commit per line item: binary
+    entries for l_returnflag='R', a count that is no number at every fourth
+    l_linenumber, a blank line before every third, and a line without tabs after each."""
+    bad, binary = F.col("l_linenumber") % 4 == 0, F.col("l_returnflag") == "R"
+    added = F.when(binary, "-").when(bad, "x").otherwise(F.col("l_quantity").cast("long").cast("string"))
+    deleted = F.when(binary, "-").otherwise(F.col("l_linenumber").cast("string"))
+    path = F.concat(F.lit("src/part-"), F.col("l_partkey").cast("string"))
+    blank = F.when(F.col("l_linenumber") % 3 == 0, "\n").otherwise("")
+    block = F.concat(F.lit("COMMIT\n"), blank, F.concat_ws("\t", added, deleted, path), F.lit("\nno counts\n"))
+    li = read_table(spark, sf_dir, "lineitem")
+    per = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(  # a few items per order
+        "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", block.alias("block")))).alias("b"))
+    return per.select(F.col("l_orderkey").cast("string").alias("repo"), F.array_join("b.block", "").alias("value"))
+
+
 COMMIT_ADAPTERS = {
     "documents": commits_from_documents,
     "orders": commits_from_orders,

@@ -58,6 +58,11 @@ def test_filters(spark):
     now = dt.datetime(2024, 3, 31)
     assert flt.parse_time_bound("1 month ago", now) == dt.datetime(2024, 2, 29)
     assert flt.parse_time_bound("2 weeks ago", now) == dt.datetime(2024, 3, 17)
+    assert flt.parse_time_bound("2.weeks.ago", now) == dt.datetime(2024, 3, 17)
+    late = dt.datetime(2024, 3, 31, 15, 30)
+    assert flt.parse_time_bound("yesterday", late) == dt.datetime(2024, 3, 30, 15, 30)
+    assert flt.parse_time_bound("Today", late) == dt.datetime(2024, 3, 31)
+    assert flt.parse_time_bound("now", late) == late
     import pytest
     with pytest.raises(ValueError):
         flt.parse_time_bound("last tuesday")

@@ -106,6 +106,8 @@ def test_prefix_join_equals_plain(spark):
     for t in (0.1, 0.2, 0.5, 0.8):
         a = {(r.seq_a, r.seq_b): round(r.sim, 9) for r in vec.similarity_join(post, t, "prefix").collect()}
         b = {(r.seq_a, r.seq_b): round(r.sim, 9) for r in vec.similarity_join(post, t, "plain").collect()}
+        c = {(r.seq_a, r.seq_b): round(r.sim, 9) for r in vec.similarity_join(post, t, block=4).collect()}
+        assert c == a
         assert a == b
         maps = weight_maps(msgs)
         want = {(i, j) for i in range(len(msgs)) for j in range(i + 1, len(msgs)) if dot(maps[i], maps[j]) > t}
