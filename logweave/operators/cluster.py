@@ -167,8 +167,9 @@ def cluster_sizes(assignment: DataFrame, min_size: int = 2,
     _check_args(0.0, min_size)
     sizes = (assignment.groupBy("repo", "seed_seq").agg(F.count(F.lit(1)).alias("size"))
              .filter(F.col("size") >= int(min_size)))
-    return rank_within(sizes, "repo", [F.desc("size"), F.asc("seed_seq")], "cluster_id",
-                       max_window_rows)
+    ranked = rank_within(sizes, "repo", [F.desc("size"), F.asc("seed_seq")], "cluster_id",
+                         max_window_rows)
+    return ranked.withColumn("cluster_id", F.col("cluster_id").cast("int"))
 
 
 def rank_clusters(assignment: DataFrame, min_size: int = 2,

@@ -48,7 +48,7 @@ MAX_WINDOW_ROWS = 1_000_000
 
 def rank_within(df: DataFrame, key: str, order: list, name: str,
                 max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
-    """Add a 1-based ``name`` = position of each row inside its ``key`` group
+    """Add a 1-based BIGINT ``name`` = position of each row inside its ``key`` group
     under ``order`` (``order`` must make positions unique).
 
     If the largest group (one aggregate, checked first) has at most
@@ -63,7 +63,7 @@ def rank_within(df: DataFrame, key: str, order: list, name: str,
 
     biggest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     if biggest <= max_window_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
     s = (df.orderBy(F.col(key), *order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id())
@@ -72,5 +72,5 @@ def rank_within(df: DataFrame, key: str, order: list, name: str,
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return (s.join(offs.select(key, "_pid", "_off", "_first"), [key, "_pid"])
-            .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("int"))
+            .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long"))
             .drop("_pid", "_mid", "_off", "_first"))

@@ -306,7 +306,7 @@ def q_tokens(spark, sf):
 
 
 @register("vocab_stats", _text_sql("""
-SELECT repo, term, df, CAST(row_number() OVER (PARTITION BY repo ORDER BY f.seq, f.pos) - 1 AS INTEGER) AS term_id,
+SELECT repo, term, df, CAST(row_number() OVER (PARTITION BY repo ORDER BY f.seq, f.pos) - 1 AS BIGINT) AS term_id,
        f.seq AS first_seq
 FROM (SELECT repo, term, CAST(count(DISTINCT seq) AS BIGINT) AS df,
              min({'seq': seq, 'pos': pos}) AS f FROM toks GROUP BY ALL)"""))
