@@ -1,9 +1,10 @@
 """Licence scans by canonical digests.
 
-Texts are made canonical (case, punctuation, spelling; copyright lines are left
-out), digested, and hash-joined to the digests of known texts.  Whole documents
-are looked up against licences and notices, and every whole line against the
-notices that usually stand on one line.
+Texts are made canonical (case, punctuation, spelling; title and copyright lines
+before the body and copyright statements inside it are left out), digested, and
+hash-joined to the digests of known texts.  Whole documents are looked up against
+licences and notices, and every whole line against the notices that usually stand
+on one line.
 
 The known side is fixed by this module, so its broadcast is bounded.
 
@@ -14,6 +15,8 @@ gives no rows.  Input columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,21 @@ LICENSES = [
     ("BSD-2-Clause", _BSD_HEAD + _BSD_AS_IS),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_THREE + _BSD_AS_IS),
 ]
+#: sha256 of the canonical body of the full texts, with and without what follows the terms
+FULL_TEXTS = [
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("Apache-2.0", "37599287c15c2f2ec060c3c3b55bdf69e3bc7a8aeeb9cd57e18800088789538a"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("GPL-3.0", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+]
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
@@ -74,6 +92,13 @@ SPDX_IDS = ["MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0",
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("organisation", "organization"), ("favour", "favor"),
              ("acknowledgement", "acknowledgment"), ("https", "http"), ("non commercial", "noncommercial"), ("colour", "color")]
 COPYRIGHT_LINE = r"^(copyright|c (19|20)[0-9][0-9]|all rights reserved$)"
+#: lines left out before the body, and statements left out anywhere; 'copyright holders be liable' is body text
+TITLE_LINE = (r"^((the )?(mit|expat|mit expat|isc|0bsd|((new|modified|revised|simplified) )?bsd|[023] clause bsd|zero clause bsd"
+              r"|bsd (0|zero|2|3) clause( simplified| new or revised| new| revised)?)( software)?( license)?"
+              r"( (mit|expat|mit expat|isc|bsd|0bsd|bsd [023] clause))?"
+              r"|(the )?(software )?license( agreement)?( (mit|isc|0bsd|bsd [23] clause))?"
+              r"|spdx license identifier (mit|isc|0bsd|bsd [23] clause))$")
+STATEMENT = r"^(copyright (c|©|\(?(19|20)[0-9][0-9]|yyyy|year)([^a-z]|$)|(c|©) ?(19|20)[0-9][0-9]|all rights reserved$)"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -90,16 +115,28 @@ def known(spark: SparkSession) -> DataFrame:
     rows = [(k, t, False) for k, t in LICENSES] + [(k, t, True) for k, t in NOTICES]
     rows += [(k, f"SPDX-License-Identifier: {k}", True) for k in SPDX_IDS]
     df = spark.createDataFrame(rows, "license string, text string, line boolean")
-    return df.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license", "line").distinct()
+    # conditions are often listed with bullets, which the canonical form leaves out, in place of numbers
+    bare = [(k, re.sub(r" [123]\. ", " ", t), False) for k, t in LICENSES if k.startswith("BSD")]
+    df = df.union(spark.createDataFrame(bare, "license string, text string, line boolean"))
+    full = spark.createDataFrame([(d, k, False) for k, d in FULL_TEXTS], "digest string, license string, line boolean")
+    return df.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license", "line").union(full).distinct()
+
+
+def bodies(lines: Column) -> Column:
+    """Texts of a document to look up whole: without any line that begins like a copyright
+    line, and without its head of titles and copyright lines and the statements after it."""
+    start = F.array_position(F.transform(lines, lambda x: ~(x.rlike(COPYRIGHT_LINE) | x.rlike(STATEMENT) | x.rlike(TITLE_LINE))), True)
+    rest = F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), F.size(lines))
+    return F.array_distinct(F.array(F.array_join(F.filter(lines, lambda x: ~x.rlike(COPYRIGHT_LINE)), " "),
+                                    F.array_join(F.filter(rest, lambda x: ~x.rlike(STATEMENT)), " ")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, license (of the whole text, or null), notices (sorted, of whole lines), n_notice_lines."""
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), canonical)
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), canonical), lambda x: x != "")
     df = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), lines.alias("lines"))
-    body = F.array_join(F.filter("lines", lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE)), " ")
-    units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), body.alias("t"))),
-                     F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t"))))
+    units = F.concat(F.transform(bodies(F.col("lines")), lambda x: F.struct(F.lit(True).alias("whole"), x.alias("t"))),
+                     F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t"))))
     df = df.select("id", "rid", F.explode(units).alias("u")).select("id", "rid", "u.whole", F.sha2("u.t", 256).alias("digest"))
     k = known(docs.sparkSession)
     df = df.join(F.broadcast(k), "digest", "left")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -131,6 +132,40 @@ def test_licenses(spark):
                           (5, None, ("all-rights-reserved",), 1), (0, "MPL-2.0", ("MPL-2.0",), 1)], key=lambda r: (r[0], r[2] != ()))
 
 
+def test_license_files(spark):
+    """Titles before the body, and body lines that begin with 'copyright'."""
+    text = dict(licenses.LICENSES)
+    wrapped = text["MIT"].replace("COPYRIGHT HOLDERS BE", "\nCOPYRIGHT HOLDERS BE").replace("The above copyright", "The above\ncopyright")
+    assert wrapped.count("\n") == 2
+    head = {"MIT": ["MIT License", "The MIT License (MIT)\n====="], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License"],
+            "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+            "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"]}
+    cases = [(k, f"{t}\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n{text[k]}") for k, ts in head.items() for t in ts]
+    cases += [(k, "BSD License\n" + re.sub(r" [123]\. ", "\n* ", text[k])) for k in ("BSD-2-Clause", "BSD-3-Clause")]
+    cases += [("MIT", wrapped), ("MIT", f"MIT License\nCopyright The Authors\n{wrapped}"), ("MIT", f"Copyright © 2020 Some One\n{wrapped}"),
+              ("MIT", f"Copyright The Authors\n{text['MIT']}"), (None, "MIT License"), (None, "MIT License\nCopyright 2020 X"),
+              (None, f"MIT License\nCopyright 2020 X\n{text['MIT']}\nCopyright holders may do more."), (None, f"Preface\nMIT License\n{text['MIT']}")]
+    # the loose rule (no line that begins with 'copyright') still finds this one, as before
+    cases[-2] = ("MIT", cases[-2][1].replace("MIT License\n", ""))
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(cases))] == [k for k, _ in cases]
+
+
+@pytest.mark.parametrize("name, want", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-3", "LGPL-3.0"),
+                                        ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_full_license_texts(spark, name, want):
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no common licence texts here")
+    with open(path) as f:
+        text = f.read()
+    rows = [(0, text), (1, "\r\n".join(text.replace("[yyyy] [name of copyright owner]", "2020 Some One").split("\n"))), (2, text + "\nmore"),
+            (3, " ".join(x for x in text.split("\n") if not x.strip().startswith(("Copyright (", "Copyright ["))))]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == got[1] == got[3] == want and got[2] is None
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
