@@ -488,7 +488,9 @@ def covered(strings: list[bytes], docs: np.ndarray, window: int, spool_rows: int
 
 def _may_share(g: np.ndarray, strings: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
     """Segments of which another one of the group has the same bytes before or behind the
-    anchor, as many as every common window must hold on one side."""
+    anchor, as many as every common window must hold on one side.  Where the anchor's gram
+    stands twice in a segment, texts may have kept different anchors of a run (see
+    ``anchors``) and so of one window: two such segments of a group always may share."""
     side = -(-(window - GRAM) // 2)
     out = np.zeros(len(strings), bool)
     for pick in (lambda s, p: s[p - side:p] if p >= side else None, lambda s, p: s[p + GRAM:p + GRAM + side] if len(s) - p - GRAM >= side else None):
@@ -497,6 +499,9 @@ def _may_share(g: np.ndarray, strings: list[bytes], at: np.ndarray, window: int)
                          for k, s, p in zip(g.tolist(), strings, at.tolist())], np.int64)
         many = np.bincount(name[name >= 0], minlength=len(seen)) > 1
         out[name >= 0] |= many[name[name >= 0]]
+    twice = np.flatnonzero([s.find(s[p:p + GRAM]) != p or s.find(s[p:p + GRAM], p + 1) >= 0 for s, p in zip(strings, at.tolist())])
+    _, group, size = np.unique(g[twice], return_inverse=True, return_counts=True)
+    out[twice[size[group] > 1]] = True
     return out
 
 

@@ -274,6 +274,21 @@ def test_suffix_dedup_against_brute_force(spark, docs):
     assert suffix_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_window_in_two_phases(spark):
+    """A run of equal grams is thinned from its own start: each text keeps other anchors of the common window."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    least = sorted((word(16) for _ in range(4000)), key=lambda x: suffix_dedup.gram_hashes(np.frombuffer(x.encode(), np.uint8))[0])
+    rows = []
+    for k, gram in enumerate(least[:8]):
+        shared = f"{gram}1{gram}2{gram}"
+        rows += [(2 * k, word(60) + shared + word(60)), (2 * k + 1, word(60) + f"{gram}3{shared}4{gram}" + word(60))]
+    want = passages_brute(rows)
+    assert [w[2] for w in sorted(want, key=lambda w: int(w[0]))] == [0, 50] * 8
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 def test_collection_bwt_classes():
     rng = random.Random(2)
     strings = ["".join(rng.choice("ab\0é") for _ in range(rng.randint(1, 30))).encode() for _ in range(60)]
