@@ -5,7 +5,8 @@ balanced bits.  Several rotations yield a code that is cut into substrings; each
 substring is one hash table.  Vectors that share a bucket of a table are compared
 by cosine on the original vectors.  Substring length follows the number of
 vectors, and tables are added until pairs that lie exactly at the threshold
-(sample vectors, turned by that angle) meet with probability ``recall``.
+(sample vectors, turned by that angle) meet with probability ``recall``; where the
+most tables allowed do not reach it, substrings are shortened until they do.
 
 Defined results: a null label, and a vector that is null, empty, zero, or holds
 null or non-finite parts, links with nothing and is its own component; a null id
@@ -71,7 +72,7 @@ def learn_rotation(u: np.ndarray, seed: int, rounds: int = 15) -> tuple[np.ndarr
 
 
 def learn(sample: np.ndarray, largest: int, cosine: float, recall: float, most_tables: int = 64) -> Itq:
-    """Codes for groups of up to ``largest`` vectors."""
+    """Codes for groups of up to ``largest`` vectors; substrings get shorter where ``most_tables`` tables do not reach the recall."""
     bits = min(24, max(8, math.ceil(math.log2(max(2, largest)))))
     if len(sample) < 2:
         return Itq(bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.acos(cosine) / math.pi) ** bits)))
@@ -81,12 +82,16 @@ def learn(sample: np.ndarray, largest: int, cosine: float, recall: float, most_t
     probe = u[rng.permutation(len(u))[:2000]]
     side = rng.normal(size=probe.shape)
     side -= (side * probe).sum(axis=1, keepdims=True) * probe
-    turned = cosine * probe + math.sqrt(1 - cosine * cosine) * unit(side)
-    itq = Itq(bits, 1, {dim: [learn_rotation(u, k) for k in range(-(-bits * most_tables // dim))]})
-    itq.tables = most_tables
-    meet = itq.keys(probe) == itq.keys(turned)
-    reached = np.maximum.accumulate(meet, axis=1).mean(axis=0)
-    itq.tables = min(most_tables, int(np.searchsorted(reached, recall)) + 1)
+    # vectors of one part cannot be turned
+    turned = cosine * probe + math.sqrt(1 - cosine * cosine) * unit(side) if dim > 1 else probe
+    itq = Itq(bits, most_tables, {dim: [learn_rotation(u, k) for k in range(-(-bits * most_tables // dim))]})
+    for itq.bits in range(bits, 0, -1):
+        reached = np.maximum.accumulate(itq.keys(probe) == itq.keys(turned), axis=1).mean(axis=0)
+        if reached[-1] >= recall:
+            break
+    else:
+        raise ValueError(f"{most_tables} tables reach a recall of {reached[-1]:.4f}, not {recall}")
+    itq.tables = int(np.searchsorted(reached, recall)) + 1
     itq.fitted = {dim: itq.rotations(dim)}
     return itq
 

@@ -208,6 +208,21 @@ def test_itq_recall():
     assert met >= 0.97
 
 
+def test_itq_recall_of_large_groups():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 32))
+    u = embed_dedup.unit(x)
+    side = rng.normal(size=u.shape)
+    side = embed_dedup.unit(side - (side * u).sum(axis=1, keepdims=True) * u)
+    for largest in (1 << 20, 1 << 24):
+        itq = embed_dedup.learn(x, largest, 0.93, 0.995)
+        met = (itq.keys(u) == itq.keys(0.93 * u + math.sqrt(1 - 0.93 ** 2) * side)).any(axis=1).mean()
+        assert met >= 0.99 and itq.tables <= 64
+    assert embed_dedup.learn(x[:, :1], 1 << 24, 0.93, 0.995).tables == 1
+    with pytest.raises(ValueError):
+        embed_dedup.learn(x, 1 << 24, 0.1, 0.995, most_tables=2)
+
+
 def test_components_long_chain(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (102, 101), (5, 5)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
