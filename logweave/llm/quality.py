@@ -15,6 +15,7 @@ than id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,19 +30,33 @@ N_SHAPE = 11
 _CUT = 1 << 20
 
 
+def _line(line: bytes):
+    """Key of a whole line; long ones have a digest that can also be built cut by cut."""
+    return hash(line) if len(line) <= _CUT else hashlib.blake2b(line, digest_size=16).digest()
+
+
 def shape(b: np.ndarray) -> np.ndarray:
     """Shape of a whole text: length, kinds of bytes, repeated lines; read in cuts of bounded size."""
-    n, kinds, lines, seen, rest = len(b), np.zeros(256, np.int64), 0, set(), b""
+    n, kinds, lines, seen, rest, long = len(b), np.zeros(256, np.int64), 0, set(), b"", None
     for at in range(0, n, _CUT):
         piece = b[at:at + _CUT]
         kinds += np.bincount(piece, minlength=256)
         parts = (rest + piece.tobytes()).split(b"\n")
-        rest = parts.pop()[-_CUT:]
+        if long is not None:  # the pending line is in its digest
+            long.update(parts[0])
+            if len(parts) == 1:
+                continue
+            lines += 1
+            seen.add(long.digest())
+            long, parts = None, parts[1:]
+        rest = parts.pop()
         lines += len(parts)
-        seen.update(map(hash, parts))
+        seen.update(map(_line, parts))
+        if len(rest) > _CUT:
+            long, rest = hashlib.blake2b(rest, digest_size=16), b""
     if n:
         lines += 1
-        seen.add(hash(rest))
+        seen.add(_line(rest) if long is None else long.digest())
     _, _, h, _ = words(b, np.array([0, n], np.int64))
     echo = [float((h[k:] == h[:-k]).mean()) if len(h) > k else 0.0 for k in (1, 2, 3)]  # words that repeat the one 1, 2, 3 before
     d = max(1, n)

@@ -377,6 +377,16 @@ def test_quality(spark):
     assert quality.keep_best(quality.score(df.limit(0), model)).count() == 0
 
 
+def test_quality_long_lines():
+    """Lines of any length count as repeats only if all their bytes are equal."""
+    cut = quality._CUT
+    a, b = b"a" + b"x" * (3 * cut), b"b" + b"x" * (3 * cut)
+    edge, over = b"y" * cut, b"y" * (cut + 1)
+    for lines in ([a, b], [a, a, b], [b"s", a, b"s", a, b], [edge, b"z", edge, over, b"", over, edge], [a, b"", b""], [b"q" * 7, over, over], [b"", a + b"1", a + b"2", b"x"]):
+        got = quality.shape(np.frombuffer(b"\n".join(lines), np.uint8))[7]
+        assert got == len(set(lines)) / len(lines)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 
