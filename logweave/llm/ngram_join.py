@@ -1,10 +1,11 @@
-"""N-gram Jaccard join: MinHash LSH forest and exact verification.
-
-A document is the set of its five-word shingles.  Equal sets form one class.  A
-forest of ``trees`` sorted prefix tries holds the MinHash signatures: a tree label
-is the sequence of its hash values, and two classes are candidates where labels
-share a prefix.  Prefixes start at ``max_depth`` values and are shortened until a
-pair at the threshold is met with probability ``recall`` in some tree.  Inside
+"""N-gram Jaccard join: MinHash bands of fixed depth and exact verification.
+
+A document is the set of its five-word shingles.  Equal sets form one class.  Each of
+``trees`` trees gives a class a label, the sequence of its hash values; two classes are
+candidates where the first values of a label are equal.  Their number is one constant,
+the longest of up to ``max_depth`` at which a pair at the threshold is met with
+probability ``recall`` in some tree by the formula.  This stands in for an LSH forest:
+there are no sorted labels and no prefixes that follow the data.  Inside
 buckets, sketches drop pairs that are far below the threshold (five standard
 deviations) and what remains forms candidate families; there every pair is
 verified on the whole shingle sets.
