@@ -2,7 +2,7 @@
 
 Spark form of the reference's pipeline:
 ``commits -> F1-F4 -> message/tokens -> TF-IDF -> similarity edges ->
-clusters -> ranked clusters -> keywords -> labels -> reports``.
+clusters -> ranked clusters -> keywords``; labels and reports are built by their callers.
 Shuffles: term counts, document frequency, per-document norm, the
 similarity join on (repo, term), cluster ranking and keyword ranking.
 """
