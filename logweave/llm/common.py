@@ -126,13 +126,13 @@ def lower_ascii(b: np.ndarray) -> np.ndarray:
     return _LOWER[b]
 
 
-def _words(b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, hash) of the words of ``b``; a word ends where a row begins."""
+def _words(b: np.ndarray, starts: np.ndarray, inside: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, hash) of the words of ``b``, runs of the bytes ``inside``; a word ends where a row begins."""
     if len(b) == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64)
     low = _LOWER[b]
-    w = _WORD[low]
+    w = inside[low]
     prev = np.empty(len(w), bool)
     prev[0], prev[1:] = False, w[:-1]
     prev[starts[starts < len(b)]] = False

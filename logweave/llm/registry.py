@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import chat, decontam, embed_dedup, langid, licenses, merkle, ngram_join, pieces, quality, suffix_dedup, token_counts, token_store
+from logweave.llm import chat, decontam, embed_dedup, langid, licenses, merkle, ngram_join, phrases, pieces, quality, suffix_dedup, token_counts, token_store
 from logweave.llm.common import prepare
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_ranking": quality.op9_quality_ranking,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_phrase_collocations": phrases.op11_phrase_collocations,
     "op12_token_store": token_store.op12_token_store,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
@@ -25,6 +26,7 @@ ORACLE = {
     "op3_decontamination": decontam.OP3_SQL,
     "op4_license_scan": licenses.OP4_SQL,
     "op5_embedding_dedup": embed_dedup.OP5_SQL,
+    "op11_phrase_collocations": phrases.OP11_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
 
