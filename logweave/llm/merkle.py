@@ -4,7 +4,7 @@ A leaf is the digest of a row's fields.  The leaves of a source ascend by id (ti
 digest); every ``FAN`` consecutive nodes become the digest of their hex digests until
 one is left, the subroot, and the subroots, ordered by source, likewise give the root.
 
-A superblock is ``FAN ** HEIGHT`` consecutive nodes of a tree, the rows of one group.
+A superblock is ``FAN ** height`` consecutive nodes of a tree, the rows of one group.
 On the way up each superblock is reduced to one node, and the nodes of all superblocks
 are the next stage, until every tree has one.  On the way down the nodes of a stage
 and the outer proof of their superblock (the siblings from its node to the root) are
@@ -48,10 +48,10 @@ def _digest(hexes) -> str:
     return hashlib.sha256("".join(hexes).encode()).hexdigest()
 
 
-def _rounds(n: int) -> int:
-    """Rounds until ``n`` nodes of a tree are one, at most HEIGHT."""
+def _rounds(n: int, height: int) -> int:
+    """Rounds until ``n`` nodes of a tree are one, at most ``height``."""
     k = 0
-    while n > 1 and k < HEIGHT:
+    while n > 1 and k < height:
         n, k = -(-n // FAN), k + 1
     return k
 
@@ -108,45 +108,49 @@ def placed(leaves: DataFrame, order: list[str]) -> DataFrame:
     return rows.join(runs, ["tree", "part"]).withColumn("pos", F.col("base") + F.col("row") - F.col("first")).drop("part", "row", "first", "c", "base")
 
 
-def _block() -> Column:
-    return F.shiftright("pos", 4 * HEIGHT).alias("block")
+def _block(height: int) -> Column:
+    return F.expr(f"pos div {FAN ** height}").alias("block")
 
 
-def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("pos")
-    n = int(pdf.n.iloc[0])
-    size = FAN ** HEIGHT
-    top = _levels(pdf.digest.tolist(), _rounds(n))[-1]
-    return pd.DataFrame({"tree": [pdf.tree.iloc[0]], "pos": [int(pdf.pos.iloc[0]) // size], "n": [-(-n // size)], "digest": top})
+def _reduce(height: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        n = int(pdf.n.iloc[0])
+        size = FAN ** height
+        top = _levels(pdf.digest.tolist(), _rounds(n, height))[-1]
+        return pd.DataFrame({"tree": [pdf.tree.iloc[0]], "pos": [int(pdf.pos.iloc[0]) // size], "n": [-(-n // size)], "digest": top})
+    return run
 
 
 NODES = "tree string, pos bigint, n bigint, digest string"
 
 
-def stages(nodes: DataFrame) -> list[DataFrame]:
+def stages(nodes: DataFrame, height: int = HEIGHT) -> list[DataFrame]:
     """The given nodes, the nodes of their superblocks, and so on until each tree has one node."""
     out = [nodes]
     while not out[-1].filter("n > 1").isEmpty():
-        up = out[-1].select("tree", "pos", "n", "digest").groupBy("tree", _block()).applyInPandas(_reduce, NODES)
+        up = out[-1].select("tree", "pos", "n", "digest").groupBy("tree", _block(height)).applyInPandas(_reduce(height), NODES)
         out.append(cut(up, "merkle-stage"))
     return out
 
 
-def _expand(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    """The outer proof of every node of a superblock."""
-    nodes = nodes.sort_values("pos")
-    levels = _levels(nodes.digest.tolist(), _rounds(int(nodes.n.iloc[0])))
-    behind = bytes(outer.proof.iloc[0])
-    return pd.DataFrame({"tree": nodes.tree, "pos": nodes.pos, "digest": nodes.digest,
-                         "proof": [pack_proof(_siblings(levels, k)) + behind for k in range(len(nodes))],
-                         "subroot": outer.subroot.iloc[0], "root": outer.root.iloc[0]})
+def _expand(height: int):
+    def run(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        """The outer proof of every node of a superblock."""
+        nodes = nodes.sort_values("pos")
+        levels = _levels(nodes.digest.tolist(), _rounds(int(nodes.n.iloc[0]), height))
+        behind = bytes(outer.proof.iloc[0])
+        return pd.DataFrame({"tree": nodes.tree, "pos": nodes.pos, "digest": nodes.digest,
+                             "proof": [pack_proof(_siblings(levels, k)) + behind for k in range(len(nodes))],
+                             "subroot": outer.subroot.iloc[0], "root": outer.root.iloc[0]})
+    return run
 
 
-def _finish(with_proofs: bool):
+def _finish(height: int, with_proofs: bool):
     def run(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("pos")
         leaves, claims = nodes.digest.tolist(), nodes.claim.tolist()
-        levels = _levels(leaves, _rounds(int(nodes.n.iloc[0])))
+        levels = _levels(leaves, _rounds(int(nodes.n.iloc[0]), height))
         behind = unpack_proof(bytes(outer.proof.iloc[0]))
         hashed, folded, packed = [], [], []
         for k, (leaf, claim) in enumerate(zip(leaves, claims)):
@@ -165,11 +169,11 @@ def _finish(with_proofs: bool):
 OUTER = "tree string, pos bigint, digest string, proof binary, subroot string, root string"
 
 
-def _down(stage: DataFrame, outer: DataFrame, fn, schema: str) -> DataFrame:
-    return stage.groupBy("tree", _block()).cogroup(outer.groupBy("tree", F.col("pos").alias("block"))).applyInPandas(fn, schema)
+def _down(stage: DataFrame, outer: DataFrame, height: int, fn, schema: str) -> DataFrame:
+    return stage.groupBy("tree", _block(height)).cogroup(outer.groupBy("tree", F.col("pos").alias("block"))).applyInPandas(fn, schema)
 
 
-def prove(leaves: DataFrame, with_proofs: bool = False) -> DataFrame:
+def prove(leaves: DataFrame, with_proofs: bool = False, height: int = HEIGHT) -> DataFrame:
     """Proof of every leaf.
 
     ``leaves``: id, source, leaf (hex digest), claim (hex digest of the row as someone
@@ -182,19 +186,19 @@ def prove(leaves: DataFrame, with_proofs: bool = False) -> DataFrame:
     rows = leaves.select(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("tree"),
                          "id", F.col("leaf").alias("digest"), "claim")
     rows = placed(cut(rows, "merkle-leaves"), ["id", "digest"]).withColumn("id", F.col("id").cast("string"))
-    by_source = stages(rows)
+    by_source = stages(rows, height)
     subroots = by_source[-1].select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest")
     sources = placed(subroots, ["source"])
-    over = stages(sources)
+    over = stages(sources, height)
     outer = over[-1].select("tree", "pos", "digest", F.lit(b"").alias("proof"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
     for stage in over[-2::-1]:
-        outer = _down(stage.select("tree", "pos", "n", "digest"), outer, _expand, OUTER)
+        outer = _down(stage.select("tree", "pos", "n", "digest"), outer, height, _expand(height), OUTER)
     outer = sources.select("source", "pos").join(outer.select("pos", "digest", "proof", "root"), "pos")
     outer = outer.select(F.col("source").alias("tree"), F.lit(0).cast("bigint").alias("pos"), "digest", "proof", F.col("digest").alias("subroot"), "root")
     for stage in by_source[-2:0:-1]:
-        outer = _down(stage.select("tree", "pos", "n", "digest"), outer, _expand, OUTER)
+        outer = _down(stage.select("tree", "pos", "n", "digest"), outer, height, _expand(height), OUTER)
     schema = "id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    out = _down(rows.select("tree", "pos", "n", "digest", "id", "claim"), outer, _finish(with_proofs), schema + (", proof binary" if with_proofs else ""))
+    out = _down(rows.select("tree", "pos", "n", "digest", "id", "claim"), outer, height, _finish(height, with_proofs), schema + (", proof binary" if with_proofs else ""))
     return out.withColumn("id", F.col("id").cast(kind))
 
 

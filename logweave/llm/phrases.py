@@ -135,7 +135,7 @@ class MisraGries:
         return self.keys[self.counts + self.cut >= threshold]
 
 
-def _count_round(k: int, max_words: int, shared, shift: int, parts: int):
+def _count_round(k: int, max_words: int, shared, shift: int, parts: int, most: int):
     """Phrases of k words whose two parts of k - 1 words are in the filter, summed by hash."""
     @tidy
     def run(batches):
@@ -166,10 +166,10 @@ def _count_round(k: int, max_words: int, shared, shift: int, parts: int):
                 keys, counts = np.unique(seg.keys(np.flatnonzero(ok), k, lang), return_counts=True)
                 held.append((keys, counts))
                 size += len(keys)
-                if size > HELD:
+                if size > most:
                     held = [_summed(held)]
                     size = len(held[0][0])
-                    if size > HELD // 2:
+                    if size > most // 2:
                         yield from sent()
                         held, size = [], 0
         if size:
@@ -233,10 +233,10 @@ def _fill_slices(batches):
         yield full()
 
 
-def _survivors(texts: DataFrame, k: int, max_words: int, shared, filter_bits: int, parts: int, threshold: int) -> np.ndarray | None:
+def _survivors(texts: DataFrame, k: int, max_words: int, shared, filter_bits: int, parts: int, threshold: int, held: int) -> np.ndarray | None:
     """The filter of the phrases of k words that may reach the threshold; None if there are none."""
     shift = 64 - filter_bits
-    sent = texts.mapInArrow(_count_round(k, max_words, shared, shift, parts), "part bigint, kind bigint, mass bigint, keys binary, counts binary")
+    sent = texts.mapInArrow(_count_round(k, max_words, shared, shift, parts, held), "part bigint, kind bigint, mass bigint, keys binary, counts binary")
     tasks = min(parts, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = sent.repartition(tasks, "part").sortWithinPartitions("part", "kind")
     places = sent.mapInArrow(_merge_round(threshold, shift), "slice bigint, places binary")
@@ -313,7 +313,7 @@ def _count_exactly(max_words: int, shared, shift: int):
 
 
 def phrase_counts(docs: DataFrame, threshold: int = 100, max_words: int = 5, filter_bits: int = 27,
-                  text_col="text", lang_col="lang") -> DataFrame:
+                  text_col="text", lang_col="lang", held: int = HELD) -> DataFrame:
     """lang, k, phrase, f: exact counts of all phrases of 1 to ``max_words`` words with at
     least ``threshold`` occurrences in their lang; k = 0: all word occurrences of the lang."""
     spark = docs.sparkSession
@@ -322,7 +322,7 @@ def phrase_counts(docs: DataFrame, threshold: int = 100, max_words: int = 5, fil
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(most / threshold / COUNTERS))
     whole, shared = np.zeros((1 << filter_bits) // 8, np.uint8), None
     for k in range(1, max_words + 1):
-        found = _survivors(texts, k, max_words, shared, filter_bits, parts, threshold)
+        found = _survivors(texts, k, max_words, shared, filter_bits, parts, threshold, held)
         if shared is not None:
             shared.unpersist()
         if found is None:
@@ -336,10 +336,10 @@ def phrase_counts(docs: DataFrame, threshold: int = 100, max_words: int = 5, fil
 
 
 def collocations(docs: DataFrame, threshold: int = 100, max_words: int = 5, top: int = 2000, filter_bits: int = 27,
-                 text_col="text", lang_col="lang") -> DataFrame:
+                 text_col="text", lang_col="lang", held: int = HELD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each lang's first ``top`` phrases of 2 to
     ``max_words`` words (see the module for words, pieces, and the order of ties)."""
-    counts = phrase_counts(docs, threshold, max_words, filter_bits, text_col, lang_col)
+    counts = phrase_counts(docs, threshold, max_words, filter_bits, text_col, lang_col, held)
     words = F.split("phrase", " ", -1)
     total = counts.filter("k = 0").select("lang", F.col("f").alias("n"))
     known = counts.filter("k > 0").select("lang", "phrase", "f")
