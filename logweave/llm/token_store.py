@@ -45,9 +45,17 @@ SHARD_IDS = 1 << 27
 #: documents that one read task row covers
 READ_DOCS = 1 << 14
 #: distinct words that one task remembers
-MEMO_WORDS = 300_000
-#: a token of a byte-level BPE with a word pattern never crosses from such a character to a blank behind it
-_CUT = re.compile(r"(?<=[\w!-~])(?= )")
+MEMO_WORDS = 600_000
+#: a token of a byte-level BPE with a word pattern never crosses from a visible character to a blank behind it
+_CUT = re.compile(r"(?<=[\w!-~]) (?![\n\x01])")
+#: a blank or line break that is no such cut, or the mark of stretches without a blank
+_UNSAFE = re.compile(r" (?<![\w!-~] )|\n(?<![\w!-~]\n)|\n(?![\w!-~])| (?=\n)|\x01")
+#: a stretch that may stand on a line with others
+_PLAIN = re.compile(r"[\n\x01]?[\w!-~](?:[^\n]*[\w!-~])?").fullmatch
+#: a mark behind a letter or digit and before a blank is a token of its own
+_MARKS, _AS_IS = ".,;:!?", "\x01"
+#: a mark before a blank that stands behind something else
+_RUN = re.compile(r"[.,;:!?] (?<![0-9A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?] )")
 _MAGIC = b"EFIDS001"
 _FOOTER = struct.Struct("<8sIIQQQq" + 2 * "QBQQQ")
 
@@ -179,18 +187,58 @@ class Shard:
         return self.ids[begin:end]
 
 
-def encode_texts(texts: list[str], path: str, memo: dict, kind: str) -> list[bytes]:
-    """Ids of whole texts as bytes; words between proven cuts are encoded once while the memo holds them."""
-    split = [_CUT.split(x) for x in texts]
-    new = list(set().union(*split) - memo.keys()) if split else []
-    if len(memo) + len(new) > MEMO_WORDS:
-        memo.clear()
-        new = list(set().union(*split))
-    for lo in range(0, len(new), 65536):
-        part = new[lo:lo + 65536]
-        got = tokenizer(path).encode_batch_fast(part, add_special_tokens=False)
-        memo.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, got))
-    return [b"".join(map(memo.__getitem__, x)) for x in split]
+class WordEncoder:
+    """Ids of whole texts as bytes.
+
+    A text is cut before blanks and single line breaks that follow a visible character,
+    and before marks between a letter or digit and a blank; a stretch between cuts is
+    encoded once while the memo holds it.  Stretches are known by their text behind the
+    blank; line breaks and marks begin one that has none.  New ones go to the library many at a time, one a line: the
+    break is a token of its own, and the ids are cut there again."""
+
+    def __init__(self, path: str, kind: str):
+        self.tok, self.kind, self.width = tokenizer(path), kind, np.dtype(kind).itemsize
+        self.line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.known: dict = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if _PLAIN(w)]
+        rest = [w for w in new if not _PLAIN(w)] if len(plain) < len(new) else []
+        for lo in range(0, len(plain), 4096):
+            part = plain[lo:lo + 4096]
+            text = "".join([w if w[0] == "\n" else "\n" + w[1:] if w[0] == _AS_IS else "\n " + w for w in part])
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else []
+            if len(at) != len(part):
+                rest += part
+                continue
+            raw, n = ids.tobytes(), self.width
+            at = [*(at * n).tolist(), len(raw)]
+            self.known.update(zip(part, [raw[x:y] if w[0] == "\n" else raw[x + n:y] for w, x, y in zip(part, at, at[1:])]))
+        for lo in range(0, len(rest), 4096):
+            part = rest[lo:lo + 4096]
+            self.known.update(zip(part, self._ids([w if w[:1] == "\n" else w[1:] if w[:1] == _AS_IS else " " + w for w in part])))
+
+    @staticmethod
+    def _stretches(text: str) -> list[str]:
+        if not _RUN.search(text):
+            for mark in _MARKS:
+                text = text.replace(mark + " ", " " + _AS_IS + mark + " ")
+        return text.replace("\n", " \n").split(" ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [_CUT.split(x) if _UNSAFE.search(x) else self._stretches(x) for x in texts]
+        heads = [x[0] for x in split]
+        split = [x[1:] for x in split]
+        every = set().union(*split)
+        new = every - self.known.keys()
+        if len(self.known) + len(new) > MEMO_WORDS:
+            self.known, new = {}, every
+        self._learn(list(new))
+        return [h + b"".join(map(self.known.__getitem__, x)) for h, x in zip(self._ids(heads), split)]
 
 
 def _open(uri: str):
@@ -207,7 +255,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
         store, root = _open(folder)
         width = 2 if tokenizer(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         kind = "<u2" if width == 2 else "<u4"
-        end, memo, writer, name, count = np.array([end_id], kind).tobytes(), {}, None, None, 0
+        end, memo, writer, name, count = np.array([end_id], kind).tobytes(), WordEncoder(path, kind), None, None, 0
 
         def listed():
             n, ids = writer.close()
@@ -217,7 +265,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                for key, ids in zip(part.column(0).to_pylist(), encode_texts(texts, path, memo, kind)):
+                for key, ids in zip(part.column(0).to_pylist(), memo.encode(texts)):
                     if writer is None:
                         name = f"ids-{task:06d}-{count:04d}-{uuid.uuid4().hex}"
                         writer = ShardWriter(store.open_output_stream(f"{root}/{name}"), width)
