@@ -3,14 +3,13 @@
 * ``greedy_themes`` (C1) is the reference's exact rule: one pass in log
   order, a row joins the most similar *moving* centroid when cosine >
   threshold, else seeds a new cluster.  The rule is sequential inside a
-  repo, so it runs per repo with ``applyInPandas`` (repos in parallel) and is
-  bounded: it is meant for the newest ``max_commits`` of each repo (the
-  reference's own window, 200 by default) and refuses groups larger than
-  ``max_group_rows``.
-* ``leader_themes`` (C2) is the corpus-scale form: seeds do not move.  A row
-  is a seed iff no earlier *seed* has cosine > threshold with it; any other
-  row joins its most similar earlier seed.  It runs as rounds of DataFrame
-  joins over the similarity edges, with ``checkpoint()`` between rounds.
+  repo, so a repo is one ``applyInPandas`` group; it has no row limit and is
+  meant for small windows that the caller chooses.
+* ``leader_themes`` (C2) is the corpus-scale form: seeds do not move.  Rows
+  are visited in a fixed random order; a row is a seed iff no *seed* before
+  it has cosine > threshold with it, and any other row joins its most similar
+  seed.  It runs as rounds of joins over undecided edges, few because the
+  order is random, with written tables between rounds.
   C1 and C2 give different clusters by design.
 * ``rank_clusters`` (C3) drops clusters below ``min_size`` and numbers the
   rest by size desc, then seed order.
@@ -19,17 +18,17 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 import logging
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.operators.keyed import MAX_WINDOW_ROWS, rank_within
 from logweave.operators.vectors import pack
-from logweave.session import checkpoint_dir
+from logweave.session import checkpoint_dir, drop_stored, stored
 
 LOG = logging.getLogger(__name__)
 TIE_DIGITS = 9
@@ -103,57 +102,65 @@ def greedy_themes(docs: DataFrame, postings: DataFrame, threshold: float = 0.20)
 # Fixed seeds, distributed rounds
 # ---------------------------------------------------------------------------
 
+def priority(seq="seq") -> Column:
+    """Place of a row in the visiting order of C2: 60 bits of ``md5(repo:seq)``."""
+    text = F.concat_ws(":", F.col("repo"), F.col(seq).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def members_by_round(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``(repo, seq)`` of the rows that are no seeds, and the number of rounds.
+
+    An edge points from the row visited first to the other.  In a round the rows
+    that no pending edge reaches are seeds, the rows they point at are members, and
+    edges at a member are settled.  The visiting order is random, so chains break
+    everywhere at once: rounds grow with the logarithm of the longest chain, and a
+    round reads only edges between rows that are still undecided.
+    """
+    a, b = F.struct(priority("seq_a"), "seq_a"), F.struct(priority("seq_b"), "seq_b")
+    pending = edges.select("repo", F.when(a < b, F.col("seq_a")).otherwise(F.col("seq_b")).alias("first"),
+                           F.when(a < b, F.col("seq_b")).otherwise(F.col("seq_a")).alias("then"))
+    found, rounds, written = [], 0, None
+    while True:
+        waiting = pending.select("repo", F.col("then").alias("first"))
+        members = stored(pending.join(waiting, ["repo", "first"], "left_anti")
+                         .select("repo", F.col("then").alias("seq")).distinct(), "members")
+        left = (pending.join(members.withColumnRenamed("seq", "first"), ["repo", "first"], "left_anti")
+                .join(members.withColumnRenamed("seq", "then"), ["repo", "then"], "left_anti")
+                .select("repo", "first", "then"))
+        left = stored(left, "pending")
+        if written is not None:
+            drop_stored(written)
+        pending = written = left
+        found.append(members)
+        rounds += 1
+        if pending.isEmpty():
+            LOG.info("seeds settled after %d rounds", rounds)
+            return functools.reduce(DataFrame.unionByName, found), rounds
+
+
 def leader_themes(docs: DataFrame, edges: DataFrame, edges_materialized: bool = False) -> DataFrame:
     """``(repo, seq, seed_seq)`` for every document.
 
     ``edges`` are the similarity-join output (``seq_a < seq_b``, sim >
-    threshold).  Round 0 makes every row without an earlier neighbour a
-    seed.  Each round then decides undecided rows whose earlier neighbours
-    allow it: any seed neighbour -> member; all neighbours members -> seed.
-    The lowest undecided row of each repo is always decidable, so every
-    round makes progress; rounds stop when nothing is undecided.
+    threshold).  Rows are visited in the order of ``priority``; a row is a seed
+    unless a seed before it is similar, and any other row joins its most similar
+    seed (ties within 9 places: the first in the log).
     """
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(docs.sparkSession)
     nodes = docs.select("repo", "seq").distinct()
     e = edges.select("repo", "seq_a", "seq_b", "sim")
     if not edges_materialized:
-        e = e.checkpoint()
-    has_earlier = e.select("repo", F.col("seq_b").alias("seq")).distinct().withColumn("x", F.lit(1))
-    status = (nodes.join(has_earlier, ["repo", "seq"], "left")
-              .select("repo", "seq",
-                      F.when(F.col("x").isNull(), F.lit("S")).alias("status"))
-              ).checkpoint()
-    pending = e.select("repo", "seq_a", "seq_b")
-    for rnd in itertools.count():
-        undecided = status.filter(F.col("status").isNull()).select("repo", F.col("seq").alias("seq_b"))
-        pending = pending.join(undecided, ["repo", "seq_b"], "left_semi")
-        src = status.select("repo", F.col("seq").alias("seq_a"), F.col("status").alias("sa"))
-        votes = (pending.join(src, ["repo", "seq_a"])
-                 .groupBy("repo", "seq_b")
-                 .agg(F.max((F.col("sa") == "S").cast("int")).alias("any_seed"),
-                      F.min(F.coalesce((F.col("sa") == "N").cast("int"), F.lit(0))).alias("all_member")))
-        decided = votes.select(
-            "repo", F.col("seq_b").alias("seq"),
-            F.when(F.col("any_seed") == 1, F.lit("N"))
-             .when(F.col("all_member") == 1, F.lit("S")).alias("new"))
-        status = (status.join(decided, ["repo", "seq"], "left")
-                  .select("repo", "seq", F.coalesce("status", "new").alias("status"))
-                  ).checkpoint()
-        pending = pending.checkpoint()
-        if status.filter(F.col("status").isNull()).limit(1).count() == 0:
-            LOG.info("leader_themes converged after %d rounds", rnd + 1)
-            break
-    seeds = status.filter(F.col("status") == "S").select("repo", F.col("seq").alias("seq_a"))
-    best = (e.join(seeds, ["repo", "seq_a"], "left_semi")
-            .groupBy("repo", "seq_b")
-            .agg(F.max(F.struct(F.round("sim", TIE_DIGITS).alias("s"),
-                                (-F.col("seq_a")).alias("neg"))).alias("b"))
-            .select("repo", F.col("seq_b").alias("seq"), (-F.col("b.neg")).alias("best_seed")))
-    return (status.join(best, ["repo", "seq"], "left")
-            .select("repo", "seq",
-                    F.when(F.col("status") == "S", F.col("seq"))
-                     .otherwise(F.col("best_seed")).alias("seed_seq")))
+        e = stored(e, "edges")
+    members, _ = members_by_round(e)
+    seeds = nodes.join(members, ["repo", "seq"], "left_anti")
+    both = (e.select("repo", F.col("seq_a").alias("seed"), F.col("seq_b").alias("seq"), "sim")
+            .unionByName(e.select("repo", F.col("seq_b").alias("seed"), F.col("seq_a").alias("seq"), "sim")))
+    best = (both.join(seeds.withColumnRenamed("seq", "seed"), ["repo", "seed"], "left_semi")
+            .groupBy("repo", "seq")
+            .agg(F.max(F.struct(F.round("sim", TIE_DIGITS).alias("s"), (-F.col("seed")).alias("neg"))).alias("b")))
+    return (seeds.select("repo", "seq", F.col("seq").alias("seed_seq"))
+            .unionByName(best.select("repo", "seq", (-F.col("b.neg")).alias("seed_seq"))))
 
 
 # ---------------------------------------------------------------------------
@@ -210,8 +217,8 @@ def keyword_lists(keywords: DataFrame) -> DataFrame:
 
 def later_copies(postings: DataFrame) -> DataFrame:
     """``(repo, seq, rep)`` for every document that is an exact copy (same
-    token multiset, hence the same TF-IDF vector) of an earlier one; ``rep``
-    is the first ``seq`` of its copy group.
+    token multiset, hence the same TF-IDF vector) of another; ``rep``
+    is the copy visited first (see ``priority``).
 
     Each document's term bag is hashed where it lies (postings are already
     grouped by document); only documents whose hash is shared are compared
@@ -226,7 +233,8 @@ def later_copies(postings: DataFrame) -> DataFrame:
     cand = sig.join(shared, ["repo", "h"], "left_semi")
     bags = (postings.join(cand.select("repo", "seq"), ["repo", "seq"], "left_semi")
             .groupBy("repo", "seq").agg(bag.alias("bag")))
-    first = bags.groupBy("repo", "bag").agg(F.min("seq").alias("rep"))
+    first = (bags.groupBy("repo", "bag").agg(F.min(F.struct(priority().alias("p"), "seq")).alias("f"))
+             .select("repo", "bag", F.col("f.seq").alias("rep")))
     return (bags.join(first, ["repo", "bag"]).filter(F.col("seq") != F.col("rep"))
             .select("repo", "seq", "rep"))
 
@@ -236,14 +244,13 @@ def leader_themes_collapsed(docs: DataFrame, postings: DataFrame, threshold: flo
     """C2 with exact copies collapsed; same result as
     ``leader_themes(docs, similarity_join(postings, threshold))``.
 
-    A later copy of a document always has an earlier similar row (the first
-    copy, or the seed that copy joined), so it is never a seed, and members
+    A later copy (in visiting order) always has a similar row before it (the
+    first copy, or the seed that copy joined), so it is never a seed, and members
     never influence who becomes a seed.  Seeds are therefore found on one
-    representative per copy group, with edges only among representatives.
-    Each later copy then joins its best seed among the representative's
-    similar seeds that come before it: a step function over seed order,
-    matched with an equi-join on (repo, rep) plus a range condition.  A
-    group of m copies costs O(m) rows instead of m^2 / 2 edges.
+    representative per copy group, with edges only among representatives, and
+    copies go where their representative goes: its similarities are theirs, and
+    where it is a seed itself no seed is nearer.  A group of m copies costs O(m)
+    rows instead of m^2 / 2 edges.
     """
     from logweave.operators.vectors import similarity_join
 
@@ -252,28 +259,10 @@ def leader_themes_collapsed(docs: DataFrame, postings: DataFrame, threshold: flo
     if t >= 1.0 - 1e-9:  # identical vectors are not "similar" at t = 1
         return leader_themes(docs, similarity_join(postings, t, method))
     checkpoint_dir(docs.sparkSession)
-    later = later_copies(postings).checkpoint()
+    later = stored(later_copies(postings), "copies")
     rep_postings = postings.join(later.select("repo", "seq"), ["repo", "seq"], "left_anti")
     nodes = docs.select("repo", "seq").join(later.select("repo", "seq"), ["repo", "seq"], "left_anti")
-    edges = similarity_join(rep_postings, t, method).checkpoint()
+    edges = stored(similarity_join(rep_postings, t, method), "edges")
     assign = leader_themes(nodes, edges, edges_materialized=True)
-
-    seeds = assign.filter(F.col("seq") == F.col("seed_seq")).select("repo", F.col("seq").alias("s"))
-    both = (edges.select("repo", F.col("seq_a").alias("rep"), F.col("seq_b").alias("s"), "sim")
-            .unionByName(edges.select("repo", F.col("seq_b").alias("rep"), F.col("seq_a").alias("s"), "sim")))
-    has_copies = later.select("repo", "rep").distinct()
-    near = both.join(has_copies, ["repo", "rep"], "left_semi").join(seeds, ["repo", "s"], "left_semi")
-    itself = (seeds.withColumnRenamed("s", "rep").join(has_copies, ["repo", "rep"], "left_semi")
-              .select("repo", "rep", F.col("rep").alias("s"), F.lit(1.0).alias("sim")))
-    cand = near.unionByName(itself).withColumn(
-        "key", F.struct(F.round("sim", TIE_DIGITS).alias("k"), (-F.col("s")).alias("neg")))
-    by_seed = Window.partitionBy("repo", "rep").orderBy("s")
-    steps = (cand.withColumn("best", F.max("key").over(
-                by_seed.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-             .withColumn("next_s", F.lead("s").over(by_seed))
-             .select("repo", "rep", "s", "next_s", F.col("best.neg").alias("neg")))
-    copies = (later.join(steps, ["repo", "rep"])
-              .filter((F.col("s") < F.col("seq"))
-                      & (F.col("next_s").isNull() | (F.col("next_s") > F.col("seq"))))
-              .select("repo", "seq", (-F.col("neg")).alias("seed_seq")))
+    copies = later.join(assign.withColumnRenamed("seq", "rep"), ["repo", "rep"]).select("repo", "seq", "seed_seq")
     return assign.unionByName(copies)

@@ -121,23 +121,24 @@ edges AS (SELECT * FROM sims WHERE sim > {threshold})"""
 
 def leader_ctes(min_size: int = 2) -> str:
     """CTEs seeds, assign, clusters, ranked (C2, C3) as a sequential walk over
-    each repo's rows in log order carrying the list of seeds so far."""
-    return f"""ranked_rows AS (SELECT repo, seq, row_number() OVER (PARTITION BY repo ORDER BY seq) AS rn FROM docs),
-nb AS (SELECT repo, seq_b AS seq, list(seq_a) AS earlier FROM edges GROUP BY ALL),
+    each repo's rows in the order of their digests carrying the list of seeds so far."""
+    return f"""ranked_rows AS (SELECT repo, seq, row_number() OVER (PARTITION BY repo ORDER BY md5(repo || ':' || seq)[1:15], seq) AS rn FROM docs),
+linked AS (SELECT repo, seq_a AS seed, seq_b AS seq, sim FROM edges UNION ALL SELECT repo, seq_b, seq_a, sim FROM edges),
+nb AS (SELECT repo, seq, list(seed) AS near FROM linked GROUP BY ALL),
 walk AS (
   SELECT repo, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS seeds FROM (SELECT DISTINCT repo FROM docs)
   UNION ALL
   SELECT w.repo, w.rn + 1,
-         CASE WHEN len(list_intersect(coalesce(n.earlier, CAST([] AS BIGINT[])), w.seeds)) > 0 THEN w.seeds
+         CASE WHEN len(list_intersect(coalesce(n.near, CAST([] AS BIGINT[])), w.seeds)) > 0 THEN w.seeds
               ELSE list_append(w.seeds, r.seq) END
   FROM walk w JOIN ranked_rows r ON r.repo = w.repo AND r.rn = w.rn + 1
   LEFT JOIN nb n ON n.repo = r.repo AND n.seq = r.seq),
 last_walk AS (SELECT repo, max(rn) AS rn FROM ranked_rows GROUP BY repo),
 seeds AS (SELECT w.repo, unnest(w.seeds) AS seed FROM walk w JOIN last_walk l ON w.repo = l.repo AND w.rn = l.rn),
 best AS (SELECT repo, seq, seed_seq FROM (
-           SELECT e.repo, e.seq_b AS seq, e.seq_a AS seed_seq,
-                  row_number() OVER (PARTITION BY e.repo, e.seq_b ORDER BY round(e.sim, 9) DESC, e.seq_a) AS k
-           FROM edges e JOIN seeds s ON s.repo = e.repo AND s.seed = e.seq_a) WHERE k = 1),
+           SELECT e.repo, e.seq, e.seed AS seed_seq,
+                  row_number() OVER (PARTITION BY e.repo, e.seq ORDER BY round(e.sim, 9) DESC, e.seed) AS k
+           FROM linked e JOIN seeds s ON s.repo = e.repo AND s.seed = e.seed) WHERE k = 1),
 assign AS (SELECT d.repo, d.seq, coalesce(s.seed, b.seed_seq) AS seed_seq
            FROM docs d LEFT JOIN seeds s ON s.repo = d.repo AND s.seed = d.seq
                        LEFT JOIN best b ON b.repo = d.repo AND b.seq = d.seq),

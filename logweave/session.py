@@ -128,3 +128,27 @@ def materialize(df):
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def stored(df, tag: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but runs the plan once.  ``drop_stored``
+    removes the folder early; whatever is left goes when the application ends.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark, local_fallback=True).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_stored(df) -> None:
+    """Remove a ``stored`` table that nothing reads any more."""
+    hpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hpath, True)

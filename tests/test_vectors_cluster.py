@@ -2,6 +2,7 @@
 (C1 and C2: every row is checked against the rule, given the rows before it),
 keywords (K-10) and invariants (F-4, F-5)."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -64,17 +65,21 @@ def assert_moving_mean_rule(given, maps, t):
             assert given[row] == min(k for k, x in offers.items() if x >= offers[given[row]] - CLOSE), row
 
 
+def visited(rows, repo="r"):
+    return sorted(rows, key=lambda k: (hashlib.md5(f"{repo}:{k}".encode()).hexdigest()[:15], k))
+
+
 def assert_fixed_seed_rule(given, maps, t):
-    """A row is a seed when no earlier seed is nearer than ``t``; any other row
-    belongs to the nearest earlier seed, the first of equally near ones."""
-    for row in range(len(maps)):
-        near = {s: dot(maps[row], maps[s]) for s in range(row) if given[s] == s}
-        near = {s: x for s, x in near.items() if x > t}
+    """A row is a seed when no seed visited before it is nearer than ``t``; any other
+    row belongs to the nearest seed, the first of equally near ones."""
+    before = []
+    for row in visited(range(len(maps))):
+        assert (given[row] == row) == all(dot(maps[row], maps[s]) <= t for s in before), row
         if given[row] == row:
-            assert not near, row
-        else:
-            best = max(near.values())
-            assert given[row] == min(s for s, x in near.items() if x >= best - CLOSE), row
+            before.append(row)
+    for row in set(range(len(maps))) - set(before):
+        near = {s: dot(maps[row], maps[s]) for s in before}
+        assert given[row] == min(s for s, x in near.items() if x >= max(near.values()) - CLOSE), row
 
 
 # --- tests ------------------------------------------------------------------
@@ -176,6 +181,21 @@ def test_leader_follows_rule(spark):
         assert_fixed_seed_rule(got, weight_maps(msgs), t)
 
 
+def test_leader_chain_takes_few_rounds(spark):
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("arn", "elk", "ion", "oak", "ulm")]
+    msgs = [f"{words[k]} {words[k + 1]}" for k in range(24)]  # each shares a word with the next only
+    edges = vec.similarity_join(vec.tfidf(docs_df(spark, msgs)), 0.2)
+    pairs = sorted((r.seq_a, r.seq_b) for r in edges.collect())
+    assert pairs == [(k, k + 1) for k in range(23)]
+    members, rounds = cl.members_by_round(edges)
+    want, seeds = set(), set()
+    for row in visited(range(24)):
+        (want if {row - 1, row + 1} & seeds else seeds).add(row)
+    assert {r.seq for r in members.collect()} == want and rounds <= 8
+    none, rounds = cl.members_by_round(edges.limit(0))
+    assert none.count() == 0 and rounds == 1
+
+
 def test_invariants_and_partitioning(spark):
     rng = random.Random(23)
     rows = [(f"repo{k}", i, m) for k in range(3) for i, m in enumerate(random_messages(rng, 40))]
