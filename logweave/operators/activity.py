@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.display import TIMELINE_BAR_WIDTH, bar_cells, week_start
+from logweave.operators.keyed import rank_within
 
 
 def _date(commits: DataFrame):
@@ -35,17 +36,22 @@ def top_authors(commits: DataFrame, n: int = 5) -> DataFrame:
 
 
 def commits_by_date(commits: DataFrame) -> DataFrame:
-    """A2: one row per (repo, day) with its commit count and seq range.
-
-    The per-day commit lists of the reference are the commits table itself
-    ordered by ``repo, date, seq``; nothing is collected into one row.
-    """
+    """A2: one row per (repo, day) with its commit count and seq range;
+    ``commits_of_days`` has the commits themselves."""
     return (commits.groupBy("repo", _date(commits).alias("date"))
             .agg(F.count(F.lit(1)).alias("n_commits"),
                  F.min("seq").alias("first_seq"),
                  F.max("seq").alias("last_seq")))
 
 
+def commits_of_days(commits: DataFrame) -> DataFrame:
+    """A2: every commit with its day and ``day_pos``, its 1-based place in log
+    order among the commits of that day: the list of each day, one row a commit.
+    A day of any size is numbered by many tasks."""
+    rows = commits.select("repo", _date(commits).alias("date"), "seq", "sha")
+    return rank_within(rows, ["repo", "date"], [F.asc("seq")], "day_pos")
+
+
 def weekly_timeline(commits: DataFrame, max_weeks: int = 26,
                     width: int = TIMELINE_BAR_WIDTH) -> DataFrame:
     """Commits per Monday-week, the last ``max_weeks`` non-empty weeks

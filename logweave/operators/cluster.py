@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.operators.keyed import MAX_WINDOW_ROWS, rank_within
+from logweave.operators.keyed import rank_within
 from logweave.operators.vectors import pack
 from logweave.session import checkpoint_dir, drop_stored, stored
 
@@ -167,22 +167,20 @@ def leader_themes(docs: DataFrame, edges: DataFrame, edges_materialized: bool =
 # C3, C4
 # ---------------------------------------------------------------------------
 
-def cluster_sizes(assignment: DataFrame, min_size: int = 2,
-                  max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+def cluster_sizes(assignment: DataFrame, min_size: int = 2) -> DataFrame:
     """Kept clusters ``(repo, seed_seq, size, cluster_id)``; cluster_id
     is the 1-based rank by size desc, then seed order."""
     _check_args(0.0, min_size)
     sizes = (assignment.groupBy("repo", "seed_seq").agg(F.count(F.lit(1)).alias("size"))
              .filter(F.col("size") >= int(min_size)))
-    ranked = rank_within(sizes, "repo", [F.desc("size"), F.asc("seed_seq")], "cluster_id",
-                         max_window_rows)
+    ranked = rank_within(sizes, "repo", [F.desc("size"), F.asc("seed_seq")], "cluster_id")
     return ranked.withColumn("cluster_id", F.col("cluster_id").cast("int"))
 
 
-def rank_clusters(assignment: DataFrame, min_size: int = 2,
-                  max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
-    """Assignment with ``cluster_id`` (NULL = unclustered) and ``size``."""
-    kept = cluster_sizes(assignment, min_size, max_window_rows)
+def rank_clusters(assignment: DataFrame, min_size: int = 2, kept: DataFrame | None = None) -> DataFrame:
+    """Assignment with ``cluster_id`` (NULL = unclustered) and ``size``;
+    ``kept``: the ``cluster_sizes`` of the assignment where they are at hand."""
+    kept = cluster_sizes(assignment, min_size) if kept is None else kept
     return assignment.join(kept, ["repo", "seed_seq"], "left").select(
         "repo", "seq", "seed_seq", "cluster_id", "size")
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.session import stored
+
 MAX_BROADCAST_BYTES = 16 << 20
 SALTS = 64
 
@@ -43,34 +45,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(target, *[F.col(k) for k in keys])
 
 
-MAX_WINDOW_ROWS = 1_000_000
-
-
-def rank_within(df: DataFrame, key: str, order: list, name: str,
-                max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
-    """Add a 1-based BIGINT ``name`` = position of each row inside its ``key`` group
-    under ``order`` (``order`` must make positions unique).
+def rank_within(df: DataFrame, keys, order: list, name: str) -> DataFrame:
+    """Add a 1-based BIGINT ``name`` = position of each row inside its group of ``keys``
+    (not null) under ``order`` (``order`` must make positions unique).
 
-    If the largest group (one aggregate, checked first) has at most
-    ``max_window_rows`` rows, a ``row_number`` window is used.  Otherwise a
-    group may be too big for one task, so the rank is distributed: a global
-    range sort splits every group over many partitions, the sorted rows are
-    checkpointed with their partition id and running id, per (key,
-    partition) counts give each partition's offset inside its group, and
-    rank = offset + position inside the partition.
+    A group of any size is ranked by many tasks: a range sort by keys and order deals
+    it over partitions and is written once, per (group, partition) counts give each
+    partition's offset inside its group, and rank = offset + place in the partition.
     """
     from pyspark.sql import Window
 
-    biggest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= max_window_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
-    s = (df.orderBy(F.col(key), *order)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .checkpoint())
-    counts = s.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return (s.join(offs.select(key, "_pid", "_off", "_first"), [key, "_pid"])
-            .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long"))
-            .drop("_pid", "_mid", "_off", "_first"))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+            .withColumn("_row", F.monotonically_increasing_id()))
+    rows = stored(rows, "rank").withColumn("_part", F.shiftright("_row", 33))
+    runs = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_off"))
+    return (rows.join(runs, [*keys, "_part"])
+            .withColumn(name, F.col("_row") + F.col("_off")).drop("_part", "_row", "_off"))

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import tokenize
-from logweave.operators.keyed import MAX_WINDOW_ROWS, join_per_repo, rank_within, spread
-from logweave.session import checkpoint_dir
+from logweave.operators.keyed import join_per_repo, rank_within, spread
+from logweave.session import checkpoint_dir, stored
 
 PREFIX_SLACK = 1e-9
 
@@ -27,14 +27,13 @@ def token_rows(docs: DataFrame, text_col: str = "message") -> DataFrame:
         "repo", "seq", F.posexplode(tokenize(text_col)).alias("pos", "term"))
 
 
-def vocab_stats(tokens: DataFrame, max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+def vocab_stats(tokens: DataFrame) -> DataFrame:
     """``(repo, term, df, term_id)``; ``term_id`` is first-seen order
     (by ``seq`` then token position), 0-based per repo."""
     agg = (tokens.groupBy("repo", "term")
            .agg(F.countDistinct("seq").alias("df"),
                 F.min(F.struct("seq", "pos")).alias("first")))
-    ranked = rank_within(agg, "repo", [F.col("first.seq"), F.col("first.pos")], "_rk",
-                         max_window_rows)
+    ranked = rank_within(agg, "repo", [F.col("first.seq"), F.col("first.pos")], "_rk")
     return ranked.select("repo", "term", "df", (F.col("_rk") - 1).alias("term_id"),
                          F.col("first.seq").alias("first_seq"))
 
@@ -219,6 +218,16 @@ def array_dot(a, b) -> Column:
     return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def successor_pairs(vectors: DataFrame, id_col: str, group_col: str) -> DataFrame:
+    """``(id_a, id_b)``: every id with the next one of its group in id order, whatever
+    gaps lie between; rows without a group are a group of their own."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("g"))
+    placed = stored(rank_within(rows, "g", [F.asc("id")], "k"), "successors")
+    return (placed.select("g", "k", F.col("id").alias("id_a"))
+            .join(placed.select("g", (F.col("k") - 1).alias("k"), F.col("id").alias("id_b")), ["g", "k"])
+            .select("id_a", "id_b"))
+
+
 def array_normalize(a) -> Column:
     """L2-normalise an array column (zero vector stays zero)."""
     a = F.col(a) if isinstance(a, str) else a

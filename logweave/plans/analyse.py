@@ -30,6 +30,7 @@ class Themes:
     assignment: DataFrame  # (repo, seq, seed_seq)
     ranked: DataFrame      # (repo, seq, seed_seq, cluster_id, size)
     keywords: DataFrame    # (repo, cluster_id, rank, term, weight)
+    clusters: DataFrame    # (repo, seed_seq, size, cluster_id)
 
 
 def documents_of(commits: DataFrame) -> DataFrame:
@@ -68,11 +69,12 @@ def theme_tables(commits: DataFrame, threshold: float = 0.20, min_size: int = 2,
         raise ValueError("algorithm must be 'leader' or 'greedy'")
     # ranks, sizes, labels and reports all start from the assignment: write it once
     assignment = assignment.checkpoint()
-    ranked = cl.rank_clusters(assignment, min_size)
+    clusters = cl.cluster_sizes(assignment, min_size)
+    ranked = cl.rank_clusters(assignment, min_size, clusters)
     if persist:
         ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
     keywords = cl.top_keywords(ranked, postings, k)
-    return Themes(docs, postings, assignment, ranked, keywords)
+    return Themes(docs, postings, assignment, ranked, keywords, clusters)
 
 
 def analyse(commits: DataFrame, since=None, until=None, author=None, branch: str = "HEAD",

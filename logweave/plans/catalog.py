@@ -68,6 +68,43 @@ def q_commits_by_date(spark, sf):
     return d.select("repo", _d("date"), "n_commits", "first_seq", "last_seq")
 
 
+@register("commits_of_days", O.with_commits("orders", """
+SELECT repo, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, seq, sha,
+       row_number() OVER (PARTITION BY repo, CAST(ts AS DATE) ORDER BY seq) AS day_pos
+FROM commits"""))
+def q_commits_of_days(spark, sf):
+    """A2: the ordered commits of every day."""
+    return activity.commits_of_days(tables.commits_from_orders(spark, sf)).select("repo", _d("date"), "day_pos", "seq", "sha")
+
+
+@register("short_authors", """
+SELECT c_custkey AS custkey, substring(c_name, 1, 16) AS author_short FROM customer""")
+def q_short_authors(spark, sf):
+    """P12 over names of more than 16 characters."""
+    from logweave.functions.text import author_short
+    return tables.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), author_short("c_name").alias("author_short"))
+
+
+@register("display_paths", """
+SELECT partkey, form, path, CASE WHEN n > 4 THEN head || '…/' || segs[-2] || '/' || segs[-1] ELSE path END AS shown
+FROM (SELECT *, len(segs) + CAST(starts_with(path, '/') AS INTEGER) AS n,
+             CASE WHEN starts_with(path, '/') THEN '/' ELSE segs[1] || '/' END AS head
+      FROM (SELECT partkey, form, path, list_filter(string_split(path, '/'), lambda s: s <> '' AND s <> '.') AS segs
+            FROM (SELECT p_partkey AS partkey, f.form AS form, CASE f.form
+                           WHEN 1 THEN p_name WHEN 2 THEN concat_ws('/', p_brand, p_type, p_name)
+                           WHEN 3 THEN concat_ws('/', 'src', '.', p_brand, p_type, p_name)
+                           ELSE '/' || concat_ws('/', 'srv', p_brand, p_type, '', p_name) END AS path
+                  FROM part, unnest([1, 2, 3, 4]) AS f(form))))""")
+def q_display_paths(spark, sf):
+    """P8 over short, long, absolute and dotted paths of every part."""
+    from logweave.functions.display import display_path
+    forms = F.array(F.col("p_name"), F.concat_ws("/", "p_brand", "p_type", "p_name"),
+                    F.concat_ws("/", F.lit("src"), F.lit("."), "p_brand", "p_type", "p_name"),
+                    F.concat(F.lit("/"), F.concat_ws("/", F.lit("srv"), "p_brand", "p_type", F.lit(""), "p_name")))
+    rows = tables.read_table(spark, sf, "part").select(F.col("p_partkey").alias("partkey"), F.posexplode(forms).alias("form", "path"))
+    return rows.select("partkey", (F.col("form") + 1).alias("form"), "path", display_path("path").alias("shown"))
+
+
 @register("weekly_timeline", O.with_commits("orders", """
 SELECT repo, strftime(week_start, '%Y-%m-%d') AS week_start, n_commits,
        CAST(week_back AS INTEGER) AS week_back,
@@ -333,14 +370,16 @@ WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 u AS (SELECT vec_id, CASE WHEN list_dot_product(e, e) = 0 THEN e
                           ELSE list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) END AS e FROM v)
 SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_dot_product(a.e, b.e), 6) AS sim
-FROM u a JOIN u b ON b.vec_id = a.vec_id + 1""")
+FROM (SELECT vec_id AS vec_a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS vec_b FROM embeddings) p
+JOIN u a ON a.vec_id = p.vec_a JOIN u b ON b.vec_id = p.vec_b""")
 def q_cosine_pairs(spark, sf):
-    """X2 on array columns: each embedding against the next id."""
-    emb = tables.read_table(spark, sf, "embeddings").select(
-        "vec_id", _vec.array_normalize("embedding").alias("e"))
+    """X2 on array columns: each embedding against the next of its label in id order."""
+    raw = tables.read_table(spark, sf, "embeddings")
+    emb = raw.select("vec_id", _vec.array_normalize("embedding").alias("e"))
     a = emb.select(F.col("vec_id").alias("vec_a"), F.col("e").alias("ea"))
     b = emb.select(F.col("vec_id").alias("vec_b"), F.col("e").alias("eb"))
-    return (a.join(b, F.col("vec_b") == F.col("vec_a") + 1)
+    pairs = _vec.successor_pairs(raw, "vec_id", "label").toDF("vec_a", "vec_b")
+    return (pairs.join(a, "vec_a").join(b, "vec_b")
             .select("vec_a", "vec_b", F.round(_vec.array_dot("ea", "eb"), 6).alias("sim")))
 
 
@@ -355,8 +394,7 @@ def q_leader_themes(spark, sf):
     "SELECT repo, CAST(cluster_id AS INTEGER) AS cluster_id, seed_seq, CAST(size AS BIGINT) AS size FROM clusters",
     O.leader_ctes(MIN_SIZE)))
 def q_theme_sizes(spark, sf):
-    t = _themes(spark, sf)
-    return _cl.cluster_sizes(t.assignment, MIN_SIZE).select("repo", "cluster_id", "seed_seq", "size")
+    return _themes(spark, sf).clusters.select("repo", "cluster_id", "seed_seq", "size")
 
 
 @register("theme_keywords", _text_sql(
@@ -402,7 +440,7 @@ class _Ctx:
         self.commits = tables.commits_from_documents(spark, sf)
         self.t = _themes(spark, sf)
         self.kwl = _cl.keyword_lists(self.t.keywords)
-        self.clusters = _cl.cluster_sizes(self.t.assignment, MIN_SIZE)
+        self.clusters = self.t.clusters
         self.labels = _lab.keyword_labels(self.clusters, self.kwl)
 
 

@@ -241,19 +241,20 @@ def test_distributed_rank_equals_window(spark):
     rows = [("hot" if i % 3 else f"r{i % 7}", i, rng.randint(1, 5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "repo string, seq long, size long")
     order = [F.desc("size"), F.asc("seq")]
-    a = {(r.repo, r.seq): r.k for r in rank_within(df, "repo", order, "k").collect()}
-    b = {(r.repo, r.seq): r.k for r in rank_within(df, "repo", order, "k", max_window_rows=0).collect()}
-    assert a == b
-
-
-def test_cluster_ids_same_on_both_paths(spark):
-    rng = random.Random(31)
-    msgs = random_messages(rng, 80)
-    d = docs_df(spark, msgs)
-    asg = cl.leader_themes(d, vec.similarity_join(vec.tfidf(d), 0.2)).cache()
-    a = sorted(tuple(r) for r in cl.cluster_sizes(asg, 2).collect())
-    b = sorted(tuple(r) for r in cl.cluster_sizes(asg, 2, max_window_rows=0).collect())
-    assert a == b
+    got = {(r.repo, r.seq): r.k for r in rank_within(df, "repo", order, "k").collect()}
+    want = {}
+    for repo, seq, size in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        want[repo, seq] = 1 + sum(1 for k in want if k[0] == repo) if repo != "hot" else None
+    hot = sorted((-size, seq) for repo, seq, size in rows if repo == "hot")
+    want.update({("hot", seq): k for k, (_, seq) in enumerate(hot, 1)})
+    assert got == want
+    assert rank_within(df.limit(0), "repo", order, "k").count() == 0
+
+
+def test_successor_pairs_bridge_gaps(spark):
+    rows = [(9, 1), (2, 1), (40, 1), (3, 2), (7, None), (8, None), (100, 3)]
+    v = spark.createDataFrame(rows, "vec_id long, label int")
+    assert {tuple(r) for r in vec.successor_pairs(v, "vec_id", "label").collect()} == {(2, 9), (9, 40), (7, 8)}
 
 
 def test_collapsed_leader_equals_plain(spark):
