@@ -2,19 +2,21 @@
 user-function labelling step.
 
 No language-model client is part of the library.  ``label_themes`` calls a
-user function on batches of prompts inside ``mapInPandas``; tests pass a
-deterministic local function.
+user function on batches of prompts inside ``mapInPandas``, ``summarise_repos`` on the
+lines of each repo; tests pass deterministic local functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import keyword_title, py_strip
+from logweave.operators.journal import Journal, new_journal
 from logweave.operators.keyed import join_per_repo
 from logweave.session import materialize
 
@@ -99,7 +101,7 @@ def overview_prompt_lines(labels: DataFrame, commits: DataFrame,
     ordered lines ``(repo, line_no, text)``: a header, one ``- title`` line
     per theme (cluster order), the newest ``recent`` commits and the
     instructions.  Lines, not one string, so a repo with very many themes
-    never becomes a single huge row; ``assemble_text`` joins them."""
+    never becomes a single huge row; ``summarise_repos`` streams them."""
     n_labels = labels.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
     repos = n_labels.filter(F.col("n") >= 2).select("repo")
     head = repos.select("repo", F.lit(0).cast("long").alias("line_no"),
@@ -119,13 +121,6 @@ def overview_prompt_lines(labels: DataFrame, commits: DataFrame,
     return head.unionByName(titles).unionByName(mid).unionByName(recent_lines).unionByName(tail)
 
 
-def assemble_text(lines: DataFrame, key: str = "repo") -> DataFrame:
-    """Join ordered line rows into one text per key (for small outputs)."""
-    return (lines.groupBy(key)
-            .agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
-            .select(key, F.array_join(F.col("l.text"), "\n").alias("text")))
-
-
 def parse_label(text) -> F.Column:
     """L4: response text -> ``struct(title, summary, action_items)`` from its
     non-blank stripped lines, defaults ``Miscellaneous`` / ``""`` / ``None``."""
@@ -138,38 +133,96 @@ def parse_label(text) -> F.Column:
         F.coalesce(F.get(lines, 2), F.lit(DEFAULT_ACTION)).alias("action_items"))
 
 
-def _call_batches(fn: Callable[[Sequence[str]], Sequence[str]]):
+def _call_batches(fn: Callable[[Sequence[str]], Sequence[str]], folder: str):
     def run(it):
+        journal = Journal(folder)
         for pdf in it:
-            texts, err = None, None
-            try:
-                texts = list(fn(list(pdf["prompt"])))
-                if len(texts) != len(pdf):
-                    raise ValueError("label function returned a different number of texts")
-            except Exception as exc:  # noqa: BLE001 - recorded, the run falls back
-                err = f"{type(exc).__name__}: {exc}"
+            known = {k: journal.get(k) for k in pdf["key"].unique()}
+            asked = pdf[pdf["key"].map(known.get).isna()].drop_duplicates("key")
+            err = None
+            if len(asked):
+                try:
+                    texts = list(fn(list(asked["prompt"])))
+                    if len(texts) != len(asked):
+                        raise ValueError("label function returned a different number of texts")
+                    for key, text in zip(asked["key"], texts):
+                        journal.put(key, text or "")
+                        known[key] = text or ""
+                except Exception as exc:  # noqa: BLE001 - recorded, the run falls back
+                    err = f"{type(exc).__name__}: {exc}"
             yield pd.DataFrame({
                 "repo": pdf["repo"], "cluster_id": pdf["cluster_id"],
-                "response": texts if err is None else [None] * len(pdf),
+                "response": [known.get(k) for k in pdf["key"]],
                 "error": [err] * len(pdf)})
     return run
 
 
+def responses(prompts: DataFrame, fn: Callable[[Sequence[str]], Sequence[str]], journal: str,
+              max_concurrent: int = 3) -> DataFrame:
+    """``(repo, cluster_id, response, error)``: a prompt that the journal answers is not asked again."""
+    return (prompts.withColumn("key", F.sha2("prompt", 256)).repartition(int(max_concurrent), "key")
+            .mapInPandas(_call_batches(fn, journal),
+                         schema="repo string, cluster_id int, response string, error string"))
+
+
 def label_themes(prompts: DataFrame, fn: Callable[[Sequence[str]], Sequence[str]],
-                 fallback: DataFrame, max_concurrent: int = 3) -> DataFrame:
+                 fallback: DataFrame, max_concurrent: int = 3, journal: str | None = None) -> DataFrame:
     """Label every theme with a user function ``fn(prompts) -> texts``.
 
     At most ``max_concurrent`` tasks call ``fn`` at once (the prompts are
-    spread over that many partitions).  Errors are caught per batch; if any
-    batch failed, the whole run uses ``fallback`` (keyword labels), as the
-    reference does.  Responses are checkpointed before the check so ``fn``
-    is not called twice; a retried task does call it again.
+    spread over that many partitions); equal prompts are asked once.  Errors
+    are caught per batch; if any batch failed, the whole run uses ``fallback``
+    (keyword labels), as the reference does.  Responses go to a journal at
+    once, so a retried or lost task does not call ``fn`` again for what it has
+    got; with a ``journal`` folder of the caller, a later run does not either.
     """
-    out = materialize(prompts.repartition(int(max_concurrent))
-                      .mapInPandas(_call_batches(fn),
-                                   schema="repo string, cluster_id int, response string, error string"))
+    journal = journal or new_journal(prompts.sparkSession)
+    out = materialize(responses(prompts, fn, journal, max_concurrent))
     if out.filter(F.col("error").isNotNull()).limit(1).count() > 0:
         return fallback.select("repo", "cluster_id", "title", "summary", "action_items")
     p = parse_label("response")
     return out.select("repo", "cluster_id", p["title"].alias("title"),
                       p["summary"].alias("summary"), p["action_items"].alias("action_items"))
+
+
+def _summaries(fn, folder: str):
+    def run(it):
+        journal = Journal(folder)
+        rows = (row for pdf in it for row in zip(pdf["repo"], pdf["text"]))
+        for repo, lines in itertools.groupby(rows, key=lambda r: r[0]):
+            key = next(lines)[1]
+            text = journal.get(key)
+            if text is None:
+                parts, whole = [], True
+                try:
+                    got = fn(line for _, line in lines)
+                    parts.extend([got] if isinstance(got, str) else ())
+                    if not isinstance(got, str):
+                        for chunk in got:
+                            parts.append(chunk)
+                except Exception:  # noqa: BLE001 - what has come so far is the summary
+                    whole = False
+                text = "".join(parts)
+                if whole:
+                    journal.put(key, text)
+            yield pd.DataFrame({"repo": [repo], "overall_summary": [text]})
+    return run
+
+
+def summarise_repos(lines: DataFrame, fn: Callable[[Iterable[str]], str | Iterable[str]],
+                    max_concurrent: int = 3, journal: str | None = None) -> DataFrame:
+    """L3: ``(repo, overall_summary)`` from a user function over the overview prompt.
+
+    ``lines``: ``overview_prompt_lines``.  ``fn`` gets the lines of one repo in order as
+    an iterator that reads them as it goes, and returns a text or its chunks.  If it
+    fails, the chunks before that are the summary, as in the reference, and are not kept
+    in the journal.  Repos with fewer than two themes have no lines and no row.
+    """
+    journal = journal or new_journal(lines.sparkSession)
+    line = F.struct("repo", "line_no", "text")
+    keys = (lines.groupBy("repo").agg(F.bit_xor(F.xxhash64(line)).alias("h"), F.count(F.lit(1)).alias("n"))
+            .select("repo", F.lit(-1).cast("long").alias("line_no"),
+                    F.sha2(F.concat_ws(":", "repo", F.col("h").cast("string"), F.col("n").cast("string")), 256).alias("text")))
+    rows = lines.select("repo", "line_no", "text").unionByName(keys)
+    rows = rows.repartition(int(max_concurrent), "repo").sortWithinPartitions("repo", "line_no")
+    return materialize(rows.mapInPandas(_summaries(fn, journal), schema="repo string, overall_summary string"))

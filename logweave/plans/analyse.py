@@ -2,13 +2,14 @@
 
 Spark form of the reference's pipeline:
 ``commits -> F1-F4 -> message/tokens -> TF-IDF -> similarity edges ->
-clusters -> ranked clusters -> keywords``; labels and reports are built by their callers.
+clusters -> ranked clusters -> keywords``; ``report`` goes on to labels, summary and export.
 Shuffles: term counts, document frequency, per-document norm, the
 similarity join on (repo, term), cluster ranking and keyword ranking.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -19,8 +20,10 @@ from logweave.functions.text import message
 from logweave.operators import churn as churn_ops
 from logweave.operators import cluster as cl
 from logweave.operators import filters as flt
+from logweave.operators import labels as lab
 from logweave.operators import vectors as vec
 from logweave.session import checkpoint_dir
+from logweave.sinks import reports as sinks
 
 
 @dataclass
@@ -86,6 +89,48 @@ def analyse(commits: DataFrame, since=None, until=None, author=None, branch: str
     return theme_tables(sel, **theme_args)
 
 
+@dataclass
+class Report:
+    themes: Themes
+    labels: DataFrame           # (repo, cluster_id, title, summary, action_items)
+    overall: DataFrame | None   # (repo, overall_summary); None without a summariser
+    frame: DataFrame            # what was written, or would be
+
+
+def report(commits: DataFrame, path: str | None = None, labeller: Callable | None = None,
+           summariser: Callable | None = None, export: str | None = None, generated_at: str | None = None,
+           max_concurrent: int = 3, journal: str | None = None, **selection) -> Report:
+    """From the log to the report in one call: ``analyse``, labels (L5 with ``labeller``, else
+    keyword titles), executive summary (L3 with ``summariser``, repos of at least two themes),
+    and the export that ``path`` or ``export`` asks for, written if there is a ``path``.
+    ``selection``: the arguments of ``analyse``.
+    """
+    from datetime import datetime, timezone
+
+    since, until, author, branch, most = (selection.pop(k, d) for k, d in (
+        ("since", None), ("until", None), ("author", None), ("branch", "HEAD"), ("max_commits", None)))
+    selected = flt.select_log(commits, since, until, author, branch, most)
+    t = theme_tables(selected, **selection)
+    words = cl.keyword_lists(t.keywords)
+    labels = lab.keyword_labels(t.clusters, words)
+    if labeller is not None:
+        labels = lab.label_themes(lab.cluster_prompts(t.ranked, selected, words), labeller, labels, max_concurrent, journal)
+    overall = None
+    if summariser is not None:
+        overall = lab.summarise_repos(lab.overview_prompt_lines(labels, selected), summariser, max_concurrent, journal)
+    stamp = generated_at or datetime.now(timezone.utc).isoformat()
+    kind = sinks.export_format(path or "", export)
+    if kind == "csv":
+        frame, write = sinks.report_csv_frame(selected, t.ranked, labels), sinks.write_report_csv
+    elif kind == "markdown":
+        frame, write = sinks.report_markdown_lines(selected, t.ranked, labels, stamp, overall), sinks.write_report_markdown
+    else:
+        frame, write = sinks.report_json_lines(selected, t.ranked, labels, stamp, overall), sinks.write_report_documents
+    if path is not None:
+        write(frame, path)
+    return Report(t, labels, overall, frame)
+
+
 def hotfiles(numstat: DataFrame, commits: DataFrame | None = None, since=None, until=None,
              author=None, branch: str = "HEAD", max_commits: int | None = None,
              min_commits: int = 2, top: int = 20) -> DataFrame:

@@ -667,6 +667,96 @@ def q_report_json(spark, sf):
     return _sink.report_json_frame(c.commits, c.t.ranked, c.labels, GENERATED_AT)
 
 
+def failing_labeller(prompts):
+    """Stand-in for a service that is down."""
+    raise ConnectionError("no service")
+
+
+@register("label_themes_fallback", _text_sql(
+    "SELECT repo, CAST(cluster_id AS INTEGER) AS cluster_id, title, summary, action_items FROM labels",
+    LABEL_CTES))
+def q_label_themes_fallback(spark, sf):
+    """L5 where the user function fails: the keyword labels."""
+    c = _Ctx(spark, sf)
+    return _lab.label_themes(_lab.cluster_prompts(c.t.ranked, c.commits, c.kwl), failing_labeller, c.labels)
+
+
+def review_labeller(prompts):
+    """Deterministic local stand-in for a model, with an action on the first commit."""
+    out = []
+    for text, p in zip(echo_labeller(prompts), prompts):
+        first = next(x for x in p.split("\n") if x.startswith("1. ["))
+        out.append(text.rsplit("\n", 1)[0] + "\nCheck " + first.split("] ", 1)[1])
+    return out
+
+
+def line_counter(lines):
+    """Deterministic local stand-in for a summary model: chunks of text from the lines."""
+    n, first = 0, ""
+    for line in lines:
+        n += 1
+        first = first or (line if line.startswith("- ") else "")
+    yield f"{n} lines"
+    yield f", first {first}"
+
+
+REVIEW_CTES = LABEL_CTES.replace("\nlabels AS (", "\nkeyword_labels AS (").replace("labels l", "keyword_labels l") + f""",
+first_commit AS (SELECT repo, cluster_id, arg_min(subject, seq) AS subject FROM mem GROUP BY ALL),
+labels AS (SELECT c.repo, c.cluster_id, (SELECT {_TITLE_SQL} FROM (SELECT CASE WHEN coalesce(len(k.keywords), 0) > 0
+                    THEN array_to_string(k.keywords, ', ') ELSE '(none detected)' END AS s)) AS title,
+             'Commits (' || CAST(c.size AS VARCHAR) || ' total' || CASE WHEN c.size > 30 THEN ', showing 30' ELSE '' END || ')' AS summary,
+             trim('Check ' || f.subject) AS action_items
+      FROM clusters c LEFT JOIN kwl k ON c.repo = k.repo AND c.cluster_id = k.cluster_id
+      JOIN first_commit f ON f.repo = c.repo AND f.cluster_id = c.cluster_id),
+overall AS (SELECT l.repo, CAST(3 + count(*) + least(20, any_value(t.n)) AS VARCHAR) || ' lines, first - ' || arg_min(title, cluster_id) AS overall_summary
+            FROM labels l JOIN (SELECT repo, count(*) AS n FROM commits GROUP BY repo) t ON t.repo = l.repo
+            GROUP BY l.repo HAVING count(*) >= 2),
+roll AS (SELECT b.repo, b.cluster_id, l.title, l.summary, l.action_items, b.n, b.earliest, b.latest
+         FROM (SELECT repo, cluster_id, count(*) AS n, strftime(min(date), '%Y-%m-%d') AS earliest, strftime(max(date), '%Y-%m-%d') AS latest
+               FROM mem GROUP BY ALL) b JOIN labels l ON b.repo = l.repo AND b.cluster_id = l.cluster_id),
+heads AS (SELECT t.repo, t.total, coalesce(k.found, 0) AS found, coalesce(o.overall_summary, '') AS overall_summary
+          FROM (SELECT repo, count(*) AS total FROM commits GROUP BY repo) t
+          LEFT JOIN (SELECT repo, count(*) AS found FROM roll GROUP BY repo) k ON t.repo = k.repo
+          LEFT JOIN overall o ON o.repo = t.repo)"""
+
+
+def _document_sql(ctes: str) -> str:
+    cut = lambda j: f"regexp_replace(regexp_replace(CAST({j} AS VARCHAR), '^\\{{', ''), '\\}}$', '')"
+    return _text_sql(f"""
+SELECT repo, CAST(section AS BIGINT) AS section, part, author, seq, text FROM (
+  SELECT repo, 0 AS section, 0 AS part, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS BIGINT) AS seq,
+         '{{' || {cut("to_json({'generated_at': '" + GENERATED_AT + "', 'repo': repo, 'total_commits': total, 'themes_found': found, 'overall_summary': overall_summary})")} || ',"themes":[' AS text
+  FROM heads
+  UNION ALL SELECT repo, 1099511627776, 0, NULL, NULL, ']}}' FROM heads
+  UNION ALL SELECT repo, cluster_id, 0, NULL, NULL, CASE WHEN cluster_id > 1 THEN ',' ELSE '' END || '{{' ||
+         {cut("to_json({'title': title, 'summary': summary, 'action_items': action_items, 'commit_count': n, 'date_range': {'earliest': earliest, 'latest': latest}})")} || ',"authors":['
+  FROM roll
+  UNION ALL SELECT repo, cluster_id, 1, author, NULL, CASE WHEN author > first THEN ',' ELSE '' END || CAST(to_json(author) AS VARCHAR)
+  FROM (SELECT DISTINCT repo, cluster_id, author, min(author) OVER (PARTITION BY repo, cluster_id) AS first FROM mem)
+  UNION ALL SELECT repo, cluster_id, 2, NULL, NULL, '],"commits":[' FROM roll
+  UNION ALL SELECT repo, cluster_id, 3, NULL, seq, CASE WHEN seq > first THEN ',' ELSE '' END ||
+         CAST(to_json({{'sha': substring(sha, 1, 8), 'date': strftime(date, '%Y-%m-%d'), 'author': author, 'subject': subject}}) AS VARCHAR)
+  FROM (SELECT *, min(seq) OVER (PARTITION BY repo, cluster_id) AS first FROM mem)
+  UNION ALL SELECT repo, cluster_id, 4, NULL, NULL, ']}}' FROM roll)""", ctes)
+
+
+@register("report_documents", _document_sql(REVIEW_CTES))
+def q_report_documents(spark, sf):
+    """From the log to one nested JSON document per repo, with model labels, actions and an
+    executive summary (local stand-ins for the model)."""
+    commits = tables.commits_from_documents(spark, sf)
+    return _an.report(commits, labeller=review_labeller, summariser=line_counter, generated_at=GENERATED_AT,
+                           threshold=THRESHOLD, min_size=MIN_SIZE, k=KEYWORDS_K).frame
+
+
+@register("executive_summary", _text_sql("SELECT repo, overall_summary FROM overall", REVIEW_CTES))
+def q_executive_summary(spark, sf):
+    """L3: the summary of every repo with at least two themes."""
+    commits = tables.commits_from_documents(spark, sf)
+    return _an.report(commits, labeller=review_labeller, summariser=line_counter, generated_at=GENERATED_AT,
+                           threshold=THRESHOLD, min_size=MIN_SIZE, k=KEYWORDS_K).overall
+
+
 @register("churn_csv", O.with_numstat("""
 SELECT repo, CAST(rank AS INTEGER) AS rank, path, commit_count, lines_added, lines_deleted, churn_score
 FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY commit_count DESC, churn_score DESC,

@@ -167,3 +167,90 @@ def test_label_function_called_once_per_prompt(spark, tmp_path):
     assert sorted(r.title for r in out) == [f"T p{i}" for i in range(1, 7)]
     calls = open(log).read().split()
     assert sorted(calls) == [f"p{i}" for i in range(1, 7)]
+
+
+def _counting(log):
+    def fn(ps):
+        with open(log, "a") as f:
+            f.writelines(p + "\n" for p in ps)
+        return [f"T {p}\nS\nA" for p in ps]
+    return fn
+
+
+def test_journal_survives_a_lost_task(spark, tmp_path):
+    """A task that dies behind its call: what it has got is not asked again."""
+    import pytest
+    log, folder = str(tmp_path / "calls.txt"), f"file://{tmp_path}/journal"
+    prompts = spark.createDataFrame([("r", i, f"p{i % 4}") for i in range(1, 7)],
+                                    "repo string, cluster_id int, prompt string")
+
+    def lost(it):
+        for _ in it:
+            raise SystemError("executor lost")
+        yield from ()
+    with pytest.raises(Exception, match="executor lost"):
+        L.responses(prompts, _counting(log), folder, 1).mapInPandas(lost, "x int").count()
+    asked = open(log).read().split()
+    assert sorted(asked) == ["p0", "p1", "p2", "p3"]  # equal prompts are asked once
+    fallback = prompts.selectExpr("repo", "cluster_id", "'x' AS title", "'' AS summary", "'None' AS action_items")
+    out = L.label_themes(prompts, _counting(log), fallback, 3, folder).collect()
+    assert sorted(r.title for r in out) == sorted(f"T p{i % 4}" for i in range(1, 7))
+    assert open(log).read().split() == asked
+
+
+def test_summaries_stream_keep_chunks_and_journal(spark, tmp_path):
+    log, folder = str(tmp_path / "calls.txt"), f"file://{tmp_path}/journal"
+    rows = [("a", 5, "last"), ("a", 0, "first"), ("a", 3, "mid"), ("b", 0, "x"), ("c", 0, "broken"), ("c", 1, "y"), ("d", 0, "skips"), ("d", 1, "z")]
+    lines = spark.createDataFrame(rows, "repo string, line_no long, text string")
+
+    def fn(it):
+        first = next(it)
+        with open(log, "a") as f:
+            f.write(first + "\n")
+        if first == "skips":
+            return "whole text"
+        def chunks():
+            yield first
+            if first == "broken":
+                raise ConnectionError("gone")
+            for x in it:
+                yield "+" + x
+        return chunks()
+    for n in (1, 3):
+        got = {r.repo: r.overall_summary for r in L.summarise_repos(lines, fn, n, folder).collect()}
+        assert got == {"a": "first+mid+last", "b": "x", "c": "broken", "d": "whole text"}
+    assert sorted(open(log).read().split()) == sorted(["first", "x", "skips", "broken", "broken"])
+    assert L.summarise_repos(lines.limit(0), fn).count() == 0
+
+
+def _document(lines):
+    order = sorted(lines, key=lambda r: (r.section, r.part, r.author is not None, r.author or "", r.seq is not None, r.seq or 0))
+    return json.loads("\n".join(r.text for r in order))
+
+
+def test_nested_documents_equal_flat_records(spark, tmp_path):
+    commits, ranked, labels = _report_inputs(spark)
+    commits = commits.withColumn("author", F.when(F.col("seq") == 1, 'B "q" \\ ü ').otherwise(F.col("author")))
+    commits = commits.unionByName(commits.withColumn("repo", F.lit("other")))  # a repo without themes
+    overall = spark.createDataFrame([("r", 'All "good"\nnow')], "repo string, overall_summary string")
+    lines = S.report_json_lines(commits, ranked, labels, "g", overall)
+    rows = lines.collect()
+    doc = _document([r for r in rows if r.repo == "r"])
+    assert _document([r for r in rows if r.repo == "other"]) == {
+        "generated_at": "g", "repo": "other", "total_commits": 4, "themes_found": 0, "overall_summary": "", "themes": []}
+    assert list(doc) == ["generated_at", "repo", "total_commits", "themes_found", "overall_summary", "themes"]
+    assert doc["overall_summary"] == 'All "good"\nnow' and (doc["total_commits"], doc["themes_found"]) == (4, 2)
+    flat = S.report_json_frame(commits, ranked, labels, "g", overall).collect()
+    for k, theme in enumerate(doc["themes"], 1):
+        row = next(r for r in flat if r.kind == "theme" and r.theme == k)
+        assert {f: theme[f] for f in ("title", "summary", "action_items", "commit_count")} == \
+            {f: row[f] for f in ("title", "summary", "action_items", "commit_count")}
+        assert theme["date_range"] == {"earliest": row.earliest, "latest": row.latest}
+        assert theme["authors"] == sorted(r.author for r in flat if r.kind == "author" and r.theme == k)
+        assert theme["commits"] == [{f: r[f] for f in ("sha", "date", "author", "subject")}
+                                    for r in sorted((r for r in flat if r.kind == "commit" and r.theme == k), key=lambda r: r.seq)]
+    out = str(tmp_path / "docs")
+    S.write_report_documents(lines, out)
+    folder = os.path.join(out, "repo=r")
+    text = "".join(open(os.path.join(folder, f), encoding="utf-8").read() for f in sorted(os.listdir(folder)) if f.startswith("part-"))
+    assert json.loads(text) == doc

@@ -64,3 +64,24 @@ def test_one_ref_is_analysed(spark):
     numstat = spark.createDataFrame([("r", ref, 0, 0, 1, 1, "f") for ref in ("HEAD", "side")],
                                     "repo string, ref string, commit_seq long, line_no long, added long, deleted long, path string")
     assert [r.commit_count for r in an.hotfiles(numstat, commits, min_commits=1).collect()] == [1]
+
+
+def test_report_goes_from_log_to_files(spark, tmp_path):
+    from logweave.plans import catalog
+    import json
+    commits = tables.commits_from_documents(spark, SF).filter("repo IN ('src0', 'src1', 'src2')")
+    args = dict(labeller=catalog.review_labeller, generated_at="g", min_size=1)
+    r = an.report(commits, str(tmp_path / "out.json"), summariser=catalog.line_counter, **args)
+    for repo in ("src0", "src1", "src2"):
+        folder = tmp_path / "out.json" / f"repo={repo}"
+        doc = json.loads("".join(f.read_text() for f in sorted(folder.iterdir()) if f.name.startswith("part-")))
+        assert doc["themes_found"] == len(doc["themes"]) >= 2
+        assert sum(t["commit_count"] for t in doc["themes"]) == doc["total_commits"] == 10
+        assert doc["overall_summary"].startswith(f"{3 + len(doc['themes']) + 10} lines, first - ")
+        assert all(t["action_items"].startswith("Check ") for t in doc["themes"])
+    assert r.overall.count() == 3
+    md = an.report(commits, str(tmp_path / "out.md"), summariser=catalog.line_counter, **args)
+    text = "\n".join(x.value for x in spark.read.text(str(tmp_path / "out.md")).collect())
+    assert "## Executive Summary" in text and "> **Action:** Check " in text and md.overall is not None
+    plain = an.report(commits, str(tmp_path / "out.csv"), min_size=1)
+    assert plain.overall is None and spark.read.options(**S.CSV_OPTIONS).csv(str(tmp_path / "out.csv")).count() == commits.count()
