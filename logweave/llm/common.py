@@ -49,6 +49,31 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: columns that the pipeline's stages read or set; all others only travel along
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shelter(docs: DataFrame, used: tuple = DOCUMENT_COLUMNS):
+    """``docs`` with generated names for the columns that are not ``used``, and a function
+    that gives a result its names back; a made column replaces one of its name."""
+    tag = uuid.uuid4().hex[:12]
+    names = {c if c in used else f"kept_{k}_{tag}": c for k, c in enumerate(docs.columns)}
+
+    def restore(out: DataFrame) -> DataFrame:
+        made = {c.lower() for c in out.columns if c not in names}
+        return out.select(*[F.col(c).alias(names.get(c, c)) for c in out.columns if c not in names or names[c].lower() not in made])
+    return docs.toDF(*names), restore
+
+
+def sheltered(stage):
+    """A stage whose other columns cannot clash with the names it uses inside."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        hidden, restore = shelter(docs)
+        return restore(stage(spark, hidden, sf_dir))
+    return run
+
+
 def tidy(fn):
     """Give freed memory back when a task ends: Spark reuses Python workers, and a
     worker that keeps the peak of an earlier task takes it from the executor."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import blocks, buffers, cut, lower_ascii, table, tidy, window_hashes, words
+from logweave.llm.common import blocks, buffers, cut, lower_ascii, shelter, sheltered, table, tidy, window_hashes, words
 
 SPANS = "array<struct<begin:bigint,end:bigint>>"
 
@@ -140,10 +140,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     spans of their texts replaced by one space; columns as they were."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode}")
+    docs, restore = shelter(docs, ("doc_id", "text"))
     cols = docs.columns
     found = scan(docs, benchmark, size, keep=tuple(cols))
     if mode == "documents":
-        return found.filter(F.size("items") == 0).select(*cols)
+        return restore(found.filter(F.size("items") == 0).select(*cols))
     raw = F.encode("text", "UTF-8")
     # the kept stretches between the spans, decoded one by one: span ends are word ends, never inside a character
     edges = F.transform(F.sequence(F.lit(0), F.size("byte_spans")), lambda k: F.substring(
@@ -151,7 +152,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         (F.when(k == F.size("byte_spans"), F.octet_length("text")).otherwise(F.col("byte_spans")[k]["begin"])
          - F.when(k == 0, F.lit(0)).otherwise(F.col("byte_spans")[k - 1]["end"])).cast("int")))
     text = F.when(F.size("byte_spans") > 0, F.array_join(F.transform(edges, lambda x: F.decode(x, "UTF-8")), " ")).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*cols)
+    return restore(found.withColumn("text", text).select(*cols))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +163,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
 
 
+@sheltered
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a benchmark window."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))

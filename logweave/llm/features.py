@@ -115,17 +115,13 @@ def uniform(*cols):
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
-def per_class_sample(df: DataFrame, label: str, per_class: int, most_classes: int = 256) -> tuple[DataFrame, dict]:
+def per_class_sample(df: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each label value, chosen by a hash of ``doc_id``,
     and the number of rows of each value."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(most_classes + 1).collect()}
-    if len(counts) > most_classes:
-        raise ValueError(f"{label} has over {most_classes} values; raise most_classes")
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return df.limit(0), counts
-    share = F.lit(0.0)
-    for k, n in counts.items():
-        share = F.when(F.col(label) == F.lit(k), F.lit(min(1.0, per_class / n))).otherwise(share)
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))]), F.col(label))
     return df.filter(uniform("doc_id", F.lit(17)) < share), counts
 
 

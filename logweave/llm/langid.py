@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import buffers, held_out, lower_ascii, table, tidy
+from logweave.llm.common import buffers, held_out, lower_ascii, sheltered, table, tidy
 from logweave.llm.features import collect_counts, gram_sums, matrix, per_class_sample
 
 
@@ -136,6 +136,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(src, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+@sheltered
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is not rejected, columns as they are."""
     cols = docs.columns

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import blocks, buffers, cut, mix64, table, tidy, window_hashes, words
+from logweave.llm.common import blocks, buffers, cut, mix64, sheltered, table, tidy, window_hashes, words
 from logweave.llm.graph import components, linked_rows, on_cells, pairs_of, results, to_cells
 
 TREES, MAX_DEPTH = 24, 8
@@ -244,6 +244,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()).alias("kept"))
 
 
+@sheltered
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies, the row with the smallest id stays.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import mix64, table, tidy
+from logweave.llm.common import mix64, sheltered, table, tidy
 
 MARK = "▁"
 LONG = 400
@@ -291,6 +291,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True).select("doc_id", "n_pieces", "ids_sha256", "round_trip")
 
 
+@sheltered
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the documents' ids in place of their texts."""
     import public_tokenizers

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import BLOCK_BYTES, buffers, cut, groups_of, mix64, table, tidy
+from logweave.llm.common import BLOCK_BYTES, buffers, cut, groups_of, mix64, sheltered, table, tidy
 
 GRAM = 16
 #: anchors of one chunk, segments of one collection
@@ -610,7 +610,11 @@ def repeated_passages(docs: DataFrame, window: int = 50, hot_docs: int = 1 << 17
     # exact copies: only the smallest id of a text is compared, the others lose everything
     ids = usable.select("_key", F.col("_id").cast("bigint").alias("doc"), F.unhex(F.md5("_text")).alias("digest"))
     first = ids.groupBy("digest").agg(F.min("doc").alias("first"))
-    ids = cut(ids.join(first, "digest").select("_key", (F.col("doc") > F.col("first")).alias("copy")).distinct(), "copies")
+    ids = ids.join(first, "digest").groupBy("_key", (F.col("doc") > F.col("first")).alias("copy")).agg(F.count(F.lit(1)).alias("rows"))
+    ids = cut(ids, "copies")
+    if not ids.filter("rows > 1 AND NOT copy").isEmpty():  # rows that repeat id and text are compared once
+        usable = cut(usable.dropDuplicates(["_key"]), "usable")
+    ids = ids.drop("rows")
 
     deal = lambda df: df.repartition(parts, "key").sortWithinPartitions("key")
     found = usable.select("_key", "_text").mapInArrow(_find_anchors(window, 4 * parts), _ROW)
@@ -643,6 +647,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@sheltered
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated passages leave the texts; a text that loses all its
     bytes goes.  A character cut by a span goes with it, n_chars follows the text."""

@@ -7,8 +7,9 @@ chunks that are dealt over the cluster and encoded with offsets.  Neighbours are
 spliced at a common boundary inside their overlap that is proven stable: both
 encodings start a token there, right after an ASCII blank or digit, which no
 token, special token or normalisation step crosses.  Where an overlap has no
-such place, the document goes round again with overlaps twice as wide, at last
-as one chunk.
+such place, the document goes round again with overlaps eight times as wide and
+chunks of at least eight overlaps, at last as one chunk, so a text without any
+such place is encoded a few times, not once a chunk.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows
 are counted one by one; special strings inside texts are handled as the library
@@ -18,6 +19,7 @@ text are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -48,6 +50,26 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
+#: what the proof of the boundaries holds for: white space ends a word, a digit is one of its own
+_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def check_file(path: str) -> None:
+    """Refuse a tokenizer for which words and boundaries are not proven."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    normal = made.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    pre = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = pre[0]
+    proven = (made["model"]["type"] == "BPE" and normal["type"] == "Sequence" and all(x in _NORMALIZERS for x in normal["normalizers"])
+              and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and split["pattern"] == {"Regex": _PATTERN}
+              and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in pre[1:]] == [("ByteLevel", False, False)]
+              and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"[\s\d]", t["content"]) for t in made["added_tokens"]))
+    if not proven:
+        raise ValueError(f"{path}: boundaries at blanks and digits are not proven for this tokenizer")
+
+
 def count_words(texts: list[str], path: str, memo: dict) -> list[int]:
     """Token counts of short texts from the counts of their words."""
     tok = tokenizer(path)
@@ -150,7 +172,8 @@ def _resynchronised(long: DataFrame, path: str, chunk: int, overlap: int) -> Dat
 def count_tokens(docs: DataFrame, path: str, chunk: int = 32_768, overlap: int = 512,
                  id_col="doc_id", text_col="text") -> DataFrame:
     """id, n_bytes, n_tokens of every whole text.  ``path``: a tokenizers .json file
-    at the same place on every executor."""
+    at the same place on every executor; files for which the boundaries are not proven are refused."""
+    check_file(path)
     kind = dict(docs.dtypes)[id_col]
     first = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
              .mapInArrow(_first_pass(path, chunk), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, text string")
@@ -159,13 +182,13 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = 32_768, overlap: int =
     done = first.filter("n_tokens is not null").select("doc_id", "n_bytes", "n_tokens")
     waiting, wide = first.filter("n_tokens is null"), overlap
     while True:
-        got = cut(_resynchronised(waiting, path, chunk, wide), "splice")
+        got = cut(_resynchronised(waiting, path, max(chunk, 8 * wide), wide), "splice")
         ok = got.filter("n_tokens is not null")
         done = done.unionByName(first.drop("n_tokens").join(ok, "rid").select("doc_id", "n_bytes", "n_tokens"))
         if got.filter("n_tokens is null").isEmpty():
             break
         waiting = waiting.join(got.filter("n_tokens is null").select("rid"), "rid", "left_semi")
-        wide *= 2
+        wide *= 8
     return done.withColumnRenamed("doc_id", id_col)
 
 
