@@ -99,10 +99,11 @@ class Report:
 
 def report(commits: DataFrame, path: str | None = None, labeller: Callable | None = None,
            summariser: Callable | None = None, export: str | None = None, generated_at: str | None = None,
-           max_concurrent: int = 3, journal: str | None = None, **selection) -> Report:
+           max_concurrent: int = 3, journal: str | None = None, files: int | None = None, **selection) -> Report:
     """From the log to the report in one call: ``analyse``, labels (L5 with ``labeller``, else
     keyword titles), executive summary (L3 with ``summariser``, repos of at least two themes),
-    and the export that ``path`` or ``export`` asks for, written if there is a ``path``.
+    and the export that ``path`` or ``export`` asks for, written if there is a ``path``: in a
+    folder per repo or, with ``files``, in at most that many files and a manifest.
     ``selection``: the arguments of ``analyse``.
     """
     from datetime import datetime, timezone
@@ -127,7 +128,7 @@ def report(commits: DataFrame, path: str | None = None, labeller: Callable | Non
     else:
         frame, write = sinks.report_json_lines(selected, t.ranked, labels, stamp, overall), sinks.write_report_documents
     if path is not None:
-        write(frame, path)
+        write(frame, path, files=files)
     return Report(t, labels, overall, frame)
 
 

@@ -411,6 +411,8 @@ def q_theme_keywords(spark, sf):
 
 from logweave.operators import labels as _lab  # noqa: E402
 from logweave.operators import report as _rep  # noqa: E402
+from logweave.session import scratch_path  # noqa: E402
+from logweave.sinks import files as _files  # noqa: E402
 from logweave.sinks import reports as _sink  # noqa: E402
 
 GENERATED_AT = "2026-01-01T00:00:00+00:00"
@@ -614,7 +616,7 @@ loose AS (SELECT c.repo, count(*) AS n FROM commits c JOIN ranked r ON c.repo =
           WHERE r.cluster_id IS NULL GROUP BY c.repo)"""
 
 
-@register("report_markdown", _text_sql(f"""
+MARKDOWN_SQL = f"""
 SELECT repo, CAST(section AS BIGINT) AS section, CAST(base + i AS BIGINT) AS line_no, text FROM (
   SELECT repo, section, base, unnest(l) AS text, unnest(range(len(l))) AS i FROM (
     SELECT repo, 0 AS section, 0 AS base,
@@ -638,14 +640,29 @@ SELECT repo, CAST(section AS BIGINT) AS section, CAST(base + i AS BIGINT) AS lin
                        ['', '</details>', '']) FROM roll
     UNION ALL
     SELECT repo, 1073741824, 0,
-           ['## Unclustered Commits', '', '*' || CAST(n AS VARCHAR) || ' commits did not fit any theme.*', ''] FROM loose))""",
-    REPORT_CTES))
+           ['## Unclustered Commits', '', '*' || CAST(n AS VARCHAR) || ' commits did not fit any theme.*', ''] FROM loose))"""
+
+
+@register("report_markdown", _text_sql(MARKDOWN_SQL, REPORT_CTES))
 def q_report_markdown(spark, sf):
     """E2 line rows."""
     c = _Ctx(spark, sf)
     return _sink.report_markdown_lines(c.commits, c.t.ranked, c.labels, GENERATED_AT)
 
 
+@register("written_report", _text_sql(f"""
+SELECT repo, CAST(row_number() OVER (PARTITION BY repo ORDER BY section, line_no) AS BIGINT) AS line_no, text
+FROM ({MARKDOWN_SQL})""", REPORT_CTES))
+def q_written_report(spark, sf):
+    """The Markdown reports written in a bounded number of files and read back
+    with the place of each line."""
+    c = _Ctx(spark, sf)
+    path = scratch_path(spark, "report")
+    lines = _sink.report_markdown_lines(c.commits, c.t.ranked, c.labels, GENERATED_AT)
+    _sink.write_report_markdown(lines, path, files=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _files.read_lines(spark, path)
+
+
 @register("report_json", _text_sql(f"""
 SELECT repo, 'repo' AS kind, '{GENERATED_AT}' AS generated_at, CAST(total AS BIGINT) AS total_commits,
        CAST(found AS BIGINT) AS themes_found, '' AS overall_summary, CAST(NULL AS INTEGER) AS theme,

@@ -130,19 +130,25 @@ def materialize(df):
     return out
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path under the shared checkpoint folder, removed when the application ends."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark, local_fallback=True).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return path
+
+
 def stored(df, tag: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but runs the plan once.  ``drop_stored``
     removes the folder early; whatever is left goes when the application ends.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark, local_fallback=True).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
