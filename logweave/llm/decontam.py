@@ -27,48 +27,91 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import blocks, buffers, cut, lower_ascii, shelter, sheltered, table, tidy, window_hashes, words
 
+STEP = 1 << 18  # hashes put into a bitmap at a time
 SPANS = "array<struct<begin:bigint,end:bigint>>"
 
 
 class Windows:
-    """Hash set of item windows, by window length, with their words and item ids."""
-
-    def __init__(self, items: list[tuple[str, str]], size: int):
-        by_len: dict[int, dict[int, dict[tuple, set]]] = {}
-        for item, text in items:
-            b = np.frombuffer(text.encode(), np.uint8)
-            begin, end, h, _ = words(b, np.array([0, len(b)], np.int64))
-            if not len(h):
-                continue
-            m = min(size, len(h))
-            low = lower_ascii(b)
-            ws = [low[i:j].tobytes() for i, j in zip(begin, end)]
-            for k, key in enumerate(window_hashes(h, m).tolist()):
-                by_len.setdefault(m, {}).setdefault(key, {}).setdefault(tuple(ws[k:k + m]), set()).add(item)
-        self.by_len = {m: {k: [(w, frozenset(i)) for w, i in v.items()] for k, v in d.items()} for m, d in by_len.items()}
-        self.filters = {}
-        for m, d in self.by_len.items():
-            keys = np.fromiter(d, np.uint64, len(d))
-            bits = max(12, math.ceil(math.log2(len(keys) * 32)))
-            bitmap = np.zeros(1 << bits, bool)
-            bitmap[keys >> np.uint64(64 - bits)] = True
-            self.filters[m] = (bitmap, np.uint64(64 - bits))
+    """Hash set of item windows in flat arrays, some seven bytes per byte of benchmark.
+
+    The lower-cased texts lie in one array, with begin and end of every word.  Per window
+    length: the window hashes in ascending order, beside each the number of its first word,
+    and a bitmap of the leading hash bits.  Equal hashes are neighbours; ``mixed`` holds
+    the starts of runs whose windows are not all the same words.
+    """
+
+    def __init__(self, items: pa.Table, size: int):
+        raw, off = buffers(items.column("text"))
+        self.names, self.text = items.column("item").combine_chunks(), lower_ascii(raw)
+        kind = np.uint32 if len(raw) < 1 << 32 else np.int64
+        begin, end, first, keys, places, total = [], [], [], {}, {}, 0
+        for lo, hi in blocks(off):
+            b, e, h, f = words(self.text[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+            begin.append((b + off[lo]).astype(kind))
+            end.append((e + off[lo]).astype(kind))
+            first.append(f[:-1] + total)
+            n = np.diff(f)
+            length, room = np.repeat(np.minimum(n, size), n), np.repeat(f[1:], n) - np.arange(len(h))
+            for m in np.unique(length).tolist():
+                at = np.flatnonzero((length == m) & (room >= m))
+                keys.setdefault(m, []).append(window_hashes(h, m)[at])
+                places.setdefault(m, []).append((at + total).astype(kind))
+            total += len(h)
+        join = lambda parts, dtype: np.concatenate(parts) if parts else np.zeros(0, dtype)
+        self.begin, self.end, self.first = join(begin, kind), join(end, kind), join(first, np.int64)
+        del begin, end, first
+        self.tables = {}
+        for m in sorted(keys):
+            key, place = np.concatenate(keys.pop(m)), np.concatenate(places.pop(m))
+            order = np.argsort(key, kind="stable")
+            key, place = key[order], place[order]
+            del order
+            bits = max(12, math.ceil(math.log2(len(key) * 32)))
+            shift, bitmap = np.uint64(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
+            for k in range(0, len(key), STEP):
+                byte, bit = self._slots(key[k:k + STEP], shift)
+                np.bitwise_or.at(bitmap, byte, np.left_shift(np.uint8(1), bit))
+            again = np.flatnonzero(key[1:] == key[:-1]) + 1
+            odd = [i for i in again.tolist() if not self._equal(int(place[i - 1]), int(place[i]), m)]
+            mixed = set(np.searchsorted(key, key[odd]).tolist())
+            self.tables[m] = (key, place, bitmap, shift, mixed)
+
+    @staticmethod
+    def _slots(hashes: np.ndarray, shift: np.uint64):
+        slot = hashes >> shift
+        return (slot >> np.uint64(3)).astype(np.int64), (slot & np.uint64(7)).astype(np.uint8)
+
+    def _words(self, at: int, m: int) -> list[bytes]:
+        return [self.text[x:y].tobytes() for x, y in zip(self.begin[at:at + m].tolist(), self.end[at:at + m].tolist())]
+
+    def _equal(self, p: int, q: int, m: int) -> bool:
+        whole = [self.text[self.begin[x]:self.end[x + m - 1]].tobytes() for x in (p, q)]
+        return whole[0] == whole[1] or self._words(p, m) == self._words(q, m)
 
     def hits(self, b: np.ndarray, offsets: np.ndarray):
         """(row -> word mask, row -> item ids) for rows with a hit, first word of each row, word begins and ends."""
         begin, end, h, first = words(b, offsets)
         mask, items = np.zeros(len(h), bool), {}
-        for m, (bitmap, shift) in self.filters.items():
+        for m, (keys, places, bitmap, shift, mixed) in self.tables.items():
             win = window_hashes(h, m)
-            at = np.flatnonzero(bitmap[win >> shift]) if len(win) else np.zeros(0, np.int64)
+            byte, bit = self._slots(win, shift)
+            at = np.flatnonzero((bitmap[byte] >> bit) & 1)
             row = np.searchsorted(first, at, side="right") - 1
             inside = at + m <= first[row + 1]
-            for p, r, key in zip(at[inside].tolist(), row[inside].tolist(), win[at[inside]].tolist()):
-                for ws, ids in self.by_len[m].get(key, ()):
-                    if all(lower_ascii(b[begin[p + k]:end[p + k]]).tobytes() == w for k, w in enumerate(ws)):
-                        mask[p:p + m] = True
-                        items.setdefault(r, set()).update(ids)
-        return mask, items, first, begin, end
+            at, row = at[inside], row[inside]
+            lo, hi = (np.searchsorted(keys, win[at], side=side) for side in ("left", "right"))
+            for p, r, i, j in zip(at.tolist(), row.tolist(), lo.tolist(), hi.tolist()):
+                if i == j:
+                    continue
+                own = [lower_ascii(b[x:y]).tobytes() for x, y in zip(begin[p:p + m].tolist(), end[p:p + m].tolist())]
+                run = places[i:j]
+                same = [self._words(q, m) == own for q in (run if i in mixed else run[:1]).tolist()]
+                if not any(same):
+                    continue
+                mask[p:p + m] = True
+                run = run[same] if i in mixed else run
+                items.setdefault(r, set()).update((np.searchsorted(self.first, run, side="right") - 1).tolist())
+        return mask, {r: {self.names[k].as_py() for k in found} for r, found in items.items()}, first, begin, end
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -87,21 +130,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes:
     (their places in the UTF-8 text) and items (sorted ids) of every document."""
     spark = docs.sparkSession
     items = _items(benchmark)
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    parts = max(1, math.ceil(total / broadcast_bytes))
+    n, total = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text") + F.octet_length("item"))).first()
+    parts = max(1, min(n, math.ceil((total or 0) / broadcast_bytes)))
     extra = [c for c in keep if c not in (id_col, text_col)]
     df = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), *extra,
                      F.lit(None).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("word_spans"),
                      F.array().cast(SPANS).alias("byte_spans"), F.array().cast("array<string>").alias("items"))
     fixed = 2 + len(extra)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    scanned = False
     for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()  # bounded: see total
-        shared = spark.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in rows], size))
-        step = lambda it, shared=shared: _scan_batches(it, shared.value, fixed)
-        df = df.mapInArrow(step, schema)
-        if part + 1 < parts:
+        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).toArrow()  # bounded: see total
+        if not rows.num_rows and (scanned or part + 1 < parts):
+            continue
+        if scanned:
             df = cut(df, "decontam")
+        shared = spark.sparkContext.broadcast(Windows(rows, size))
+        step = lambda it, shared=shared: _scan_batches(it, shared.value, fixed)
+        df, scanned = df.mapInArrow(step, schema), True
     return df.withColumnsRenamed({"_id": id_col, "_text": text_col})
 
 
