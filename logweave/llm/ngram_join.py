@@ -1,14 +1,23 @@
-"""N-gram Jaccard join: MinHash bands of fixed depth and exact verification.
+"""N-gram Jaccard join: MinHash LSH forest and exact verification.
 
 A document is the set of its five-word shingles.  Equal sets form one class.  Each of
-``trees`` trees gives a class a label, the sequence of its hash values; two classes are
-candidates where the first values of a label are equal.  Their number is one constant,
-the longest of up to ``max_depth`` at which a pair at the threshold is met with
-probability ``recall`` in some tree by the formula.  This stands in for an LSH forest:
-there are no sorted labels and no prefixes that follow the data.  Inside
-buckets, sketches drop pairs that are far below the threshold (five standard
-deviations) and what remains forms candidate families; there every pair is
-verified on the whole shingle sets.
+``TREES`` trees gives a class a label of ``MAX_DEPTH`` hash values of 16 bits; the
+sorted labels of a tree are a prefix trie, and the common prefix of sorted neighbours
+is the longest that a class shares with any other.  Matching starts at whole labels
+and shortens them one value in one tree at a time (all trees to 7 values, then to 6,
+and so on) until a pair is met in some tree with probability ``RECALL``.  How far a
+class goes depends on the lowest similarity of at least the threshold that sets of its
+size can have: at 0.8, six shingles stop at 0.83 and keep longer prefixes, up to three
+shingles have no partner but their copies, large sets go on to the threshold itself.
+Two classes are candidates where a common prefix has the length that both ask for.
+Recall by the formula is at least ``RECALL`` for every pair, because a linked pair is at
+least as similar as the lowest value of either size, and all classes shorten in one order.
+Inside the nodes of the shortest prefixes, sketches drop pairs that are far below the
+threshold (five standard deviations) and what remains forms candidate families; there
+every pair is verified on the whole shingle sets.
+
+Labels are range-sorted with the class as the last key, so a label that stands in a
+third of all classes is dealt over tasks; the first and last row of a task always stay.
 
 Defined results: null text, or text without words, has no shingles and links with
 nothing; text of fewer than five words is one shingle; equal sets are linked,
@@ -28,18 +37,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import blocks, buffers, cut, mix64, sheltered, table, tidy, window_hashes, words
+from logweave.llm.common import blocks, buffers, cut, sheltered, table, tidy, window_hashes, words
 from logweave.llm.graph import components, linked_rows, on_cells, pairs_of, results, to_cells
 
 TREES, MAX_DEPTH = 24, 8
+#: probability that the forest meets a pair whose similarity is the lowest that its class may have
+RECALL = 0.9999
+#: sets of more shingles are taken to reach the threshold itself
+SMALL_SET = 64
 
 
-def prefix_depth(threshold: float, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = 0.9995) -> int:
-    """Longest prefix whose forest meets a pair at the threshold with the wanted probability."""
-    for depth in range(max_depth, 0, -1):
-        if 1 - (1 - threshold ** depth) ** trees >= recall:
-            return depth
-    return 1
+def depths(steps: int) -> list[int]:
+    """Length of the prefix in each tree after so many single shortenings."""
+    return [MAX_DEPTH - (steps + TREES - 1 - t) // TREES for t in range(TREES)]
+
+
+def ascent(similarity: float, recall: float = RECALL) -> int:
+    """Shortenings after which a pair of that similarity is met with the wanted probability
+    (or all prefixes are of one value)."""
+    for steps in range(TREES * (MAX_DEPTH - 1)):
+        if 1 - math.prod(1 - similarity ** d for d in depths(steps)) >= recall:
+            return steps
+    return TREES * (MAX_DEPTH - 1)
+
+
+def prefix_depth(threshold: float) -> int:
+    """Shortest prefix that any class asks for."""
+    return min(depths(ascent(threshold)))
+
+
+def lowest_similarity(n: int, threshold: Fraction) -> Fraction | None:
+    """Lowest Jaccard similarity of at least the threshold that a set of ``n`` can have with
+    another set; None where it has none."""
+    found = []
+    for m in range(math.ceil(n * threshold), math.floor(n / threshold) + 1):
+        shared = math.ceil(threshold * (n + m) / (1 + threshold))  # least that reaches the threshold
+        if shared <= min(n, m) and 2 * shared < n + m:
+            found.append(Fraction(shared, n + m - shared))
+    return min(found, default=None)
 
 
 def shingles(b: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,40 +112,68 @@ def set_digest(s: np.ndarray) -> bytes:
     return hashlib.md5(s.tobytes()).digest()
 
 
-def _sign(size: int, depth: int):
+def _sign(size: int):
     @tidy
     def run(batches):
         for batch in batches:
             b, off = buffers(batch.column(1))
-            node, count, prefix, sketch = [], [], [], []
+            node, count, labels = [], [], []
             for lo, hi in blocks(off):
                 base = off[lo]
                 s, start = shingles(b[base:off[hi]], off[lo:hi + 1] - base, size)
                 has = start[1:] > start[:-1]
                 some = np.concatenate([start[:-1][has], start[-1:]])
                 sig = minhash(s, some, TREES * MAX_DEPTH) if has.any() else np.zeros((0, TREES * MAX_DEPTH), np.uint64)
-                tree = sig.reshape(-1, TREES, MAX_DEPTH)[:, :, :depth]
-                label = np.zeros(tree.shape[:2], np.uint64)
-                label += np.arange(TREES, dtype=np.uint64)  # labels of different trees differ
-                for k in range(depth):
-                    label = mix64(label * np.uint64(0xD6E8FEB86659FD93) + tree[:, :, k])
-                low = (sig & np.uint64(255)).astype(np.uint8)
+                sig = (sig & np.uint64(0xFFFF)).astype(">u2")
                 k = 0
                 for r in range(hi - lo):
                     if has[r]:
                         node.append(set_digest(s[start[r]:start[r + 1]]))
-                        prefix.append(label[k].view(np.int64))
-                        sketch.append(low[k].tobytes())
+                        labels.append(sig[k].tobytes())
                         k += 1
                     else:
                         node.append(None)
-                        prefix.append(None)
-                        sketch.append(None)
+                        labels.append(None)
                 count.extend((start[1:] - start[:-1]).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(node, pa.binary()), pa.array(count, pa.int64()),
-                 pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["id", "text_hash", "node", "n", "prefix", "sketch"])
+                [batch.column(0), batch.column(2), pa.array(node, pa.binary()), pa.array(count, pa.int64()), pa.array(labels, pa.binary())],
+                ["id", "text_hash", "node", "n", "labels"])
+    return run
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of leading values that the rows of both share."""
+    return np.logical_and.accumulate(a == b, axis=1).sum(axis=1)
+
+
+def _nodes(shortest: list[int]):
+    """Rows (bucket, node) of the sorted labels that share a prefix of the wanted length with
+    a neighbour; the bucket is the trie node of the tree's shortest prefix."""
+    wanted = np.array([depths(k) for k in range(TREES * (MAX_DEPTH - 1) + 1)])
+
+    def kept(tree, label, node, steps, before, behind):
+        on = np.flatnonzero(np.maximum(before, behind) >= wanted[steps, tree])
+        bucket = [bytes([t]) + label[k, :shortest[t]].tobytes() for k, t in zip(on.tolist(), tree[on].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.binary()), pa.array([node[k] for k in on], pa.binary())], ["bucket", "node"])
+
+    @tidy
+    def run(batches):
+        last, before = None, MAX_DEPTH
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree = batch.column(0).to_numpy()
+            label = buffers(batch.column(1))[0].view(">u2").reshape(-1, MAX_DEPTH)
+            node, steps = batch.column(2).to_pylist(), batch.column(3).to_numpy()
+            if last is not None:
+                tree, label, steps = (np.concatenate(x) for x in zip(last[:2] + last[3:], (tree, label, steps)))
+                node = last[2] + node
+            same = np.where(tree[1:] == tree[:-1], common_prefix(label[1:], label[:-1]), 0)
+            front = np.concatenate([[before], same])
+            yield kept(tree[:-1], label[:-1], node[:-1], steps[:-1], front[:-1], same)
+            last, before = (tree[-1:].copy(), label[-1:].copy(), node[-1:], steps[-1:].copy()), int(front[-1])
+        if last is not None:
+            yield kept(*last, np.array([before]), np.array([MAX_DEPTH]))
     return run
 
 
@@ -126,11 +189,18 @@ def equal_bytes(sketches: np.ndarray) -> np.ndarray:
 
 
 def _family(least_equal: int):
-    """Candidate pairs of a bucket: enough equal sketch bytes."""
+    """Candidate pairs of a bucket: common prefix of the length both ask for, enough equal sketch bytes."""
     def work(c: dict):
         n = len(c["node"])
-        sk = np.frombuffer(b"".join(c["sketch"]), np.uint8).reshape(n, -1)
-        i, j = pairs_of(equal_bytes(sk) >= least_equal, c["blk"])
+        label = np.frombuffer(b"".join(c["labels"]), ">u2").reshape(n, TREES * MAX_DEPTH)
+        i, j = pairs_of(equal_bytes((label & 0xFF).astype(np.uint8)) >= least_equal, c["blk"])
+        steps = np.array(c["steps"])
+        if len(i) and steps.min() < steps.max():
+            t = c["bucket"][0][0]
+            own = label[:, t * MAX_DEPTH:(t + 1) * MAX_DEPTH]
+            wanted = np.array([depths(k)[t] for k in c["steps"]])
+            met = common_prefix(own[i], own[j]) >= np.maximum(wanted[i], wanted[j])
+            i, j = i[met], j[met]
         return linked_rows(c["node"], i, j, [1] * n) if len(i) else None
     return work
 
@@ -201,21 +271,31 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, block: int = 51
     """id, n_links and component (smallest id reached) of every document, and text_hash."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(src.dtypes)["id"]
-    depth = prefix_depth(threshold)
+    exact = Fraction(threshold).limit_denominator(10_000)
     signed = cut(src.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        _sign(size, depth), f"id {kind}, text_hash bigint, node binary, n bigint, prefix array<bigint>, sketch binary"), "signed")
+        _sign(size), f"id {kind}, text_hash bigint, node binary, n bigint, labels binary"), "signed")
     rows = signed.select("id", "node", "text_hash")
     cls = cut(signed.filter("node is not null").groupBy("node").agg(
         F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
-        F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min(F.struct("id", "text_hash")).alias("at")), "sets")
-    # buckets of the forest that hold more than one class
-    slim = cls.select("node", F.explode("prefix").alias("bucket"))
+        F.first("labels").alias("labels"), F.min(F.struct("id", "text_hash")).alias("at")), "sets")
+    # shortenings of each class; none for sets that no other set can be linked with
+    low = [lowest_similarity(n, exact) for n in range(1, SMALL_SET + 1)]
+    small = F.array(*[F.lit(None if x is None else ascent(float(x))).cast("int") for x in low])
+    asked = cls.select("node", "labels", F.when(F.col("n") > SMALL_SET, ascent(threshold)).otherwise(
+        F.get(small, F.col("n").cast("int") - 1)).alias("steps")).filter("steps is not null")
+    # sorted labels of every tree, and the nodes of the tries that hold more than one class
+    width = 2 * MAX_DEPTH
+    label = asked.select("node", "steps", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
+        "tree", F.expr(f"substring(labels, tree * {width} + 1, {width})").alias("label"), "node", "steps")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    label = label.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    slim = cut(label.mapInArrow(_nodes(depths(ascent(threshold))), "bucket binary, node binary"), "trie")
     full = slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = slim.join(full, "bucket").join(cls.select("node", "sketch"), "node")
+    met = slim.join(full, "bucket").join(asked, "node")
     n_hash = TREES * MAX_DEPTH
     chance = threshold + (1 - threshold) / 256
     least = math.floor(n_hash * chance - 5 * math.sqrt(n_hash * chance * (1 - chance)))
-    pairs = on_cells(to_cells(met, "bucket", "node", F.ceil(F.col("members") / block)).select("cell", "blk", "node", "sketch"),
+    pairs = on_cells(to_cells(met, "bucket", "node", F.ceil(F.col("members") / block)).select("cell", "blk", "node", "labels", "steps", "bucket"),
                      _family(least))
     family = components(pairs.select(F.col("node").alias("a"), F.col("root").alias("b")))
     family = cut(family.join(cls.select("node", "n", "copies", "at"), "node"), "families")

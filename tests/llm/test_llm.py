@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -260,6 +261,32 @@ def test_ngram_join_against_brute_force(spark, docs):
     assert 1 - (1 - 0.8 ** ngram_join.prefix_depth(0.8)) ** ngram_join.TREES >= 0.9995
 
 
+def test_forest_shortens_until_the_recall():
+    t = Fraction(4, 5)
+    for n in range(1, 31):
+        sims = {Fraction(i, n + m - i) for m in range(1, 60) for i in range(min(n, m) + 1)}
+        assert ngram_join.lowest_similarity(n, t) == min((x for x in sims if t <= x < 1), default=None), n
+    for sim in (0.8, 5 / 6, 0.9, 0.99):
+        k = ngram_join.ascent(sim)
+        met = [1 - math.prod(1 - sim ** d for d in ngram_join.depths(x)) for x in (k, max(k - 1, 0))]
+        assert met[0] >= ngram_join.RECALL and (k == 0 or met[1] < ngram_join.RECALL)
+    deep = [ngram_join.depths(k) for k in range(ngram_join.TREES * (ngram_join.MAX_DEPTH - 1) + 1)]
+    assert all(x <= y for a, b in zip(deep, deep[1:]) for x, y in zip(b, a))  # one order for all classes
+
+
+def test_forest_links_small_sets_and_one_hot_prefix(spark):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join(base[:40 + k]) for k in range(41)] + [" ".join(base[k:k + 9 + k % 7]) for k in range(60)]
+    texts += [" ".join(rng.sample(base, rng.randint(5, 12))) for _ in range(60)]
+    texts += [" ".join(base[:k]) for k in range(5, 40)]  # sets of 1, 2, 3 ... shingles, each in the next
+    rows = [(k, x, "en", "s", len(x)) for k, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    for block in (512, 8):
+        got = sorted((str(r.doc_id), r.n_links, str(r.component)) for r in ngram_join.join(docs, block=block).collect())
+        assert got == ngram_brute(rows)
+
+
 def passages_brute(rows, window=50):
     first = {}
     for i, t, *_ in rows:
