@@ -10,7 +10,7 @@ similarity join on (repo, term), cluster ranking and keyword ranking.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -84,11 +84,39 @@ def analyse(commits: DataFrame, since=None, until=None, author=None, branch: str
             max_commits: int | None = None, **theme_args) -> Themes:
     """The reference's ``analyse`` selection (F1-F4; all commits unless ``max_commits`` is given)
     followed by ``theme_tables``.  One ref is analysed: ``seq`` is a position in
-    the log of one ref, so logs of several refs are never mixed."""
+    the log of one ref, so logs of several refs are never mixed (``analyse_refs``
+    takes many in one run)."""
     sel = flt.select_log(commits, since, until, author, branch, max_commits)
     return theme_tables(sel, **theme_args)
 
 
+def log_key():
+    """One string for the log of a (repo, ref), from which both can be read again."""
+    return F.to_json(F.struct("repo", "ref"))
+
+
+def _with_ref(table: DataFrame) -> DataFrame:
+    log = F.from_json("repo", "repo string, ref string")
+    return table.select(log["repo"].alias("repo"), log["ref"].alias("ref"), *[c for c in table.columns if c != "repo"])
+
+
+def analyse_refs(commits: DataFrame, refs: list[str] | None = None, since=None, until=None, author=None,
+                 max_commits: int | None = None, **theme_args) -> Themes:
+    """``analyse`` of the logs of several refs (default: all) in one run.
+
+    Each (repo, ref) is a log of its own: ``max_commits``, document frequencies, clusters
+    and their ids are per log, and every table of the result has ``(repo, ref, ...)``.  The
+    theme operators see one key per log, so all logs share the same shuffles and a commit
+    that lies on two refs is a member of two logs.  The order in which C2 visits a log's
+    rows comes from the log's key, so its themes may differ from those of ``analyse``.
+    """
+    sel = flt.select_log(commits, since, until, author, None, max_commits)
+    if refs is not None:
+        sel = sel.filter(F.col("ref").isin(list(refs)))
+    found = theme_tables(sel.withColumn("repo", log_key()), **theme_args)
+    return Themes(**{f.name: _with_ref(getattr(found, f.name)) for f in fields(Themes)})
+
+
 @dataclass
 class Report:
     themes: Themes

@@ -330,8 +330,8 @@ def _themes(spark, sf, **kw):
     return _an.theme_tables(tables.commits_from_documents(spark, sf), **args)
 
 
-def _text_sql(body: str, extra: str = "") -> str:
-    ctes = O.text_ctes("documents", THRESHOLD)
+def _text_sql(body: str, extra: str = "", source: str = "documents") -> str:
+    ctes = O.text_ctes(source, THRESHOLD)
     if extra:
         ctes += ",\n" + extra
     return f"WITH RECURSIVE {ctes}\n{body}"
@@ -405,6 +405,28 @@ def q_theme_keywords(spark, sf):
     return _themes(spark, sf).keywords.withColumn("weight", F.round("weight", 6))
 
 
+def _ref_themes(spark, sf):
+    commits = tables.on_two_refs(tables.commits_from_documents(spark, sf))
+    return _an.analyse_refs(commits, ["main", "dev"], threshold=THRESHOLD, min_size=MIN_SIZE, k=KEYWORDS_K)
+
+
+@register("ref_themes", _text_sql(
+    f"SELECT {O.REF_COLUMNS}, seq, seed_seq, CAST(cluster_id AS INTEGER) AS cluster_id FROM ranked",
+    O.leader_ctes(MIN_SIZE), "documents_on_refs"))
+def q_ref_themes(spark, sf):
+    """C2, C3 over the logs of two refs in one run."""
+    return _ref_themes(spark, sf).ranked.select("repo", "ref", "seq", "seed_seq", "cluster_id")
+
+
+@register("ref_keywords", _text_sql(
+    f"SELECT {O.REF_COLUMNS}, CAST(cluster_id AS INTEGER) AS cluster_id, CAST(rank AS INTEGER) AS rank, term, "
+    "round(weight, 6) AS weight FROM kw",
+    O.leader_ctes(MIN_SIZE) + ",\n" + O.keyword_ctes(KEYWORDS_K), "documents_on_refs"))
+def q_ref_keywords(spark, sf):
+    """C4 over the logs of two refs in one run."""
+    return _ref_themes(spark, sf).keywords.withColumn("weight", F.round("weight", 6))
+
+
 # --------------------------------------------------------------------------
 # Labels (L1-L5), roll-ups (A7, A8, W5), joins (J1, J2), sinks
 # --------------------------------------------------------------------------

@@ -72,6 +72,13 @@ COMMITS = {
       FROM conversations""",
 }
 
+# the log of each (repo, ref) under one key, odd positions on `dev`
+COMMITS["documents_on_refs"] = f"""
+      SELECT * REPLACE ('{{' || CASE WHEN repo IS NULL THEN '' ELSE '"repo":"' || repo || '",' END
+                        || '"ref":"' || CASE WHEN seq % 2 = 1 THEN 'dev' ELSE 'main' END || '"}}' AS repo)
+      FROM ({COMMITS["documents"]})"""
+REF_COLUMNS = """nullif(regexp_extract(repo, '"repo":"([^"]*)"', 1), '') AS repo, regexp_extract(repo, '"ref":"([^"]*)"', 1) AS ref"""
+
 NUMSTAT = """
   SELECT o.o_orderstatus AS repo, 'HEAD' AS ref, CAST(l.l_orderkey AS BIGINT) AS commit_seq,
          CAST(l.l_linenumber AS BIGINT) AS line_no,

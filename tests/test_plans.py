@@ -66,6 +66,22 @@ def test_one_ref_is_analysed(spark):
     assert [r.commit_count for r in an.hotfiles(numstat, commits, min_commits=1).collect()] == [1]
 
 
+def test_refs_are_logs_of_their_own(spark):
+    words = {"main": ["harbour lantern", "harbour lantern", "copper kettle"], "dev": ["copper kettle", "harbour lantern", "copper kettle"],
+             "old": ["harbour lantern"] * 3}
+    rows = [(repo, ref, i, f"{ref}{i}", "a", "a@x", "2024-01-01 00:00:00", text, "")
+            for repo in ("r", 'q"uo,te', None) for ref, texts in words.items() for i, text in enumerate(texts)]
+    commits = spark.createDataFrame(rows, "repo string, ref string, seq long, sha string, author string, email string, "
+                                          "ts string, subject string, body string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    t = an.analyse_refs(commits, ["main", "dev"])
+    got = {(str(r.repo), r.ref, r.seq): r.cluster_id for r in t.ranked.collect()}
+    assert got == {(str(repo), ref, i): {"main": [1, 1, None], "dev": [1, None, 1]}[ref][i]
+                   for repo in ("r", 'q"uo,te', None) for ref in ("main", "dev") for i in range(3)}
+    assert {(r.ref, r.term) for r in t.keywords.collect()} == {("main", "harbour"), ("main", "lantern"), ("dev", "copper"), ("dev", "kettle")}
+    newest = an.analyse_refs(commits, max_commits=1)
+    assert newest.docs.count() == 9 and all("ref" in getattr(newest, n).columns for n in ("docs", "postings", "assignment", "clusters"))
+
+
 def test_report_goes_from_log_to_files(spark, tmp_path):
     from logweave.plans import catalog
     import json
