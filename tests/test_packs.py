@@ -72,3 +72,43 @@ def test_copies_by_digest(spark):
     for repo, seq, rep in later:
         groups.setdefault((repo, rep), {rep}).add(seq)
     assert sorted((k[0], sorted(v)) for k, v in same.items() if len(v) > 1) == sorted((k[0], sorted(v)) for k, v in groups.items()) != []
+
+
+def test_pieces_give_weights_back_bit_for_bit():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sizes = np.array([3, 1, 400])
+    n = int(sizes.sum())
+    ids = np.sort(rng.choice(1 << 40, n, replace=False))[::-1].copy()    # in any order, and shared
+    ids[4:7], idf = ids[:3], rng.random(n)
+    idf[4:7] = idf[:3]
+    counts, norm = rng.integers(1, 400, n).astype(np.int32), rng.random(3)
+    one = pa.table({"seq": [7, -2, 9], "ids": packs.lists(ids, sizes), "counts": packs.lists(counts, sizes),
+                    "idfs": packs.lists(idf, sizes), "norm": norm})
+    weights = counts * idf / np.repeat(norm, sizes)
+    two = pa.table({"seq": [7, -2, 9], "ids": packs.lists(ids, sizes), "weights": packs.lists(weights, sizes)})
+    for table in (one, two):
+        got = blocks._decode(blocks._encode(table))
+        assert got["seq"].to_pylist() == [7, -2, 9]
+        assert (got["ids"].combine_chunks().flatten().to_numpy() == ids).all()
+        assert (got["weights"].combine_chunks().flatten().to_numpy() == weights).all()
+        assert got["ids"].combine_chunks().value_lengths().to_pylist() == sizes.tolist()
+
+
+def test_files_of_themes_take_less_than_the_texts(spark):
+    """Weights went to the files as they are, and every pack of a repo listed its words once more."""
+    import random
+
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(4, 9))) for _ in range(3000)]
+    rows = [(f"r{i % 4}", i, " ".join(vocab[min(2999, int(rng.paretovariate(0.6)))] for _ in range(300))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "repo string, seq long, message string").cache()
+    made = packs.pack_texts(docs)
+    placed = blocks.placed(made.vectors(F.lit(0)))
+    size = lambda folder: sum(os.path.getsize(f) for f in glob.glob(f"{folder.removeprefix('file:')}/**/*", recursive=True) if os.path.isfile(f))
+    n = made.docs.select(F.explode("codes")).count()
+    assert size(placed.folder) < 4 * n    # 16 bytes a posting before they are compressed, and weights hardly are
+    per_repo = made.terms.groupBy("repo").count().collect()
+    assert sum(r["count"] for r in per_repo) < 4 + max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
