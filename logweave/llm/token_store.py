@@ -27,6 +27,7 @@ import math
 import re
 import struct
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,9 @@ STEP = 256
 SHARD_IDS = 1 << 27
 #: documents that one read task row covers
 READ_DOCS = 1 << 14
-#: distinct words that one task remembers
+#: distinct stretches that each of the two parts of a worker's memo holds
 MEMO_WORDS = 600_000
+_ENCODERS: dict = {}
 #: a token of a byte-level BPE with a word pattern never crosses from a visible character to a blank behind it
 _CUT = re.compile(r"(?<=[\w!-~]) (?![\n\x01])")
 #: a blank or line break that is no such cut, or the mark of stretches without a blank
@@ -194,12 +196,16 @@ class WordEncoder:
     and before marks between a letter or digit and a blank; a stretch between cuts is
     encoded once while the memo holds it.  Stretches are known by their text behind the
     blank; line breaks and marks begin one that has none.  New ones go to the library many at a time, one a line: the
-    break is a token of its own, and the ids are cut there again."""
+    break is a token of its own, and the ids are cut there again.
+
+    When the memo is full it is set aside and a new one begins; what is met again comes
+    over from the one set aside, so frequent stretches stay known."""
 
     def __init__(self, path: str, kind: str):
         self.tok, self.kind, self.width = tokenizer(path), kind, np.dtype(kind).itemsize
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
         self.known: dict = {}
+        self.aside: dict = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -231,14 +237,34 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_CUT.split(x) if _UNSAFE.search(x) else self._stretches(x) for x in texts]
-        heads = [x[0] for x in split]
-        split = [x[1:] for x in split]
-        every = set().union(*split)
-        new = every - self.known.keys()
-        if len(self.known) + len(new) > MEMO_WORDS:
-            self.known, new = {}, every
+        heads = self._ids([x.pop(0) for x in split])
+        words = list(chain.from_iterable(split))
+        got = list(map(self.known.get, words))
+        unknown = [k for k, ids in enumerate(got) if ids is None]
+        new = {words[k] for k in unknown}
+        if self.known and len(self.known) + len(new) > MEMO_WORDS:
+            self.known, self.aside = {}, self.known
+        if self.aside:
+            again = new & self.aside.keys()
+            self.known.update(zip(again, map(self.aside.__getitem__, again)))
+            new -= again
         self._learn(list(new))
-        return [h + b"".join(map(self.known.__getitem__, x)) for h, x in zip(self._ids(heads), split)]
+        for k in unknown:
+            got[k] = self.known[words[k]]
+        out, at = [], 0
+        for head, x in zip(heads, split):
+            out.append(head + b"".join(got[at:at + len(x)]))
+            at += len(x)
+        if len(self.known) > MEMO_WORDS:  # a batch of more stretches than the memo may hold
+            self.known = {}
+        return out
+
+
+def encoder(path: str, kind: str) -> WordEncoder:
+    """The encoder of ``path``, once per worker: the next task finds what this one learned."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = WordEncoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
 def _open(uri: str):
@@ -255,7 +281,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
         store, root = _open(folder)
         width = 2 if tokenizer(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         kind = "<u2" if width == 2 else "<u4"
-        end, memo, writer, name, count = np.array([end_id], kind).tobytes(), WordEncoder(path, kind), None, None, 0
+        end, memo, writer, name, count = np.array([end_id], kind).tobytes(), encoder(path, kind), None, None, 0
 
         def listed():
             n, ids = writer.close()
