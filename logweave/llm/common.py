@@ -22,8 +22,9 @@ def prepare(spark: SparkSession) -> None:
     pin_utc(spark)
     ship_package(spark)
     checkpoint_dir(spark, local_fallback=True)
-    # whole texts travel in Arrow batches; both sides of the pipe hold one batch at a time
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    # whole texts travel in Arrow batches; both sides of the pipe hold one batch at a time,
+    # the JVM in buffers of the next power of two, beside its heap
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +116,13 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES):
         lo = hi
 
 
+def reduced_rows(starts: np.ndarray, length: int, most: int):
+    """Runs (a, z, begin, end) of rows that begin at ``starts`` and fill ``length`` places:
+    rows a .. z - 1 stand at begin .. end - 1, at most ``most`` places or a single longer row."""
+    for a, z in blocks(np.append(starts, length), most):
+        yield a, z, int(starts[a]), int(starts[z]) if z < len(starts) else length
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)

@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import BLOCK_BYTES, buffers, lower_ascii, tidy
+from logweave.llm.common import BLOCK_BYTES, buffers, lower_ascii, reduced_rows, tidy
 
 SIZES = (2, 3, 4)
+#: n-grams whose weights are looked up at once
+GRAM_ROWS = 1 << 16
 _MULT = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
 
 
@@ -64,9 +66,12 @@ def gram_sums(b: np.ndarray, offsets: np.ndarray, weight: np.ndarray, bits: int)
         if not full.any():
             continue
         s, i = starts[full], idx[full]
-        for ids in all_ids:
-            total[i] += np.add.reduceat(weight[ids], s, axis=0)
-            count[i] += np.add.reduceat((ids != (1 << bits)).astype(np.float64), s)
+        # a few rows at a time: each n-gram takes a whole row of weights
+        for a, z, begin, end in reduced_rows(s, length, GRAM_ROWS):
+            for ids in all_ids:
+                ids = ids[begin:end]
+                total[i[a:z]] += np.add.reduceat(weight[ids], s[a:z] - begin, axis=0)
+                count[i[a:z]] += np.add.reduceat((ids != (1 << bits)).astype(np.float64), s[a:z] - begin)
     return total, count
 
 

@@ -45,6 +45,8 @@ TREES, MAX_DEPTH = 24, 8
 RECALL = 0.9999
 #: sets of more shingles are taken to reach the threshold itself
 SMALL_SET = 64
+#: bytes of whole texts whose shingles are formed at once, in arrays of 64-bit hashes
+SIGN_BYTES = 1 << 18
 
 
 def depths(steps: int) -> list[int]:
@@ -118,7 +120,7 @@ def _sign(size: int):
         for batch in batches:
             b, off = buffers(batch.column(1))
             node, count, labels = [], [], []
-            for lo, hi in blocks(off):
+            for lo, hi in blocks(off, SIGN_BYTES):
                 base = off[lo]
                 s, start = shingles(b[base:off[hi]], off[lo:hi + 1] - base, size)
                 has = start[1:] > start[:-1]
@@ -254,7 +256,7 @@ def _sets(size: int):
             b, off = buffers(batch.column(1))
             want = batch.column(0).to_pylist()
             keep, sets = [], []
-            for lo, hi in blocks(off):
+            for lo, hi in blocks(off, SIGN_BYTES):
                 base = off[lo]
                 s, start = shingles(b[base:off[hi]], off[lo:hi + 1] - base, size)
                 for r in range(hi - lo):

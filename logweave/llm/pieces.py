@@ -37,8 +37,10 @@ from logweave.llm.common import mix64, sheltered, table, tidy
 MARK = "▁"
 LONG = 400
 MEMO_WORDS = 300_000
-#: characters of one part of a long text, and of the words that one lattice holds
+#: characters of one part of a long text
 PART_CHARS = 1 << 20
+#: characters of the words that one lattice holds; each takes a row of the longest piece's length
+LATTICE_CHARS = 1 << 17
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 _LOADED: dict = {}
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -167,7 +169,7 @@ class Pieces:
                 continue
             part.append(w)
             chars += len(w)
-            if chars >= PART_CHARS:  # the lattice of one part is bounded
+            if chars >= LATTICE_CHARS:  # the lattice of one part is bounded
                 memo.update(zip(part, self.merge(part)))
                 part, chars = [], 0
         if part:

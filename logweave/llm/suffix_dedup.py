@@ -33,11 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import BLOCK_BYTES, buffers, cut, groups_of, mix64, sheltered, table, tidy
+from logweave.llm.common import buffers, cut, groups_of, mix64, sheltered, table, tidy
 
 GRAM = 16
 #: anchors of one chunk, segments of one collection
 CHUNK_ANCHORS, COLLECTION = 1 << 20, 10_000
+#: bytes of text that one step of the winnowing works on, in a dozen arrays of 64-bit hashes
+ANCHOR_BYTES = 1 << 18
 _ROW = "key bigint, kind int, chunk bigint, data binary"
 
 
@@ -67,8 +69,8 @@ def anchors(b: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray
     w = window - GRAM + 1
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     pos, val = [], []
-    for at in range(0, len(b), BLOCK_BYTES):
-        piece = b[at:at + BLOCK_BYTES + window - 1]
+    for at in range(0, len(b), ANCHOR_BYTES):
+        piece = b[at:at + ANCHOR_BYTES + window - 1]
         h = gram_hashes(piece)
         if len(h) < w:
             break
@@ -119,15 +121,18 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(_ENTRY.itemsize, n).T).view(_ENTRY).reshape(n)
 
 
-def _chunk_rows(chunk: int, keys: list, doc: np.ndarray, pos: np.ndarray, h: np.ndarray, n_buckets: int):
+def _chunk_rows(chunk: int, keys: list, parts: list, n_buckets: int):
     """Rows of one chunk.  A hash of several documents is settled here and named once;
-    a hash of one document is sent with its places, and answered if others have it too."""
-    order = np.argsort(h, kind="stable")
-    h, doc, pos = h[order], doc[order], pos[order]
+    a hash of one document is sent with its places, and answered if others have it too.
+    ``parts``: row, position and hash of every anchor; emptied, as they are sorted here."""
+    order = np.argsort(parts[2], kind="stable")
+    h, pos, doc = (parts.pop()[order] for _ in range(3))
+    del order
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     end = np.append(start[1:], len(h))
-    docs = np.where(doc[start] != doc[end - 1], end - start, 1)  # documents are in order inside a hash
+    docs = np.where(doc[start] != doc[end - 1], end - start, 1).astype(np.uint32)  # documents are in order inside a hash
     per = np.repeat(docs, end - start)
+    del docs, end
     local = np.zeros(int((per > 1).sum()), _ENTRY)
     for name, x in (("h", h), ("doc", doc), ("pos", pos)):
         local[name] = x[per > 1]
@@ -137,13 +142,16 @@ def _chunk_rows(chunk: int, keys: list, doc: np.ndarray, pos: np.ndarray, h: np.
     e = np.zeros(int(sent.sum()), _ENTRY)
     for name, x in (("h", h), ("doc", doc), ("pos", pos), ("docs", per)):
         e[name] = x[sent]
+    del h, doc, pos, per, first, sent, start, x
     bucket = (e["h"] >> np.uint64(40)) % np.uint64(n_buckets)
     # forty bits and the bucket are enough to find shared hashes; what they let in too much is judged on bytes later
     e["h"] &= np.uint64((1 << 40) - 1)
     order = np.argsort(bucket, kind="stable")
     bucket, e = bucket[order], e[order]
+    del order
     edge = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
     rows = [(int(k), 0, chunk, _planes(e[a:z])) for k, (a, z) in enumerate(zip(edge[:-1], edge[1:])) if z > a]
+    del bucket, e
     local["docs"] = ((local["h"] >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.uint32)
     local["h"] &= np.uint64((1 << 40) - 1)
     rows.append((-1 - chunk, 1, chunk, np.array(keys, np.int64).tobytes()))
@@ -165,7 +173,10 @@ def _find_anchors(window: int, n_buckets: int):
         keys, doc, pos, val, held = [], [], [], [], 0
 
         def flush():
-            return _batch(_chunk_rows((part << 24) + flushed, keys, np.concatenate(doc), np.concatenate(pos), np.concatenate(val), n_buckets))
+            parts = [np.concatenate(x) for x in (doc, pos, val)]
+            for x in (doc, pos, val):
+                x.clear()
+            return _batch(_chunk_rows((part << 24) + flushed, keys, parts, n_buckets))
 
         for batch in batches:
             b, off = buffers(batch.column(1))
@@ -453,7 +464,7 @@ class Collection:
         """(string, length of suffix, class) of the suffixes that hold a window; equal windows share a class."""
         for j in range(1, self.longest + 1):
             self.insert_column(j)
-        cls = np.cumsum(np.asarray(self.lcp) < window)
+        cls = np.cumsum(np.asarray(self.lcp) < window, dtype=np.int32 if len(self.lcp) < 1 << 31 else np.int64)
         # from each empty suffix, step by step to the suffix that is one symbol longer
         order = np.argsort(self.bwt, kind="stable")
         longer = np.empty(len(order), np.int64)
@@ -463,7 +474,7 @@ class Collection:
             on = np.flatnonzero(self.size >= j)
             at[on] = longer[at[on]]
             if j >= window:
-                out.append((on, np.full(len(on), j), cls[at[on]]))
+                out.append((on.astype(np.int32), np.full(len(on), j, np.int32), cls[at[on]]))
         self.bwt = self.lcp = None
         if self.folder is not None:
             self.folder.cleanup()
