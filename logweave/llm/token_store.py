@@ -260,11 +260,13 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str, kind: str) -> WordEncoder:
-    """The encoder of ``path``, once per worker: the next task finds what this one learned."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = WordEncoder(path, kind)
-    return _ENCODERS[path, kind]
+def encoder(path: str, kind: str, run: str) -> WordEncoder:
+    """The encoder of ``path``, once per worker and run: the run's next task finds what this
+    one learned, another run begins anew."""
+    if (path, kind, run) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, kind, run] = WordEncoder(path, kind)
+    return _ENCODERS[path, kind, run]
 
 
 def _open(uri: str):
@@ -281,7 +283,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
         store, root = _open(folder)
         width = 2 if tokenizer(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         kind = "<u2" if width == 2 else "<u4"
-        end, memo, writer, name, count = np.array([end_id], kind).tobytes(), encoder(path, kind), None, None, 0
+        end, memo, writer, name, count = np.array([end_id], kind).tobytes(), encoder(path, kind, folder), None, None, 0
 
         def listed():
             n, ids = writer.close()

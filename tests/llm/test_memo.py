@@ -8,7 +8,8 @@ from logweave.llm import token_store
 
 def test_stretches_stay_known_between_tasks_and_when_the_memo_is_full(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert token_store.encoder(path, "<u2") is token_store.encoder(path, "<u2")
+    first = token_store.encoder(path, "<u2", "a run")
+    assert token_store.encoder(path, "<u2", "a run") is first and token_store.encoder(path, "<u2", "another") is not first
     monkeypatch.setattr(token_store, "MEMO_WORDS", 50)
     e, learned = token_store.WordEncoder(path, "<u2"), []
     learn = e._learn
